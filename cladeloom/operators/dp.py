@@ -211,8 +211,18 @@ def _slack(result: Below, i: int, above_nodes: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Above:
-    edges: DataFrame
-    nodes: DataFrame
+    """Parts run top-down; staged runs have one node part per rank."""
+
+    edge_parts: tuple[DataFrame, ...]
+    node_parts: tuple[DataFrame, ...]
+
+    @property
+    def edges(self) -> DataFrame:
+        return _union(list(self.edge_parts))
+
+    @property
+    def nodes(self) -> DataFrame:
+        return _union(list(self.node_parts))
 
 
 def above(result: Below) -> Above:
@@ -253,7 +263,7 @@ def above(result: Below) -> Above:
         node_parts.append(_meet(leaves, keys, total, "above_w"))
     else:
         node_parts.append(_meet(edge_parts[-1], keys, total, "above_w"))
-    return Above(_union(edge_parts), _union(node_parts))
+    return Above(tuple(edge_parts), tuple(node_parts))
 
 
 def edge_penalties(result: Below, through: DataFrame, rel_zero: float | None = None) -> DataFrame:
@@ -295,6 +305,15 @@ def _leave_one_out(factors, n):
 
 def above_counts(result: Below) -> DataFrame:
     """(keys, node_id, above_n): trees of the DAG with the part below a node cut off."""
+    return _union(_above_count_parts(result))
+
+
+def above_counts_of_level(result: Below, depth: int) -> DataFrame:
+    """``above_counts`` of the nodes ``depth`` levels under the roots (strict levels)."""
+    return _above_count_parts(result)[depth]
+
+
+def _above_count_parts(result: Below) -> list[DataFrame]:
     if not isinstance(result.ops, TreeCount):
         raise ValueError("above_counts needs a tree-count result")
     keys = result.keys
@@ -333,4 +352,4 @@ def above_counts(result: Below) -> DataFrame:
     if staged:
         leaves = _union([p.where(F.col("child_rank") == 0) for p in pending])
         node_parts.append(_meet(leaves, keys, total, "above_n"))
-    return _union(node_parts)
+    return node_parts

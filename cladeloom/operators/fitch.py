@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cladeloom.functions import bases
 from cladeloom.functions import sitewords as sw
 from cladeloom.operators.levels import depths
-from cladeloom.runtime import cut
+from cladeloom.runtime import cut, materialise
 from cladeloom.schema import GENOME, HistoryDag
 
 
@@ -276,4 +276,4 @@ def fitch_assign(dag: HistoryDag, root_parent: DataFrame | None = None) -> Histo
     nodes = dag.nodes.join(fresh, ["dag_id", "node_id"], "left").withColumn(
         "cg", F.when(inner, F.coalesce("new_cg", F.array().cast(GENOME))).otherwise(F.col("cg"))
     ).drop("new_cg")
-    return recompute_edges(dag.with_nodes(nodes))
+    return materialise(recompute_edges(dag.with_nodes(cut(nodes, "assigned"))), "fitch")

@@ -8,7 +8,7 @@ DAG later only adds rows to them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from cladeloom.functions.setkeys import key_text, singleton_key
 from cladeloom.operators import leafsets
 from cladeloom.operators.levels import EdgeLevels
 from cladeloom.operators.trim import trim_inconsistent
+from cladeloom.runtime import cut, materialise
 from cladeloom.schema import GENOME, HistoryDag
 
 UA_LABEL = "UA"
@@ -184,7 +185,9 @@ def merge(
     group = F.lit("merged") if group is None else group
     levels = levels or leafsets.levels_with_leaves(dag)
     keys = leafsets.leaf_keys(levels) if consistent else leafsets.leaf_keys_exact(levels)
-    out = assemble(label(dag, keys, group))
+    rows = label(dag, keys, group)
+    rows = replace(rows, nodes=cut(rows.nodes, "labels"), edges=cut(rows.edges, "arcs"))
+    out = materialise(assemble(rows), "merged")
     return out if consistent else trim_inconsistent(out)[0]
 
 

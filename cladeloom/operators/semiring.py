@@ -174,6 +174,27 @@ class Histogram(Semiring):
         return convolve(df, by, "clade_index", self.max_clades).drop("clade_index")
 
 
+@dataclass(frozen=True)
+class SubtreeSize(Semiring):
+    """Leaves, nodes and height below each node of a tree."""
+
+    values = ("leaves", "nodes", "depth")
+
+    def leaf(self):
+        return {"leaves": F.lit(1).cast("bigint"), "nodes": F.lit(1).cast("bigint"), "depth": F.lit(0)}
+
+    def within(self, df, by):
+        return df.groupBy(*by).agg(
+            F.sum("leaves").alias("leaves"), F.sum("nodes").alias("nodes"), F.max("depth").alias("depth")
+        )
+
+    def between(self, df, by):
+        return df.groupBy(*by).agg(
+            F.sum("leaves").alias("leaves"), (F.sum("nodes") + 1).alias("nodes"),
+            (F.max("depth") + 1).alias("depth"),
+        )
+
+
 def convolve(df: DataFrame, by: list[str], index: str, width: int) -> DataFrame:
     """Distribution of the sum over ``index`` of independent histograms.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cladeloom.operators import dp, leafsets
 from cladeloom.operators.levels import reachable
-from cladeloom.runtime import cut
+from cladeloom.runtime import cut, materialise
 from cladeloom.schema import HistoryDag
 
 ARC = ["dag_id", "parent_id", "clade_index", "child_id"]
@@ -72,8 +72,8 @@ def trim_inconsistent(dag: HistoryDag, max_rounds: int = 1000) -> tuple[HistoryD
         removed = one if removed is None else removed.unionByName(one)
         if bad.isEmpty():
             break
-        kept = keep_reachable(dag, dag.edges.join(bad, ARC, "left_anti"))
-        dag = HistoryDag(cut(kept.nodes, "trim"), cut(kept.edges, "trim"), dag.refs)
+        kept = cut(dag.edges.join(bad, ARC, "left_anti"), "trim")
+        dag = materialise(keep_reachable(dag, kept), "trim")
     report = removed.groupBy("dag_id").agg(
         F.sum("edges_removed").alias("edges_removed"), F.sum("unresolvable").alias("unresolvable")
     )
@@ -83,7 +83,7 @@ def trim_inconsistent(dag: HistoryDag, max_rounds: int = 1000) -> tuple[HistoryD
 def trim_to_best(dag: HistoryDag, result: dp.Below) -> HistoryDag:
     """All optimal trees: best edges reachable from the pseudo-root, nodes shared."""
     best = result.best_edges().select(*ARC).distinct()
-    return keep_reachable(dag, dag.edges.join(best, ARC, "left_semi"))
+    return keep_reachable(dag, cut(dag.edges.join(best, ARC, "left_semi"), "best"))
 
 
 def subtree(dag: HistoryDag, roots: DataFrame) -> HistoryDag:

@@ -43,3 +43,12 @@ def cut(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ())
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise(dag, name: str = "dag"):
+    """The same DAG with nodes and edges written and read back.
+
+    Level-wise operators read their edges once per level, so operators that
+    build a new DAG hand it over in this form.
+    """
+    return type(dag)(cut(dag.nodes, f"{name}-nodes"), cut(dag.edges, f"{name}-edges"), dag.refs)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 
+from cladeloom.runtime import cut
 from cladeloom.schema import HistoryDag, REFS, edge_schema, node_schema
 
 
@@ -36,9 +37,9 @@ def build(spark, graphs):
                 (dag_id, i, p, c, clade, muts(ref if p == 0 else seqs[p], seqs[c]), float(w))
             )
     return HistoryDag(
-        spark.createDataFrame(nodes, node_schema()),
-        spark.createDataFrame(edges, edge_schema()),
-        spark.createDataFrame(refs, REFS),
+        cut(spark.createDataFrame(nodes, node_schema()).coalesce(1)),
+        cut(spark.createDataFrame(edges, edge_schema()).coalesce(1)),
+        cut(spark.createDataFrame(refs, REFS).coalesce(1)),
     )
 
 
