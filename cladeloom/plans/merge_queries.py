@@ -14,7 +14,8 @@ from cladeloom.operators import semiring as sr
 from cladeloom.operators.levels import Level, layered
 from cladeloom.plans import tables
 from cladeloom.plans.registry import GROUPS, query
-from cladeloom.schema import GENOME, HistoryDag
+from cladeloom.runtime import cut
+from cladeloom.schema import HistoryDag
 
 
 def _labelled(spark, sf, trees="ABCD", fragments=""):
@@ -118,15 +119,17 @@ def merged_clade_index(spark, sf):
 @query(
     "orphan_attachment",
     f"""with {GROUPS},
-home as (select distinct cl.rk, nv.split, cl.key from cl join nv on nv.rk = cl.rk and nv.nk = cl.nk and nv.t = cl.t where cl.t in ('A', 'B')),
+home as (select distinct cl.rk, nv.split, cl.key from cl join nv on nv.rk = cl.rk and nv.nk = cl.nk and nv.t = cl.t where cl.t in ('A', 'B')
+  union select distinct cl.rk, cl.key, md5(cast(g.k as varchar)) from g join cl on cl.rk = g.rk and cl.nk = g.nk and cl.t = g.t and cl.grp = g.grp where g.t in ('A', 'B')),
 loose as (select distinct rk, key, sz from cl where t in ('C', 'D')),
 hit as (select loose.rk, loose.sz, home.split from loose left join home on home.rk = loose.rk and home.key = loose.key)
 select rk, sz leaves, count(split) adopted, count(*) filter (where split is null) under_root from hit group by 1, 2
-union all select rk, cast(count(distinct k) as bigint), 0, 2 from g group by rk""",
+union all select rk, cast(count(distinct k) as bigint), 0, 1 from g group by rk""",
 )
 def orphan_attachment(spark, sf):
     """Trees C and D cut down to group fragments and hung into the merge of A and B."""
     rows = _labelled(spark, sf, fragments="CD")
+    rows = replace(rows, nodes=cut(rows.nodes, "labels"), edges=cut(rows.edges, "arcs"))
     nodes, edges = merge.dedup_nodes(rows.nodes), merge.dedup_edges(rows.edges)
     arcs = merge.orphan_edges(
         nodes, edges, merge.clade_slots(rows.edges), merge.dedup_root_edges(rows.root_edges)

@@ -155,7 +155,7 @@ def grouping_trees(spark, sf_dir, trees: str = "ABCD", fragments: str = ""):
     )
     levels = layered(
         Level(leaf, "leaf"), Level(group, "inner"), Level(nation, "inner"), Level(ua, "inner"),
-        keys=("dag_id",),
+        keys=("dag_id",), cut_every=1,
     )
     edges = leaf.unionByName(group).unionByName(nation).unionByName(ua)
     return HistoryDag(nodes, edges, refs), levels
