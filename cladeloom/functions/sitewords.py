@@ -38,16 +38,12 @@ def site_bits(mask: Column, site: Column) -> Column:
 
 def _spread(low: Column) -> Column:
     """Every set lowest-bit of a nibble widened to the whole nibble."""
-    return low.bitwiseOR(F.shiftleft(low, 1)).bitwiseOR(F.shiftleft(low, 2)).bitwiseOR(
-        F.shiftleft(low, 3)
-    )
+    return low * F.lit(15).cast("bigint")
 
 
 def _nonempty(w: Column) -> Column:
     """Lowest bit of each nibble that has any bit set."""
-    any_bit = reduce(
-        lambda a, k: a.bitwiseOR(F.shiftright(w, k)), (1, 2, 3), w
-    )
+    any_bit = reduce(lambda a, k: a.bitwiseOR(F.shiftright(w, k)), (1, 2, 3), w)
     return any_bit.bitwiseAND(_const(1))
 
 
