@@ -26,7 +26,7 @@ class Tree:
     nodes: DataFrame
     max_depth: int
     keys: tuple[str, ...] = ("dag_id",)
-    cut_every: int = 8
+    cut_every: int = 1
 
 
 def tree_of(dag: HistoryDag) -> Tree:

@@ -218,7 +218,7 @@ def geo_fitch(spark, sf):
 
 def heap_sets(spark, sf):
     nodes, depth = tables.heap_tree(spark, sf)
-    tree = fitch.Tree(nodes, depth, (), 6)
+    tree = fitch.Tree(nodes, depth, ())
     heap = _customers(spark, sf).select((F.col("k") + 1).alias("node_id"), "q")
     tips = nodes.where("n_children = 0").select("node_id")
     leaves = _leaf_words(heap.join(tips, "node_id"), "node_id")
