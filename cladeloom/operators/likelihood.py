@@ -52,7 +52,8 @@ def edge_pairs(dag: HistoryDag, score_root_edges: bool = False) -> DataFrame:
 def kmer_table_loglik(pairs: DataFrame, table: DataFrame, k: int, site_count: int, rate_bias: float = 0.0) -> DataFrame:
     """(parent_seq, child_seq, loglik) under a k-mer table model.
 
-    ``table``: (kmer, rate, csp array<double> for A, C, G, T).  A table of
+    ``table``: (kmer, rate) plus ``csp`` (substitution odds of A, C, G, T) or
+    ``logits``, whose softmax leaves out the parent's own base.  A table of
     4**k + 1 rows; Spark broadcasts it while it fits the session's threshold.
     Pairs are deduplicated, so a sequence pair shared by many edges is scored once.
     """
@@ -70,7 +71,14 @@ def kmer_table_loglik(pairs: DataFrame, table: DataFrame, k: int, site_count: in
     c = F.substring(F.upper("child_seq"), spot, F.lit(1))
     scaled = sites.join(table, "kmer").withColumn("rate", F.col("rate") * F.exp(F.lit(rate_bias)))
     known = F.translate(c, "ACGT", "") == ""
-    to = F.col("csp")[bases.base_code(c)]
+    code = bases.base_code(c)
+    if "csp" in table.columns:
+        to = F.col("csp")[code]
+    else:
+        top = F.array_max("logits")
+        weights = F.transform("logits", lambda x: F.exp(x - top))
+        own = F.when(F.translate(p, "ACGT", "") == "", weights[bases.base_code(p)]).otherwise(0.0)
+        to = weights[code] / (F.aggregate(weights, F.lit(0.0), lambda a, x: a + x) - own)
     fails = F.raise_error(F.lit("mutated site with an unknown base")).cast("double")
     term = F.when(p != c, F.when(known, site_log(F.col("rate"), to)).otherwise(fails))
     return (
