@@ -105,7 +105,7 @@ class FitchSets:
     """Level parts, deepest first; ``inner`` rows carry ``set`` and ``cost``."""
 
     tree: Tree
-    leaves: DataFrame
+    place: DataFrame
     inner_parts: tuple[DataFrame, ...]
 
     @property
@@ -148,21 +148,20 @@ def merge_children(rows: DataFrame, by: list[str]) -> DataFrame:
 def sets_up(tree: Tree, leaves: DataFrame, dense: bool = False) -> FitchSets:
     """Bottom-up pass.  ``leaves``: keys, node_id, word, bits, ref."""
     keys = list(tree.keys)
-    place = tree.nodes.select(*keys, "node_id", "parent_id", "depth")
     size = tree.nodes.select(
-        *keys, F.col("node_id").alias("parent_id"), F.col("n_children").alias("siblings"), "depth"
+        *keys, F.col("node_id").alias("parent_id"), F.col("n_children").alias("siblings")
     )
+    # Every level reads only its own partition of nodes and of leaf rows.
+    place = tree.nodes.where("depth > 0").select(*keys, "node_id", "parent_id", "depth")
+    place = cut(place.join(size, [*keys, "parent_id"]), "place", ("depth",))
+    tips = cut(leaves.join(place, [*keys, "node_id"]).drop("node_id"), "tips", ("depth",))
     parts = []
     carried = None
     for i, d in enumerate(range(tree.max_depth, 0, -1), 1):
-        at = place.where(F.col("depth") == d).drop("depth")
-        arrive = leaves.join(at, [*keys, "node_id"])
+        arrive = tips.where(F.col("depth") == d).drop("depth")
         if carried is not None:
-            inner = carried.join(at, [*keys, "node_id"])
-            arrive = arrive.unionByName(inner)
-        arrive = arrive.drop("node_id").join(
-            size.where(F.col("depth") == d - 1).drop("depth"), [*keys, "parent_id"]
-        )
+            at = place.where(F.col("depth") == d).drop("depth")
+            arrive = arrive.unionByName(carried.join(at, [*keys, "node_id"]).drop("node_id"))
         done = merge_children(arrive, [*keys, "parent_id", "word"]).withColumnRenamed(
             "parent_id", "node_id"
         )
@@ -172,7 +171,7 @@ def sets_up(tree: Tree, leaves: DataFrame, dense: bool = False) -> FitchSets:
         carried = done.select(*keys, "node_id", "word", F.col("set").alias("bits"), "ref")
         if not dense:
             carried = carried.where(F.col("bits") != F.col("ref"))
-    return FitchSets(tree, leaves, tuple(parts))
+    return FitchSets(tree, place, tuple(parts))
 
 
 def assign_down(sets: FitchSets, root_prefer: DataFrame | None = None) -> DataFrame:
@@ -186,7 +185,6 @@ def assign_down(sets: FitchSets, root_prefer: DataFrame | None = None) -> DataFr
     keys = list(tree.keys)
     parts = []
     up = None
-    place = tree.nodes.where("n_children > 0").select(*keys, "node_id", "parent_id", "depth")
     for d in range(tree.max_depth):
         own = sets.inner_parts[tree.max_depth - 1 - d]
         if up is None:
@@ -195,7 +193,7 @@ def assign_down(sets: FitchSets, root_prefer: DataFrame | None = None) -> DataFr
             else:
                 want = own.join(root_prefer, [*keys, "word"], "left")
         else:
-            at = place.where(F.col("depth") == d).drop("depth")
+            at = sets.place.where(F.col("depth") == d).drop("depth", "siblings")
             want = own.join(at, [*keys, "node_id"]).join(
                 up.select(
                     *keys, F.col("node_id").alias("parent_id"), "word", F.col("bits").alias("prefer")

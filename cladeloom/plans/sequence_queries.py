@@ -183,7 +183,7 @@ def _geo_tree(spark, sf) -> fitch.Tree:
     body = region.unionByName(nation).unionByName(cust)
     size = body.groupBy(F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n_children"))
     body = body.join(size, "node_id", "left").na.fill(0, ["n_children"])
-    return fitch.Tree(body.unionByName(root), 3, (), 0)
+    return fitch.Tree(body.unionByName(root), 3, ())
 
 
 def _leaf_words(df, id_col):
@@ -216,12 +216,15 @@ def geo_fitch(spark, sf):
     return _per_site(out, "node_id", ["bits"]).select("node_id", "p", F.col("bits").alias("a"))
 
 
-def heap_sets(spark, sf):
+def heap_tree_and_words(spark, sf):
     nodes, depth = tables.heap_tree(spark, sf)
-    tree = fitch.Tree(nodes, depth, ())
     heap = _customers(spark, sf).select((F.col("k") + 1).alias("node_id"), "q")
     tips = nodes.where("n_children = 0").select("node_id")
-    leaves = _leaf_words(heap.join(tips, "node_id"), "node_id")
+    return fitch.Tree(nodes, depth, ()), _leaf_words(heap.join(tips, "node_id"), "node_id")
+
+
+def heap_sets(spark, sf):
+    tree, leaves = heap_tree_and_words(spark, sf)
     return tree, fitch.sets_up(tree, leaves, dense=True)
 
 

@@ -24,7 +24,7 @@ def parse_vcf(lines: DataFrame) -> DataFrame:
         "path", F.slice("c", 10, F.size("c")).alias("samples")
     )
     rows = cols.where((F.col("c")[0] != "#CHROM") & (F.size("c") >= 10)).select(
-        "path", "at", F.col("c")[1].cast("int").alias("pos"), F.upper(F.col("c")[3]).alias("ref"),
+        "path", "at", F.col("c")[1].try_cast("int").alias("pos"), F.upper(F.col("c")[3]).alias("ref"),
         F.split(F.upper(F.col("c")[4]), ",").alias("alts"), F.slice("c", 10, F.size("c")).alias("calls"),
     )
     snps = rows.where((F.length("ref") == 1) & F.forall("alts", lambda a: F.length(a) == 1))
