@@ -152,26 +152,31 @@ class BestCount(Semiring):
 
 @dataclass(frozen=True)
 class Histogram(Semiring):
-    """Number of trees per weight: rows (w, n); clades combine by convolution."""
+    """Number of trees per weight: rows (w, n); clades combine by convolution.
+
+    ``count_type`` may be bigint where counts stay small; a count that does not
+    fit raises.
+    """
 
     weight: Column = field(default_factory=mutation_cost)
     max_clades: int = 64
+    count_type: str = COUNT
     values = ("w", "n")
 
     def edge(self):
         return {"edge_w": self.weight}
 
     def leaf(self):
-        return {"w": F.lit(0).cast("bigint"), "n": F.lit(1).cast(COUNT)}
+        return {"w": F.lit(0).cast("bigint"), "n": F.lit(1).cast(self.count_type)}
 
     def lift(self, df):
         return df.withColumn("w", F.col("w") + F.col("edge_w"))
 
     def within(self, df, by):
-        return df.groupBy(*by, "w").agg(F.sum("n").cast(COUNT).alias("n"))
+        return df.groupBy(*by, "w").agg(_fits(F.try_sum("n"), self.count_type).alias("n"))
 
     def between(self, df, by):
-        return convolve(df, by, "clade_index", self.max_clades).drop("clade_index")
+        return convolve(df, by, "clade_index", self.max_clades, self.count_type).drop("clade_index")
 
 
 @dataclass(frozen=True)
@@ -195,12 +200,18 @@ class SubtreeSize(Semiring):
         )
 
 
-def convolve(df: DataFrame, by: list[str], index: str, width: int) -> DataFrame:
+def _fits(value: Column, count_type: str) -> Column:
+    """The value, or an error where a ``try_`` operation overflowed."""
+    return F.coalesce(value.cast(count_type), F.raise_error(F.lit("tree count does not fit")).cast(count_type))
+
+
+def convolve(df: DataFrame, by: list[str], index: str, width: int, count_type: str = COUNT) -> DataFrame:
     """Distribution of the sum over ``index`` of independent histograms.
 
     Neighbours 2i and 2i+1 combine each round, so k clades take log2(k) joins
     and a sparse index costs nothing: an unpaired clade passes through.
     """
+    one = F.lit(1).cast(count_type)
     while width > 1:
         half = df.withColumn("slot", (F.col(index) / 2).cast("int"))
         left = half.where(F.col(index) % 2 == 0).select(*by, "slot", "w", "n")
@@ -215,9 +226,10 @@ def convolve(df: DataFrame, by: list[str], index: str, width: int) -> DataFrame:
                 (F.coalesce("w", F.lit(0)) + F.coalesce("w2", F.lit(0))).alias("w"),
             )
             .agg(
-                F.sum(
-                    (F.coalesce("n", F.lit(1)) * F.coalesce("n2", F.lit(1))).cast(COUNT)
-                ).cast(COUNT).alias("n")
+                _fits(
+                    F.try_sum(_fits(F.try_multiply(F.coalesce("n", one), F.coalesce("n2", one)), count_type)),
+                    count_type,
+                ).alias("n")
             )
         )
         width = (width + 1) // 2

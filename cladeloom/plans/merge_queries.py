@@ -380,8 +380,8 @@ def rf_histogram(spark, sf):
     low, high = levels.levels
     below = dp.below(layered(low, keys=("rk",)), rf.best_sum_rf())
     versions = below.top.select("rk", F.col("node_id").alias("child_id"), F.col("w").alias("below_w"))
-    alternatives = high.edges.join(versions, ["rk", "child_id"])
-    ops = sr.Histogram(F.col("rf_w") + F.col("below_w"), max_clades=25)
+    alternatives = cut(high.edges.join(versions, ["rk", "child_id"]), "versions")
+    ops = sr.Histogram(F.col("rf_w") + F.col("below_w"), max_clades=25, count_type="bigint")
     res = dp.below(layered(Level(alternatives, "leaf"), keys=("rk",)), ops)
     return res.top.join(shift, "rk").select(
         "rk", (F.col("w") + F.col("shift")).alias("rf_sum"), F.col("n").cast("bigint").alias("trees")

@@ -9,6 +9,7 @@ from cladeloom.functions import sitewords as sw
 from cladeloom.operators import fitch, likelihood
 from cladeloom.plans import tables
 from cladeloom.plans.registry import REF, SEQ, query
+from cladeloom.runtime import spread
 
 SITES = "sites as (select cast(unnest(range(1, 33)) as int) p)"
 CUST = f"""sq as (select c_custkey k, c_nationkey nk, {SEQ.format('c_custkey')} q from customer),
@@ -19,12 +20,21 @@ WORDS = 3
 
 
 def _customers(spark, sf):
-    return tables.table(spark, sf, "customer").select(
+    return spread(tables.table(spark, sf, "customer").select("c_custkey", "c_nationkey")).select(
         F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nk"),
         tables.sequence_of(F.col("c_custkey")).alias("q"),
     )
 
 
+def _orders(spark, sf):
+    """Order and customer keys; every order has a sequence of its own."""
+    keys = spread(tables.table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
+    return keys.select(
+        F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ok"),
+        tables.sequence_of(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))).alias("q"),
+    )
+
+
 @query("genome_sites", f"with {CUST} select k, p pos, b base from df where b <> r")
 def genome_sites(spark, sf):
     cg = bases.genome_from_sequence(F.col("q"), tables.reference())
@@ -43,10 +53,7 @@ def edge_mutation_counts(spark, sf):
     parent = _customers(spark, sf).select(
         "k", bases.genome_from_sequence(F.col("q"), ref).alias("parent_cg")
     )
-    child = tables.table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("k"),
-        tables.sequence_of(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))).alias("q"),
-    )
+    child = _orders(spark, sf)
     edges = child.join(parent, "k").select(
         "k", "q",
         bases.edge_mutations("parent_cg", bases.genome_from_sequence(F.col("q"), ref), ref).alias("m"),
@@ -65,12 +72,7 @@ select substr(cs.q, p, 1) par, substr(os.q, p, 1) mut, count(*) n from os join c
 def mutation_spectrum(spark, sf):
     ref = tables.reference()
     parent = _customers(spark, sf).select("k", bases.genome_from_sequence(F.col("q"), ref).alias("p"))
-    child = tables.table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("k"),
-        bases.genome_from_sequence(
-            tables.sequence_of(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))), ref
-        ).alias("c"),
-    )
+    child = _orders(spark, sf).select("k", bases.genome_from_sequence(F.col("q"), ref).alias("c"))
     muts = child.join(parent, "k").select(F.inline(bases.edge_mutations("p", "c", ref)))
     return muts.groupBy("par", "mut").agg(F.count(F.lit(1)).alias("n"))
 
@@ -91,12 +93,7 @@ def applied_mutations(spark, sf):
     """Order genome rebuilt by applying its edge's mutations to the customer genome."""
     ref = tables.reference()
     parent = _customers(spark, sf).select("k", bases.genome_from_sequence(F.col("q"), ref).alias("p"))
-    child = tables.table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ok"),
-        bases.genome_from_sequence(
-            tables.sequence_of(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))), ref
-        ).alias("c"),
-    )
+    child = _orders(spark, sf).select("k", "ok", bases.genome_from_sequence(F.col("q"), ref).alias("c"))
     built = child.join(parent, "k").select(
         "ok", bases.apply_mutations("p", bases.edge_mutations("p", "c", ref), ref).alias("cg")
     )
@@ -394,10 +391,7 @@ select ok, round(case when n = 0 then 0 else n * ln(n / tot) - n + logs end, 4)
 def edge_log_likelihood(spark, sf):
     """Poisson context log-likelihood of every customer -> order edge."""
     parent = _customers(spark, sf).select("k", F.col("q").alias("parent_seq"))
-    child = tables.table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ok"),
-        tables.sequence_of(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))).alias("child_seq"),
-    )
+    child = _orders(spark, sf).withColumnRenamed("q", "child_seq")
     pairs = child.join(parent, "k")
     scored = likelihood.kmer_table_loglik(pairs, closed_form_table(spark), 3, tables.SEQ_LEN)
     return pairs.join(scored, ["parent_seq", "child_seq"], "left").select(

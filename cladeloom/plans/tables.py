@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeloom.operators.levels import EdgeLevels, Level, layered
+from cladeloom.runtime import cut
 from cladeloom.schema import GENOME, HistoryDag
 
 LETTERS = ("0123456789abcdef", "ACGTACGTACGTACGT")
@@ -112,7 +113,7 @@ def grouping_trees(spark, sf_dir, trees: str = "ABCD", fragments: str = ""):
         F.col("k").cast("string").alias("clade_index"), weight.alias("edge_weight"),
         F.col("leaf_id").alias("leaf_name"),
     )
-    group_rows = g.select("rk", "nk", "t", "grp", "dag_id", "nation_id", "group_id").distinct()
+    group_rows = cut(g.select("rk", "nk", "t", "grp", "dag_id", "nation_id", "group_id").distinct(), "groups")
     no_name = F.lit(None).cast("string").alias("leaf_name")
     group = group_rows.where(full).select(
         "dag_id", F.col("nation_id").alias("parent_id"), F.col("group_id").alias("child_id"),

@@ -45,6 +45,16 @@ def cut(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ())
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores ahead of costly expressions.
+
+    Large inputs already come in more splits than there are cores and stay as
+    they are; only a table of few splits is dealt out round-robin.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialise(dag, name: str = "dag"):
     """The same DAG with nodes and edges written and read back.
 
