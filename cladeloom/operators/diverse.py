@@ -36,18 +36,22 @@ def keep_count(k: int) -> int:
     return max(2 * k, 20)
 
 
-def farthest_first(rf: DataFrame, k: int, group: str = "g") -> DataFrame:
+def farthest_first(rf: DataFrame, k: int, group: str = "g", trees: DataFrame | None = None) -> DataFrame:
     """(group, rank, tree, gap): greedy farthest-point order from pairwise distances.
 
     First the tree with the largest total distance; then, k-1 times, the one
     farthest from all chosen so far, ties by total distance to them.  Each
     round is one aggregate over the distance table for all groups at once.
+    ``trees`` (group, dag_id) adds trees that are alone in their group.
     """
     both = rf.select(group, F.col("t1").alias("a"), F.col("t2").alias("b"), "rf").unionByName(
         rf.select(group, F.col("t2").alias("a"), F.col("t1").alias("b"), "rf")
     )
     both = cut(both, "rf")
     totals = both.groupBy(group, "a").agg(F.sum("rf").alias("gap"))
+    if trees is not None:
+        every = trees.select(group, F.col("dag_id").alias("a"))
+        totals = every.join(totals, [group, "a"], "left").na.fill(0, ["gap"])
     first = _argbest(totals.withColumn("far", F.lit(0)), group).withColumn("rank", F.lit(1))
     chosen = cut(first, "chosen")
     for rank in range(2, k + 1):

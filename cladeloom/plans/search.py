@@ -152,7 +152,7 @@ def diverse_trees(dag: HistoryDag, k: int, pool: int, seed: int) -> DataFrame:
     place = F.rank().over(Window.partitionBy("g").orderBy("mutations"))
     kept = scored.withColumn("place", place).where(F.col("place") <= diverse.keep_count(k)).select("g", "dag_id")
     pairs = rf.pairwise_rf(clades.join(kept, ["g", "dag_id"]))
-    return diverse.farthest_first(pairs, k), trees
+    return diverse.farthest_first(pairs, k, trees=kept), trees
 
 
 def random_moves(index: spr.TreeIndex, seed: int, attempts: int = 100, keep: int = 10) -> DataFrame:
