@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeloom.llm import exact_dedup, mixing, secret_scan, sharding
+from cladeloom.llm import exact_dedup, language_id, mixing, secret_scan, sharding, simhash
 from cladeloom.llm.common import table
 from cladeloom.llm.sql import ORACLES  # noqa: F401
 
@@ -26,10 +26,24 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select(
+        "doc_id", language_id.held_out().alias("held_out"), "language.lang_pred", "language.score", "language.accepted"
+    )
+
+
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return grouped.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -37,6 +51,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_source_mix": op3_source_mix,
+    "op4_language_id": op4_language_id,
     "op5_jump_shards": op5_jump_shards,
+    "op7_simhash_groups": op7_simhash_groups,
     "op10_exact_dedup": op10_exact_dedup,
 }
