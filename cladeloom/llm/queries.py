@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeloom.llm import exact_dedup, language_id, mixing, secret_scan, sharding, simhash
+from cladeloom.llm import exact_dedup, language_id, mixing, secret_scan, sharding, simhash, substring_dedup
 from cladeloom.llm.common import table
 from cladeloom.llm.sql import ORACLES  # noqa: F401
 
@@ -44,6 +44,10 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))[0]
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -54,5 +58,6 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_jump_shards": op5_jump_shards,
     "op7_simhash_groups": op7_simhash_groups,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
