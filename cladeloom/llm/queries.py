@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeloom.llm import exact_dedup, language_id, mixing, secret_scan, sharding, simhash, substring_dedup
+from cladeloom.llm import exact_dedup, html_extract, language_id, mixing, secret_scan, sharding, simhash, substring_dedup
 from cladeloom.llm.common import table
 from cladeloom.llm.sql import ORACLES  # noqa: F401
 
@@ -48,6 +48,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))[0]
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "main.text", "main.n_chars")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -59,5 +64,6 @@ QUERIES = {
     "op5_jump_shards": op5_jump_shards,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_html_extract": op9_html_extract,
     "op10_exact_dedup": op10_exact_dedup,
 }
