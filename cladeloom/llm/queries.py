@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeloom.llm import decontaminate, exact_dedup, html_extract, language_id, mixing, secret_scan, sharding, simhash, substring_dedup
+from cladeloom.llm import decontaminate, exact_dedup, html_extract, language_id, license_scan, mixing, secret_scan, sharding, simhash, substring_dedup
 from cladeloom.llm.common import table
 from cladeloom.llm.sql import ORACLES  # noqa: F401
 
@@ -46,6 +46,10 @@ def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = simhash.near_groups(table(spark, sf_dir, "documents"))
     return grouped.select(
@@ -72,6 +76,7 @@ QUERIES = {
     "op3_source_mix": op3_source_mix,
     "op4_language_id": op4_language_id,
     "op5_jump_shards": op5_jump_shards,
+    "op6_license_scan": op6_license_scan,
     "op7_simhash_groups": op7_simhash_groups,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extract": op9_html_extract,

@@ -51,33 +51,34 @@ def jump(key: Column, shards: int) -> Column:
     return F.transform(F.array(first), lambda s: F.when(s["j"] >= shards, s).otherwise(chain(s, shards)))[0]
 
 
-def assign_shards(
+def place(
     docs: DataFrame, shards: int = 40, key: str = "doc_id", text_col: str = "text", blocks: int = 1024
 ) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard), one row per input row.
+    """(row, key, size, text_crc32, law, shard, slot, grown_shard), one per input row.
 
-    The key's MD5 and the number of shards decide the shard; ``grown_shard`` is
-    the shard with one shard more and differs only for rows that move into it.
-    ``slot`` counts the rows of a shard from 0 without gaps.  Rows are ranked
-    inside ``blocks`` hash blocks of each shard, and the counts of the blocks
-    (shards x blocks rows) give each block its first slot, so no task sees more
-    than one block of a shard.
+    ``row`` is the input row as a struct.  The key's MD5 and the number of shards
+    decide the shard; ``grown_shard`` is the shard with one shard more and
+    differs only for rows that move into it.  ``slot`` counts the rows of a shard
+    from 0 without gaps.  Rows are ranked inside ``blocks`` hash blocks of each
+    shard, and the counts of the blocks (shards x blocks rows) give each block
+    its first slot, so no task sees more than one block of a shard.
 
     A null key is the empty key, a null text has no bytes.  Rows that agree in
-    key and text share a block and take neighbouring slots.
+    key and text share a block and take neighbouring slots.  An empty table gives
+    no rows; other columns are only carried along.
     """
     text = body(text_col)
     rows = docs.select(
-        F.col(key).alias("doc_id"),
+        F.struct("*").alias("row"), F.col(key).alias("key"),
         (F.octet_length(text) + ROW_BYTES).cast("bigint").alias("size"),
         F.crc32(text).alias("text_crc32"),
         jump(key64(key), shards).alias("jump"),
     ).select(
-        "doc_id", "size", "text_crc32",
+        "row", "key", "size", "text_crc32",
         F.col("jump.b").cast("int").alias("shard"),
         F.when(F.col("jump.j") == shards, shards).otherwise(F.col("jump.b")).cast("int").alias("grown_shard"),
         F.conv(
-            F.substring(F.md5(F.concat_ws("/", id_key("doc_id"), F.col("text_crc32").cast("string"))), 1, 8), 16, 10
+            F.substring(F.md5(F.concat_ws("/", id_key("key"), F.col("text_crc32").cast("string"))), 1, 8), 16, 10
         ).cast("bigint").alias("h"),
     ).withColumn("block", (F.col("h") % blocks).cast("int"))
     first = (
@@ -87,12 +88,17 @@ def assign_shards(
             (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("first"),
         )
     )
-    within = Window.partitionBy("shard", "block").orderBy("h", "doc_id", "size", "text_crc32")
+    within = Window.partitionBy("shard", "block").orderBy("h", "key", "size", "text_crc32")
     return (
         rows.withColumn("nth", F.row_number().over(within) - 1)
         .join(first, ["shard", "block"])
         .select(
-            "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
+            "row", "key", "size", "text_crc32", F.lit("key").alias("law"), "shard",
             (F.col("first") + F.col("nth")).cast("bigint").alias("slot"), "grown_shard",
         )
     )
+
+
+def assign_shards(docs: DataFrame, shards: int = 40, key: str = "doc_id", text_col: str = "text", blocks: int = 1024) -> DataFrame:
+    """The result of ``place`` without the rows, the key under its own name."""
+    return place(docs, shards, key, text_col, blocks).drop("row").withColumnRenamed("key", key)

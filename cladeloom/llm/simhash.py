@@ -224,6 +224,30 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
 
 
+def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(row, fp): the input row as a struct, and its fingerprint as a signed long."""
+    return docs.select(F.struct("*").alias("row"), _fingerprint_column(shingle)(body(text_col)).alias("fp"))
+
+
+def group_fingerprints(rows: DataFrame, reach: int = RADIUS) -> DataFrame:
+    """(fp, component_id, keep_fp) per distinct fingerprint of (doc_id, fp) rows.
+
+    ``component_id`` is the smallest id that the fingerprint reaches, null only
+    if there is none; ``keep_fp`` the fingerprint of the row to keep, which is
+    the one of that id (the least if it has several, or if there is no id).
+    """
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
+    roots = components(near_links(distinct.select("fp"), reach))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+    best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("best")
+    least = rooted.groupBy("root").agg(best)
+    return rooted.join(least, "root").select(
+        "fp", F.col("best.first").alias("component_id"), F.col("best.fp").alias("keep_fp")
+    )
+
+
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, reach: int = RADIUS
 ) -> DataFrame:
@@ -239,14 +263,23 @@ def near_groups(
     has no other (its id is then null).  Other columns are ignored; an empty
     table gives no rows.
     """
-    rows = cut(
-        docs.select(F.col(id_col).alias("doc_id"), _fingerprint_column(shingle)(body(text_col)).alias("fp")), "simhash"
-    )
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
-    roots = components(near_links(distinct.select("fp"), reach))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = cut(rooted.join(least, "root").select("fp", "component_id"), "components")
+    rows = cut(with_fingerprint(docs, text_col, shingle).select(F.col("row")[id_col].alias("doc_id"), "fp"), "simhash")
+    of = cut(group_fingerprints(rows, reach), "components")
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, reach: int = RADIUS
+) -> DataFrame:
+    """``docs`` with one row of each component of ``near_groups``: that of the smallest id.
+
+    A row without an id stays only if its component has no id.  Of rows that
+    agree in id and fingerprint the least one stays, which each task picks out of
+    its own before they meet.
+    """
+    rows = with_fingerprint(docs, text_col, shingle).select("row", "fp", F.col("row")[id_col].alias("doc_id"))
+    narrow = cut(rows.select("doc_id", "fp"), "simhash")
+    kept = group_fingerprints(narrow, reach).where("fp = keep_fp").select("fp", F.col("component_id").alias("doc_id"))
+    known = lambda df: df.withColumns({"no_id": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))}).drop("doc_id")
+    chosen = known(rows).join(known(kept), ["fp", "id", "no_id"])
+    return chosen.groupBy("fp", "id", "no_id").agg(F.min("row").alias("row")).select("row.*")

@@ -1,6 +1,6 @@
 """DuckDB SQL of the operators' queries."""
 
-from cladeloom.llm import mixing, secret_scan
+from cladeloom.llm import license_scan, mixing
 
 ORACLES: dict[str, str] = {}
 
@@ -62,3 +62,19 @@ select doc_id, size::bigint size, source_size, target,
        (greatest(0, least(size, upto - start)) + greatest(0, least(size, upto - source_size - start)))::bigint taken
 from t
 """
+
+_TEMPLATES = ",\n".join(
+    f"({n}, '{name}', {license_scan.step(t)}, [{', '.join(repr(s) for s in license_scan.shingles(t))}])"
+    for n, (name, t) in enumerate(license_scan.TEMPLATES)
+)
+#: Every window near a key word is compared with every template of its step.
+ORACLES["op6_license_scan"] = rf"""
+with t(template, license, step, wanted) as (values {_TEMPLATES}),
+d as (select doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') w from documents
+      where regexp_matches(lower(text), '{"|".join(license_scan.key_words())}')),
+s as (select doc_id, list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' ')) sh from d where len(w) >= 5),
+x as (select doc_id, step, sh, unnest(range(0, len(sh), step)) k from s, (select distinct step from t)),
+y as (select doc_id, step, list_distinct(sh[k + 1:k + 3 * step]) held from x),
+z as (select doc_id, license, len(list_intersect(held, wanted)) / len(wanted) containment from y join t using (step))
+select doc_id, license, max(containment) containment from z where containment >= {license_scan.CONTAINED} group by all
+"""
