@@ -7,6 +7,7 @@ import hashlib
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeloom.llm.common import WORD, body
+from cladeloom.llm.common import body
 from cladeloom.runtime import cut
 
 WINDOW = 50
@@ -26,7 +27,7 @@ ANCHOR = 8
 #: STRIDE <= WINDOW + 1 every window inside a passage contains a whole seed.
 SEED, STRIDE = 16, 35
 #: Passage words of one automaton, and document words that one task streams.
-SHARD_WORDS, TASK_WORDS = 100_000, 200_000
+SHARD_WORDS, TASK_WORDS = 250_000, 250_000
 #: Rows that a task hands on together.
 ROWS = 1 << 18
 #: Odd multipliers of the rolling hashes.
@@ -34,24 +35,30 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Hasher:
     """Rolling hashes of runs of words; word hashes are kept while they are few."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.numbers, self.hashes = _Numbers(), np.zeros(0, dtype=np.uint64)
         self.powers = {m: (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)) for m in MULTIPLIERS}
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > 1 << 19:
-            self.known.clear()
-        known, digest = self.known, xxhash.xxh64_intdigest
-        out = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = digest(w)
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
+        if len(self.numbers) > 1 << 19:
+            self.numbers, self.hashes = _Numbers(), np.zeros(0, dtype=np.uint64)
+        at = np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int64, count=len(words))
+        if len(self.numbers) > len(self.hashes):
+            new = list(islice(reversed(self.numbers), len(self.numbers) - len(self.hashes)))[::-1]
+            more = np.fromiter(map(xxhash.xxh64_intdigest, new), dtype=np.uint64, count=len(new))
+            self.hashes = np.concatenate([self.hashes, more])
+        return self.hashes[at]
 
     def runs(self, hashes: np.ndarray, length: int, which: int = 0) -> np.ndarray:
         """A mixed 64-bit hash of every run of ``length`` words."""
@@ -86,6 +93,16 @@ def _split(text: str) -> list[bytes]:
     return text.encode().split()  # bytes: ASCII white space only
 
 
+def _digest_matches():
+    """Whether a text's words have a digest: rows of one id may differ in text."""
+
+    @F.pandas_udf("boolean")
+    def matches(texts: pd.Series, digests: pd.Series) -> pd.Series:
+        return pd.Series([hashlib.sha256(b" ".join(_split(t))).digest() == d for t, d in zip(texts, digests)], dtype=bool)
+
+    return matches
+
+
 def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What is known of each text alone; the anchors of a text too short for a window are none."""
     hasher = Hasher()
@@ -106,8 +123,13 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, ids = [], []
         for doc_id, text, anchors in zip(batch["doc_id"], batch["text"], batch["anchors"]):
             h = hasher.words(_split(text))
-            near = np.isin(hasher.window_anchors(h).view(np.int64), anchors)
-            hashes.append(np.unique(np.stack([hasher.runs(h, WINDOW, i)[near] for i in (0, 1)]), axis=1))
+            low, known = hasher.window_anchors(h), np.sort(np.asarray(anchors, dtype=np.int64).view(np.uint64))
+            near = known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low
+            w1, w2 = (hasher.runs(h, WINDOW, i)[near] for i in (0, 1))
+            order = np.argsort(w1)
+            w1, w2 = w1[order], w2[order]
+            new = np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])[: len(w1)]
+            hashes.append(np.stack([w1[new], w2[new]]))
             ids.append(np.full(hashes[-1].shape[1], doc_id))
             if sum(map(len, ids)) > ROWS:
                 yield _window_rows(hashes, ids)
@@ -242,11 +264,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     marked = (
         anchors.join(recurring.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     )
-    words_sha = F.unhex(F.sha2(F.array_join(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), " "), 256))
-    held = cut(
-        texts.join(marked, "doc_id").join(given.where("not no_id").select("doc_id", "text"), "doc_id").where(words_sha == F.col("sha")),
-        "passage-texts",
-    )
+    here = given.where("not no_id").select("doc_id", "text")
+    held = cut(texts.join(marked, "doc_id").join(here, "doc_id").where(_digest_matches()("text", "sha")), "passage-texts")
 
     windows = cut(held.select("doc_id", "text", "anchors").mapInPandas(_windows, "w1 long, w2 long, doc_id long"), "windows")
     shared = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
@@ -283,8 +302,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .dropDuplicates(["sha"]),
         "kept-texts",
     )
-    outcome = texts.withColumnRenamed("doc_id", "first").join(
-        changed.select("sha", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")), "sha", "left"
+    # written, so that a text with very many copies can be split in the join with its rows
+    outcome = cut(
+        texts.withColumnRenamed("doc_id", "first").join(
+            changed.select("sha", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")), "sha", "left"
+        ),
+        "passage-outcome",
     )
     gone = F.col("first").isNotNull() & (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= WINDOW)
     mine = F.col("doc_id") == F.col("first")
