@@ -109,11 +109,11 @@ def key_words(templates=TEMPLATES) -> list[str]:
 
 
 def _bands(shingle_array: Column) -> Column:
-    """array<struct<band, low>>: the least hash of the shingles under each of BANDS hash functions."""
+    """array<long>: for each of BANDS hash functions its number and the least hash of the shingles, hashed."""
     hashes = F.transform(shingle_array, lambda s: F.xxhash64(s))
     return F.transform(F.array(hashes), lambda hs: F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda b: F.struct(b.alias("band"), F.array_min(F.transform(hs, lambda h: F.xxhash64(h, b))).alias("low")),
+        lambda b: F.xxhash64(b, F.array_min(F.transform(hs, lambda h: F.xxhash64(h, b)))),
     ))[0]
 
 
@@ -140,8 +140,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     rows = [(n, name, step(t), shingles(t)) for n, (name, t) in enumerate(templates)]
     known = spark.createDataFrame(rows, "template int, license string, step int, wanted array<string>")
-    wanted = known.select("*", F.explode(_bands(F.col("wanted"))).alias("b")).select(
-        "template", "license", "step", "wanted", "b.band", "b.low"
+    by_step = (
+        known.withColumn("bands", _bands(F.col("wanted")))
+        .groupBy("step").agg(F.collect_list(F.struct("license", "wanted", "bands")).alias("templates"))
     )
     keys = key_words(templates)
     low = F.lower(body(text_col))
@@ -171,14 +172,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("doc_id", "w", F.explode(F.concat(*[windows(F.col("places"), s) for s in sizes])).alias("x"))
         .select("doc_id", "x.step", "x.at", F.array_distinct(_shingled(F.slice("w", F.col("x.at") + 1, F.col("x.step") * 3 + SHINGLE - 1))).alias("held"))
     )
-    candidates = (
-        found.select("doc_id", "step", "at", "held", F.explode(_bands(F.col("held"))).alias("b"))
-        .select("doc_id", "step", "at", "held", "b.band", "b.low")
-        .join(wanted, ["step", "band", "low"])
+    contained = lambda t: F.size(F.array_intersect("held", t["wanted"])) / F.size(t["wanted"])
+    retrieved = F.filter("templates", lambda t: F.arrays_overlap("bands", t["bands"]))
+    verified = F.filter(
+        F.transform(retrieved, lambda t: F.struct(t["license"].alias("license"), contained(t).alias("containment"))),
+        lambda x: x["containment"] >= CONTAINED,
     )
-    contained = F.size(F.array_intersect("held", "wanted")) / F.size("wanted")
     return (
-        candidates.select("doc_id", "license", contained.alias("containment"))
-        .where(F.col("containment") >= CONTAINED)
+        found.withColumn("bands", _bands(F.col("held")))
+        # a few rows of fixed templates, whatever the documents
+        .join(F.broadcast(by_step), "step")
+        .select("doc_id", F.inline(verified))
         .groupBy("doc_id", "license").agg(F.max("containment").alias("containment"))
     )
