@@ -7,15 +7,14 @@ import hashlib
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import islice
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeloom.llm.bytehash import ByteHasher, joined, split
 from cladeloom.llm.common import body
 from cladeloom.runtime import cut
 
@@ -30,56 +29,18 @@ SEED, STRIDE = 16, 35
 SHARD_WORDS, TASK_WORDS = 250_000, 250_000
 #: Rows that a task hands on together.
 ROWS = 1 << 18
-#: Odd multipliers of the rolling hashes.
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-class _Numbers(dict):
-    """Numbers words as they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-
-class Hasher:
-    """Rolling hashes of runs of words; word hashes are kept while they are few."""
-
-    def __init__(self):
-        self.numbers, self.hashes = _Numbers(), np.zeros(0, dtype=np.uint64)
-        self.powers = {m: (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)) for m in MULTIPLIERS}
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        if len(self.numbers) > 1 << 19:
-            self.numbers, self.hashes = _Numbers(), np.zeros(0, dtype=np.uint64)
-        at = np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int64, count=len(words))
-        if len(self.numbers) > len(self.hashes):
-            new = list(islice(reversed(self.numbers), len(self.numbers) - len(self.hashes)))[::-1]
-            more = np.fromiter(map(xxhash.xxh64_intdigest, new), dtype=np.uint64, count=len(new))
-            self.hashes = np.concatenate([self.hashes, more])
-        return self.hashes[at]
-
-    def runs(self, hashes: np.ndarray, length: int, which: int = 0) -> np.ndarray:
-        """A mixed 64-bit hash of every run of ``length`` words."""
-        m = MULTIPLIERS[which]
-        n = len(hashes)
-        if n < length:
-            return np.zeros(0, dtype=np.uint64)
-        up, down = self.powers[m]
-        if len(up) <= n:
-            size = max(n + 1, 2 * len(up))
-            raised = lambda x: np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, np.uint64(x)))])
-            up, down = self.powers[m] = raised(m), raised(pow(m, -1, 1 << 64))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[:n])])
-        h = (sums[length:] - sums[:-length]) * down[: n - length + 1]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(32))
-
-    def window_anchors(self, hashes: np.ndarray) -> np.ndarray:
+class Windows(ByteHasher):
+    """Hashes of a text's windows, and their anchors."""
+
+    def of(self, text: str) -> np.ndarray:
+        return self.words(*split(text))
+
+    def anchors(self, words: np.ndarray) -> np.ndarray:
         """For every window the least hash of its phrases."""
-        low, width, span = self.runs(hashes, ANCHOR), 1, WINDOW - ANCHOR + 1
+        low, width, span = self.runs(words, ANCHOR), 1, WINDOW - ANCHOR + 1
         if len(low) < span:
             return low[:0]
         while 2 * width <= span:
@@ -89,41 +50,39 @@ class Hasher:
         return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
-def _split(text: str) -> list[bytes]:
-    return text.encode().split()  # bytes: ASCII white space only
-
-
 def _digest_matches():
     """Whether a text's words have a digest: rows of one id may differ in text."""
 
     @F.pandas_udf("boolean")
     def matches(texts: pd.Series, digests: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(b" ".join(_split(t))).digest() == d for t, d in zip(texts, digests)], dtype=bool)
+        return pd.Series([hashlib.sha256(joined(*split(t))).digest() == d for t, d in zip(texts, digests)], dtype=bool)
 
     return matches
 
 
 def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What is known of each text alone; the anchors of a text too short for a window are none."""
-    hasher = Hasher()
+    hasher = Windows()
     for batch in batches:
         n_words, sha, anchors = [], [], []
         for t in batch["text"]:
-            words = _split(t)
-            n_words.append(len(words))
-            sha.append(hashlib.sha256(b" ".join(words)).digest())
-            anchors.append(np.unique(hasher.window_anchors(hasher.words(words))).view(np.int64) if len(words) >= WINDOW else [])
+            cut_up = split(t)
+            n_words.append(len(cut_up[1]))
+            sha.append(hashlib.sha256(joined(*cut_up)).digest())
+            low = hasher.anchors(hasher.words(*cut_up))
+            # neighbouring windows mostly share their anchor
+            anchors.append(np.unique(low[np.concatenate([[True], low[1:] != low[:-1]])] if len(low) else low).view(np.int64))
         yield pd.DataFrame({"no_id": batch["no_id"], "doc_id": batch["doc_id"], "n_words": n_words, "sha": sha, "anchors": anchors})
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(w1, w2, doc_id): different windows around each document's recurring anchors."""
-    hasher = Hasher()
+    hasher = Windows()
     for batch in batches:
         hashes, ids = [], []
         for doc_id, text, anchors in zip(batch["doc_id"], batch["text"], batch["anchors"]):
-            h = hasher.words(_split(text))
-            low, known = hasher.window_anchors(h), np.sort(np.asarray(anchors, dtype=np.int64).view(np.uint64))
+            h = hasher.of(text)
+            low, known = hasher.anchors(h), np.sort(np.asarray(anchors, dtype=np.int64).view(np.uint64))
             near = known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low
             w1, w2 = (hasher.runs(h, WINDOW, i)[near] for i in (0, 1))
             order = np.argsort(w1)
@@ -145,12 +104,12 @@ def _window_rows(hashes: list[np.ndarray], ids: list[np.ndarray]) -> pd.DataFram
 
 def _passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(owner, n, passage): runs of words whose windows recur and start here first."""
-    hasher = Hasher()
+    hasher = Windows()
     for batch in batches:
         out = []
         for doc_id, text, owned in zip(batch["doc_id"], batch["text"], batch["owned"]):
-            words = _split(text)
-            w = hasher.runs(hasher.words(words), WINDOW).view(np.int64)
+            words = text.encode().split()  # bytes: ASCII white space only
+            w = hasher.runs(hasher.of(text), WINDOW).view(np.int64)
             first = np.zeros(len(w), dtype=bool)
             first[np.unique(w, return_index=True)[1]] = True
             mine = np.flatnonzero(first & np.isin(w, owned))
@@ -203,8 +162,8 @@ def _locate(passages: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
     if len(own):
         made = automaton(own)
         for sha, doc_id, text in zip(docs["sha"], docs["doc_id"], docs["text"]):
-            joined = b" ".join(_split(text)).decode()
-            out += [(sha, a, b) for a, b in set(occurrences(joined, doc_id, made, own, owners))]
+            plain = joined(*split(text)).decode()
+            out += [(sha, a, b) for a, b in set(occurrences(plain, doc_id, made, own, owners))]
     return pd.DataFrame(out, columns=["sha", "a", "b"])
 
 
@@ -212,13 +171,12 @@ def _rewritten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for sha, text, starts, ends in zip(batch["sha"], batch["text"], batch["starts"], batch["ends"]):
-            words = _split(text)
-            edge = np.zeros(len(words) + 1, dtype=np.int64)
+            cut_up = split(text)
+            edge = np.zeros(len(cut_up[1]) + 1, dtype=np.int64)
             np.add.at(edge, starts, 1)
             np.add.at(edge, ends, -1)
             gone = np.cumsum(edge[:-1]) > 0
-            kept = b" ".join(w for w, g in zip(words, gone) if not g)
-            rows.append((sha, int(gone.sum()), kept.decode()))
+            rows.append((sha, int(gone.sum()), joined(*cut_up, ~gone).decode()))
         yield pd.DataFrame(rows, columns=["sha", "n_removed", "kept_text"])
 
 

@@ -4,7 +4,9 @@ import hashlib
 import random
 import re
 
-from cladeloom.llm import queries, substring_dedup
+import numpy as np
+
+from cladeloom.llm import bytehash, queries, substring_dedup
 
 
 def brute(rows):
@@ -70,3 +72,27 @@ def test_a_single_window_and_empty_tables(documents):
     rows = [(5, "a " + text + " b"), (4, text), (9, text + " tail"), (7, " ".join(f"t{i}" for i in range(49)))]
     compare(substring_dedup.repeated_passages(documents(rows))[0].collect(), rows)
     assert substring_dedup.repeated_passages(documents([]))[0].count() == 0
+
+
+def test_bytes_of_words(monkeypatch):
+    rng = random.Random(3)
+    texts = ["", " ", "a", " a", "a ", "\x0ba\t\n b\x1c\u00a0c \x0c", "é ü" * 5] + [
+        "".join(rng.choice("ab é\t\n") for _ in range(rng.randint(1, 300))) for _ in range(200)
+    ]
+    seen = {}
+    for segment in (1 << 20, 40):
+        monkeypatch.setattr(bytehash, "SEGMENT", segment)
+        hasher = bytehash.ByteHasher()
+        for t in texts:
+            data, starts, ends = bytehash.split(t)
+            words = t.encode().split()
+            assert [data[a:b].tobytes() for a, b in zip(starts, ends)] == words
+            assert bytehash.joined(data, starts, ends) == b" ".join(words)
+            keep = np.array([rng.random() < 0.5 for _ in words], dtype=bool)
+            assert bytehash.joined(data, starts, ends, keep) == b" ".join(w for w, k in zip(words, keep) if k)
+            h = hasher.words(data, starts, ends)
+            for w, x in zip(words, h.tolist()):
+                assert seen.setdefault(w, x) == x
+            for p, x in enumerate(hasher.runs(h, 3).tolist()):
+                assert seen.setdefault(tuple(words[p : p + 3]), x) == x
+    assert len(set(seen.values())) == len(seen)
