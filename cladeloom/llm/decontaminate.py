@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeloom.llm.bytehash import ByteHasher
 from cladeloom.llm.common import body
-from cladeloom.llm.substring_dedup import Hasher
 
 #: Tokens of a template window; an item of fewer tokens is one window.
 WINDOW = 8
@@ -26,8 +24,9 @@ LEAST_TOKENS = 5
 LITERAL, COVERED, CONSISTENT = 0.5, 0.5, 0.8
 #: Benchmark text that one index holds; larger benchmarks are searched in blocks.
 BLOCK_BYTES = 16 << 20
+#: Leading bits of window hashes that are looked up before the hashes themselves.
+FIRST_BITS = 20
 
-_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?%$€£]")
 _NUMBERS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen"
     " eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
@@ -43,31 +42,64 @@ _SHORT_UNITS = frozenset("m g s h l km cm mm kg mg lb lbs oz ft mi ml kw hz c f
 WORD, NUMBER, NAME, UNIT, END = range(5)
 
 
-class Lexicon:
-    """Numbers of tokens, and what is known of each; forgotten when they are many."""
+# Kinds of bytes: letters (and all bytes beyond ASCII), digits, marks that are tokens of their own, the rest.
+_LETTER, _DIGIT, _MARK = 1, 2, 3
+_BYTE = np.zeros(256, dtype=np.int8)
+_BYTE[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_BYTE[48:58] = _DIGIT
+_BYTE[list(b".!?%$")] = _MARK
+_INSIDE = {_DIGIT: np.isin(np.arange(256), list(b".,:/")), _LETTER: np.arange(256) == ord("'")}
+#: Characters beyond ASCII that separate words, and their plain forms.
+_PLAIN = {"\u2019": "'", **dict.fromkeys("\u00a0\u2018\u201c\u201d\u201e\u00ab\u00bb\u00bf\u00a1\u2026\u2013\u2014", " ")}
 
-    MOST = 1 << 19
+
+def _lower(text: str) -> str:
+    """Lower case at unchanged places: characters whose lower case is longer or shorter stay."""
+    low = text.lower()
+    if len(low.encode()) == len(text.encode()):
+        return low
+    return "".join(c.lower() if len(c.lower().encode()) == len(c.encode()) else c for c in text)
+
+
+class Tokens(ByteHasher):
+    """Cuts texts into tokens and tells their kinds, all tokens of a text at once."""
 
     def __init__(self):
-        self.forget()
-
-    def forget(self):
-        self.ids: dict[str, int] = {}
-        self.value = np.zeros(1 << 12, dtype=np.uint64)
-        self.kind = np.zeros(1 << 12, dtype=np.int8)
-        self.flag = np.zeros(1 << 12, dtype=np.int8)  # 1 a capital, 2 a short unit
-
-    def add(self, token: str) -> int:
-        i = self.ids[token] = len(self.ids)
-        if i == len(self.value):
-            self.value, self.kind, self.flag = (np.concatenate([x, np.zeros_like(x)]) for x in (self.value, self.kind, self.flag))
-        low = token.lower().replace("’", "'")
-        self.value[i] = xxhash.xxh64_intdigest(low.encode())
-        self.kind[i] = (
-            END if low in ".!?" else NUMBER if low[0].isdigit() or low in _NUMBERS else UNIT if low in _UNITS else WORD
-        )
-        self.flag[i] = (token[0] != low[0] and len(low) > 1) + 2 * (low in _SHORT_UNITS)
-        return i
+        super().__init__()
+        words = sorted(_NUMBERS | _UNITS | _SHORT_UNITS | set(".!?"))
+        parts = [np.frombuffer(w.encode(), dtype=np.uint8) for w in words]
+        ends = np.cumsum([len(x) for x in parts])
+        h = self.words(np.concatenate(parts), ends - [len(x) for x in parts], ends)
+        kind = [END if w in ".!?" else NUMBER if w in _NUMBERS else UNIT if w in _UNITS else WORD for w in words]
+        order = np.argsort(h)
+        self.known, self.kind = h[order], np.array(kind, dtype=np.int8)[order]
+        self.short = np.array([w in _SHORT_UNITS for w in words])[order]
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(value, kind, capital, short unit) of each token."""
+        if not text.isascii():
+            for a, b in _PLAIN.items():
+                if a in text:
+                    text = text.replace(a, b)
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        low = np.frombuffer(_lower(text).encode(), dtype=np.uint8)
+        kind = _BYTE[data]
+        for k, inside in _INSIDE.items():
+            at = np.flatnonzero(inside[data])
+            at = at[(at > 0) & (at < len(data) - 1)]
+            kind[at[(kind[at - 1] == k) & (_BYTE[data[at + 1]] == k)]] = k
+        first = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == _MARK)])[: len(kind)]
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], len(kind)) if len(starts) else starts
+        real = kind[starts] != 0
+        starts, ends = starts[real], ends[real]
+        value = self.words(low, starts, ends)
+        at = np.minimum(np.searchsorted(self.known, value), len(self.known) - 1)
+        listed = self.known[at] == value
+        kinds = np.where(listed, self.kind[at], np.where(kind[starts] == _DIGIT, NUMBER, WORD))
+        second = np.minimum(starts + 1, ends - 1)
+        capital = ((low[starts] != data[starts]) | (low[second] != data[second])) & (ends - starts > 1)
+        return value, kinds, capital, listed & self.short[at]
 
 
 #: A placeholder's hash per kind of slot.
@@ -87,16 +119,11 @@ class Template:
     hashes: tuple[np.ndarray, np.ndarray]
 
 
-def canonical(text: str, lexicon: Lexicon) -> Template:
-    if len(lexicon.ids) > lexicon.MOST:
-        lexicon.forget()
-    ids, add = lexicon.ids, lexicon.add
-    found = [ids[t] if t in ids else add(t) for t in _TOKEN.findall(text)]
-    at = np.array(found, dtype=np.int64)
-    kind, flag, value = lexicon.kind[at], lexicon.flag[at], lexicon.value[at]
-    before = np.concatenate([[END], kind[:-1]]) if len(at) else kind
-    plain = np.where((flag & 2 > 0) & (before == NUMBER), UNIT, kind)
-    named = np.where((plain == WORD) & (flag & 1 > 0) & (before != END), NAME, plain)
+def canonical(text: str, tokens: Tokens) -> Template:
+    value, kind, capital, short = tokens.read(text)
+    before = np.concatenate([[END], kind[:-1]])[: len(kind)]
+    plain = np.where(short & (before == NUMBER), UNIT, kind)
+    named = np.where((plain == WORD) & capital & (before != END), NAME, plain)
     real = kind != END
     plain, named, value = plain[real], named[real], value[real]
     hashes = tuple(np.where(k == WORD, value, _PLACEHOLDER[k]) for k in (named, plain))
@@ -107,8 +134,8 @@ class Index:
     """Windows of a block of benchmark items by their hashes, in sorted arrays."""
 
     def __init__(self, items: list[tuple[object, str]]):
-        lexicon, self.hasher = Lexicon(), Hasher()
-        self.items = [(i, canonical(t or "", lexicon)) for i, t in items]
+        self.tokens = Tokens()
+        self.items = [(i, canonical(t or "", self.tokens)) for i, t in items]
         places: dict[tuple[int, int], dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for n, (_, t) in enumerate(self.items):
             length = min(WINDOW, len(t.values))
@@ -117,28 +144,34 @@ class Index:
             for form in (0, 1):
                 words = np.concatenate([[0], np.cumsum(t.kinds[form] == WORD)])
                 enough = words[length:] - words[:-length] >= LITERAL * length
+                h = self.tokens.runs(t.hashes[form], length)
                 for q in np.flatnonzero(enough):
-                    places[form, length][int(self.hasher.runs(t.hashes[form], length)[q])].append((n, int(q)))
-        self.windows = {
-            k: (np.sort(np.array(list(v), dtype=np.uint64)), dict(v)) for k, v in places.items()
-        }
+                    places[form, length][int(h[q])].append((n, int(q)))
+        self.windows = {}
+        for k, v in places.items():
+            known = np.sort(np.array(list(v), dtype=np.uint64))
+            # most windows of a text are told apart from all known ones by their first bits
+            begins = np.zeros(1 << FIRST_BITS, dtype=bool)
+            begins[known >> np.uint64(64 - FIRST_BITS)] = True
+            self.windows[k] = (begins, known, dict(v))
 
     def hits(self, t: Template) -> dict[int, list[tuple[int, int, int, int]]]:
         """item -> (form, place in the text, place in the item, length) of equal windows."""
         found = defaultdict(list)
-        for (form, length), (known, places) in self.windows.items():
-            h = self.hasher.runs(t.hashes[form], length)
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            for p in np.flatnonzero(known[at] == h).tolist():
+        for (form, length), (begins, known, places) in self.windows.items():
+            h = self.tokens.runs(t.hashes[form], length)
+            maybe = np.flatnonzero(begins[h >> np.uint64(64 - FIRST_BITS)])
+            at = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
+            for p in maybe[known[at] == h[maybe]].tolist():
                 for n, q in places[int(h[p])]:
                     own = self.items[n][1].hashes[form]
                     if np.array_equal(own[q : q + length], t.hashes[form][p : p + length]):
                         found[n].append((form, p, q, length))
         return found
 
-    def leaks(self, text: str, lexicon: Lexicon) -> list[tuple]:
+    def leaks(self, text: str) -> list[tuple]:
         """(item_id, coverage, slots, changed) of each item that the text holds."""
-        t = canonical(text, lexicon)
+        t = canonical(text, self.tokens)
         out = []
         for n, hits in self.hits(t).items():
             item_id, item = self.items[n]
@@ -191,9 +224,8 @@ def _leak_column(shared, kind: str):
 
     @F.pandas_udf(kind)
     def leaks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lexicon = Lexicon()
         for batch in texts:
-            yield pd.Series([[dict(zip(names, x)) for x in shared.value.leaks(t, lexicon)] for t in batch])
+            yield pd.Series([[dict(zip(names, x)) for x in shared.value.leaks(t)] for t in batch])
 
     return leaks
 
