@@ -139,21 +139,28 @@ def _combine(arrived: DataFrame, keys, ops: Semiring) -> tuple[DataFrame, DataFr
     return clades, nodes
 
 
-def below(levels: EdgeLevels, ops: Semiring) -> Below:
+def below(levels: EdgeLevels, ops: Semiring, keep: bool = False) -> Below:
+    """Values of all levels; ``keep`` writes every level's parts, for runs that go up again."""
     if levels.strict:
-        return _below_strict(levels, ops)
+        return _below_strict(levels, ops, keep)
     return _below_staged(levels, ops)
 
 
-def _below_strict(levels: EdgeLevels, ops: Semiring) -> Below:
+def _below_strict(levels: EdgeLevels, ops: Semiring, keep: bool = False) -> Below:
     keys = list(levels.keys)
     edge_parts, clade_parts, node_parts = [], [], []
     done = None
     for i, level in enumerate(levels.levels, 1):
         arrived = _arrive(level, done, keys, ops)
-        clades, done = _combine(arrived, keys, ops)
-        if levels.cut_every and i % levels.cut_every == 0:
-            done = cut(done, "below")
+        if keep:
+            # read again by the upward pass: edges and clades once each per level
+            arrived = cut(arrived, "arrived")
+            clades = cut(ops.within(arrived, [*keys, "parent_id", "clade_index"]), "clades")
+            done = cut(ops.between(clades, [*keys, "parent_id"]).withColumnRenamed("parent_id", "node_id"), "nodes")
+        else:
+            clades, done = _combine(arrived, keys, ops)
+            if levels.cut_every and i % levels.cut_every == 0:
+                done = cut(done, "below")
         edge_parts.append(arrived)
         clade_parts.append(clades)
         node_parts.append(done)

@@ -203,13 +203,20 @@ def counters(rows: Labelled) -> DataFrame:
     )
 
 
-def novel_nodes(fragment: HistoryDag, fragment_keys: leafsets.LeafKeys, known: leafsets.LeafKeys) -> DataFrame:
-    """(dag_id, novel): inner nodes of each fragment whose clade split the merge lacks."""
+def novel_nodes(
+    fragment: HistoryDag, fragment_keys: leafsets.LeafKeys, known: leafsets.LeafKeys, origin: Column | None = None
+) -> DataFrame:
+    """(dag_id, novel): inner nodes of each fragment whose clade split its own merge lacks.
+
+    ``origin`` names, from a fragment's ``dag_id``, the DAG of ``known`` that it
+    came from; by default one of the same id.
+    """
+    origin = F.col("dag_id") if origin is None else origin
     inner = fragment.nodes.where(F.col("kind") == "inner").select("dag_id", "node_id").join(
         fragment_keys.nodes.select("dag_id", "node_id", "split"), ["dag_id", "node_id"]
     )
-    seen = known.nodes.select("split").distinct()
-    new = inner.join(seen, "split", "left_anti").groupBy("dag_id").agg(
+    seen = known.nodes.select(F.col("dag_id").alias("origin"), "split").distinct()
+    new = inner.withColumn("origin", origin).join(seen, ["origin", "split"], "left_anti").groupBy("dag_id").agg(
         F.count(F.lit(1)).alias("novel")
     )
     return (

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeloom.functions.numbers import COUNT
+from cladeloom.functions.setkeys import set_key
 from cladeloom.operators import dp
 from cladeloom.operators.semiring import BestWeight
+from cladeloom.runtime import cut
 from cladeloom.schema import HistoryDag
 
 
@@ -25,25 +27,22 @@ def tree_clades(dag: HistoryDag, keys_nodes: DataFrame) -> DataFrame:
 def pairwise_rf(clades: DataFrame, group: str = "g", tree: str = "dag_id") -> DataFrame:
     """(group, t1, t2, rf) for every pair of trees of a group.
 
-    Clades with the same set of owning trees count alike, so they collapse to
-    (owners, how many) first; pairs are formed only between those few owner
-    sets, never per clade.
+    Clades with the same set of owning trees count alike: the set's key stands
+    for all of them, with how many there are, and one clade of each kind keeps
+    its owners.  Pairs come from an equal join on the kind, never from gathered
+    lists, and are counted before they are shuffled.
     """
     once = clades.groupBy(group, "key", tree).agg(F.count(F.lit(1)).alias("copies"))
-    owners = once.groupBy(group, "key").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(tree).alias("t"), "copies"))).alias("owners")
-    )
-    kinds = owners.groupBy(group, "owners").agg(F.count(F.lit(1)).alias("n"))
-    left = kinds.select(group, "owners", "n", F.explode("owners").alias("a"))
-    per_tree = left.groupBy(group, F.col("a.t").alias("t")).agg(
-        F.sum(F.col("a.copies") * F.col("n")).alias("size")
-    )
+    kind_of = once.groupBy(group, "key").agg(set_key(F.struct(F.col(tree).alias("t"), "copies")).alias("kind"))
+    kinds = kind_of.groupBy(group, "kind").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"))
+    held = cut(kinds.join(once, [group, "key"]).select(group, "key", "n", F.col(tree).alias("t"), "copies"), "kinds")
+    other = held.select(group, "key", F.col("t").alias("t2"), F.col("copies").alias("c2"))
     shared = (
-        left.select(group, "n", "a", F.explode("owners").alias("b"))
-        .where(F.col("a.t") < F.col("b.t"))
-        .groupBy(group, F.col("a.t").alias("t1"), F.col("b.t").alias("t2"))
-        .agg(F.sum(F.least("a.copies", "b.copies") * F.col("n")).alias("shared"))
+        held.withColumnsRenamed({"t": "t1", "copies": "c1"}).join(other, [group, "key"])
+        .where(F.col("t1") < F.col("t2"))
+        .groupBy(group, "t1", "t2").agg(F.sum(F.least("c1", "c2") * F.col("n")).alias("shared"))
     )
+    per_tree = held.groupBy(group, "t").agg(F.sum(F.col("copies") * F.col("n")).alias("size"))
     t1 = per_tree.withColumnsRenamed({"t": "t1", "size": "s1"})
     t2 = per_tree.withColumnsRenamed({"t": "t2", "size": "s2"})
     return (
@@ -67,17 +66,25 @@ def clade_multiplicity(node_keys: DataFrame, above: DataFrame, below: DataFrame,
     return joined.groupBy(*by, "key").agg(F.try_sum(trees).cast(COUNT).alias("trees"))
 
 
+def _counted(value: Column) -> Column:
+    """A tree count, or an error where it does not fit: a missing one would choose wrongly."""
+    lost = F.raise_error(F.lit("a tree count has over 38 digits: distances cannot be summed exactly"))
+    return F.coalesce(value, lost.cast(COUNT))
+
+
 def rf_weights(edges: DataFrame, multiplicity: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
     """Adds ``rf_w`` = N - 2 * (reference trees with the child's leaf set).
 
     ``edges`` carries ``key`` of each child; ``totals`` has (by..., num_trees).
+    Leaf sets that no reference tree has count zero.
     """
+    known = multiplicity.withColumn("trees", _counted(F.col("trees")))
     return (
-        edges.join(multiplicity, [*by, "key"], "left")
-        .join(totals, by)
+        edges.join(known, [*by, "key"], "left")
+        .join(totals.withColumn("num_trees", _counted(F.col("num_trees"))), by)
         .withColumn(
             "rf_w",
-            (F.col("num_trees") - 2 * F.coalesce("trees", F.lit(0).cast(COUNT))).cast("bigint"),
+            (F.col("num_trees") - 2 * F.coalesce("trees", F.lit(0).cast(COUNT))).cast(COUNT),
         )
         .drop("trees")
     )
@@ -85,9 +92,9 @@ def rf_weights(edges: DataFrame, multiplicity: DataFrame, totals: DataFrame, by:
 
 def rf_shift(multiplicity: DataFrame, by: list[str]) -> DataFrame:
     """(by..., shift): constant that turns the edge-weight sum into a distance sum."""
-    return multiplicity.groupBy(*by).agg(F.sum("trees").cast("bigint").alias("shift"))
+    return multiplicity.groupBy(*by).agg(F.sum(_counted(F.col("trees"))).cast(COUNT).alias("shift"))
 
 
 def best_sum_rf(largest: bool = False) -> BestWeight:
     """Minimum (or maximum) sum of RF distances to the reference trees."""
-    return BestWeight(F.col("rf_w"), largest=largest)
+    return BestWeight(F.col("rf_w"), largest=largest, dtype=COUNT)

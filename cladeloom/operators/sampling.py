@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeloom.functions.numbers import uniform_draw
-from cladeloom.operators import dp
 from cladeloom.runtime import cut
 from cladeloom.schema import HistoryDag
 
@@ -31,6 +30,12 @@ def weighted_key(seed: int, draw: Column, weight: Column, *edge_id: str) -> Colu
     return F.when(weight > 0, F.struct(F.lit(0), tick / weight)).otherwise(F.struct(F.lit(1), tick))
 
 
+def log_weighted_key(seed: int, draw: Column, log_weight: Column, *edge_id: str) -> Column:
+    """``weighted_key`` for weights given by their logarithms, however large."""
+    u = uniform_draw(F.lit(str(seed)), draw.cast("string"), *[F.col(c).cast("string") for c in edge_id])
+    return F.log(-F.log(u)) - log_weight
+
+
 def choose(edges: DataFrame, by: list[str], key: Column, keep: list[str]) -> DataFrame:
     """One edge per clade and draw, the one with the least key."""
     return edges.groupBy(*by).agg(F.min_by(F.struct(*keep), key).alias("e")).select(*by, "e.*")
@@ -102,8 +107,3 @@ class SamplePlan:
         if self.method not in METHODS:
             raise ValueError(f"unknown sampling method {self.method!r}; one of {', '.join(METHODS)}")
 
-
-def count_weights(result: dp.Below, best_only: bool) -> DataFrame:
-    """Edges with ``pick_n``, the number of (optimal) trees below each."""
-    edges = result.best_edges() if best_only else result.edges
-    return edges.withColumn("pick_n", F.col("n").cast("double"))

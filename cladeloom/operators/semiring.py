@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeloom.functions.numbers import COUNT, fold_factors
+from cladeloom.runtime import cut
 
 
 def mutation_cost() -> Column:
@@ -120,6 +121,31 @@ class TreeCount(Semiring):
         return _product(df, by, {})
 
 
+@dataclass(frozen=True)
+class TreeLogCount(Semiring):
+    """Natural logarithm of the number of trees below a node, of any size.
+
+    Alternatives add up relative to the largest one: a window over the clade
+    finds it, and the sum needs no further exchange.
+    """
+
+    values = ("log_n",)
+
+    def leaf(self):
+        return {"log_n": F.lit(0.0)}
+
+    def within(self, df, by):
+        top = F.max("log_n").over(Window.partitionBy(*by)).alias("top")
+        return (
+            df.groupBy(*by, "log_n").agg(F.count(F.lit(1)).alias("same")).select("*", top)
+            .groupBy(*by)
+            .agg((F.max("top") + F.log(F.sum(F.col("same") * F.exp(F.col("log_n") - F.col("top"))))).alias("log_n"))
+        )
+
+    def between(self, df, by):
+        return df.groupBy(*by).agg(F.sum("log_n").alias("log_n"))
+
+
 @dataclass(frozen=True)
 class BestCount(Semiring):
     """Best weight together with the number of trees that attain it."""
@@ -155,11 +181,12 @@ class Histogram(Semiring):
     """Number of trees per weight: rows (w, n); clades combine by convolution.
 
     ``count_type`` may be bigint where counts stay small; a count that does not
-    fit raises.
+    fit raises.  ``clades`` is the number of clades where it is known; without it
+    every level is written and its rounds follow from the data.
     """
 
     weight: Column = field(default_factory=mutation_cost)
-    max_clades: int = 64
+    clades: int | None = None
     count_type: str = COUNT
     values = ("w", "n")
 
@@ -176,7 +203,7 @@ class Histogram(Semiring):
         return df.groupBy(*by, "w").agg(_fits(F.try_sum("n"), self.count_type).alias("n"))
 
     def between(self, df, by):
-        return convolve(df, by, "clade_index", self.max_clades, self.count_type).drop("clade_index")
+        return convolve(df, by, "clade_index", self.clades, self.count_type)
 
 
 @dataclass(frozen=True)
@@ -205,35 +232,35 @@ def _fits(value: Column, count_type: str) -> Column:
     return F.coalesce(value.cast(count_type), F.raise_error(F.lit("tree count does not fit")).cast(count_type))
 
 
-def convolve(df: DataFrame, by: list[str], index: str, width: int, count_type: str = COUNT) -> DataFrame:
+def convolve(df: DataFrame, by: list[str], index: str, width: int | None = None, count_type: str = COUNT) -> DataFrame:
     """Distribution of the sum over ``index`` of independent histograms.
 
-    Neighbours 2i and 2i+1 combine each round, so k clades take log2(k) joins
-    and a sparse index costs nothing: an unpaired clade passes through.
+    Neighbours 2i and 2i+1 combine each round, so k clades take log2(k) rounds
+    and a sparse index costs nothing: an unpaired clade passes through.  A round
+    gathers the two histograms of a pair and multiplies them out, one exchange
+    each, so the plan below is read once.  Without ``width`` the rounds follow
+    from the largest index of the written table; an index beyond a given width
+    raises.
     """
+    if width is None:
+        df = cut(df, "histograms")
+        width = (df.agg(F.max(index)).first()[0] or 0) + 1
     one = F.lit(1).cast(count_type)
     while width > 1:
-        half = df.withColumn("slot", (F.col(index) / 2).cast("int"))
-        left = half.where(F.col(index) % 2 == 0).select(*by, "slot", "w", "n")
-        right = half.where(F.col(index) % 2 == 1).select(
-            *by, "slot", F.col("w").alias("w2"), F.col("n").alias("n2")
+        side = F.col(index) % 2
+        held = F.struct("w", "n")
+        pairs = df.groupBy(*by, F.floor(F.col(index) / 2).cast("int").alias("slot")).agg(
+            F.collect_list(F.when(side == 0, held)).alias("a"), F.collect_list(F.when(side == 1, held)).alias("b")
         )
-        df = (
-            left.join(right, [*by, "slot"], "full_outer")
-            .groupBy(
-                *by,
-                F.col("slot").alias(index),
-                (F.coalesce("w", F.lit(0)) + F.coalesce("w2", F.lit(0))).alias("w"),
-            )
-            .agg(
-                _fits(
-                    F.try_sum(_fits(F.try_multiply(F.coalesce("n", one), F.coalesce("n2", one)), count_type)),
-                    count_type,
-                ).alias("n")
-            )
+        met = pairs.select(*by, "slot", F.explode_outer("a").alias("a"), "b").select(
+            *by, "slot", "a", F.explode_outer("b").alias("b")
         )
+        n = _fits(F.try_multiply(F.coalesce("a.n", one), F.coalesce("b.n", one)), count_type)
+        w = F.coalesce("a.w", F.lit(0)) + F.coalesce("b.w", F.lit(0))
+        df = met.groupBy(*by, F.col("slot").alias(index), w.alias("w")).agg(_fits(F.try_sum(n), count_type).alias("n"))
         width = (width + 1) // 2
-    return df
+    left_over = F.raise_error(F.lit("a clade index lies beyond the given number of clades")).cast("bigint")
+    return df.select(*by, F.when(F.col(index) == 0, F.col("w")).otherwise(left_over).alias("w"), "n")
 
 
 # Histogram algebra on (key..., w, n) tables.
@@ -244,4 +271,4 @@ def histogram_union(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
 def histogram_product(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     """All sums of one weight from each side; an empty side gives the other's identity."""
     both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))
-    return convolve(both, by, "side", 2).drop("side")
+    return convolve(both, by, "side", 2)

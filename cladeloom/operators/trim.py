@@ -51,13 +51,13 @@ def clade_coverage(arrived: DataFrame, clades: DataFrame, keys: list[str]) -> Da
     )
 
 
-def trim_inconsistent(dag: HistoryDag, max_rounds: int = 1000) -> tuple[HistoryDag, DataFrame]:
+def trim_inconsistent(dag: HistoryDag) -> tuple[HistoryDag, DataFrame]:
     """Drop alternatives that miss leaves of their clade while a complete one stays.
 
-    Runs to a fixpoint.  Also returns (dag_id, edges_removed, unresolvable).
+    Runs to a fixpoint; every round but the last removes edges.  Also returns (dag_id, edges_removed, unresolvable).
     """
     removed = None
-    for _ in range(max_rounds):
+    while True:
         levels = leafsets.levels_with_leaves(dag)
         res = leafsets.leaf_closure(levels)
         cover = cut(clade_coverage(res.edges, res.clades, ["dag_id"]), "coverage")

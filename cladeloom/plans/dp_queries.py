@@ -84,7 +84,7 @@ pe as (select 'order' lvl, ck, ok, cl, w, score, score - tot penalty from ab
 
 def _penalties(spark, sf):
     """Edges with through_w, and the optimum of the customer they belong to."""
-    res = dp.below(tables.orders_forest(spark, sf), sr.BestWeight(weight()))
+    res = dp.below(tables.orders_forest(spark, sf), sr.BestWeight(weight()), keep=True)
     up = dp.above(res)
     owner = res.levels.levels[1].edges.select(
         F.col("child_id").alias("order_id"), F.col("parent_id").alias("ck")
@@ -166,7 +166,7 @@ from a join b on b.ok = a.ok join c on c.ok = a.ok group by 1, 2""",
 )
 def line_histogram(spark, sf):
     lv = layered(Level(tables.line_edges(spark, sf), "leaf"))
-    res = dp.below(lv, sr.Histogram(F.col("line_number"), max_clades=3, count_type="bigint"))
+    res = dp.below(lv, sr.Histogram(F.col("line_number"), clades=3, count_type="bigint"))
     return res.top.select(F.col("node_id").alias("ok"), "w", F.col("n").cast("bigint").alias("n"))
 
 
@@ -201,7 +201,7 @@ select cast(w as bigint) w, count(*) customers, cast(max(n) as bigint) most, cas
 )
 def weight_histogram(spark, sf):
     """Distribution of tree weights of every customer, summed per weight."""
-    res = dp.below(tables.orders_forest(spark, sf), sr.Histogram(F.col("line_number"), max_clades=8, count_type="bigint"))
+    res = dp.below(tables.orders_forest(spark, sf), sr.Histogram(F.col("line_number"), clades=5, count_type="bigint"))
     return res.top.groupBy("w").agg(
         F.count(F.lit(1)).alias("customers"),
         F.max("n").cast("bigint").alias("most"),

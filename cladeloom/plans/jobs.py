@@ -1,4 +1,7 @@
-"""Command-line jobs: ``spark-submit cladeloom/plans/jobs.py <job> ...``.
+"""Command-line jobs: ``cladeloom <job> ...`` or ``spark-submit cladeloom/plans/jobs.py <job> ...``.
+
+On a cluster the workers need the package too: install it there, or pass a zip
+of the ``cladeloom`` folder with ``--py-files``.
 
 report    load DAGs, merge them, print counts, histogram or edge penalties,
           trim or sample, save
@@ -9,8 +12,14 @@ build     many FASTA files and a folder of Newick trees into one merged DAG
 from __future__ import annotations
 
 import argparse
+import sys
+from functools import reduce
+from pathlib import Path
+
+if not __package__:  # started as a file
+    sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeloom.operators import dp, merge, trim
@@ -37,9 +46,8 @@ def load(spark: SparkSession, a) -> HistoryDag:
         parts.append(build.from_fasta_newick(spark, a.fasta, a.newick, reference, a.pattern))
     if not parts:
         raise SystemExit("no input given")
-    dag = parts[0]
-    for p in parts[1:]:
-        dag = dag.union(p)
+    # ids of merged DAGs are text, those of files numbers
+    dag = search.plain_ids(reduce(HistoryDag.union, map(search.as_strings, parts)))
     if a.vcf:
         dag = vcf.overlay_genomes(dag, vcf.read_vcf(spark, a.vcf, reference))
     return dag
@@ -55,6 +63,14 @@ def save(dag: HistoryDag, path: str | None, scores=None) -> None:
         dag.write(path)
 
 
+def tell(df: DataFrame, name: str, a) -> None:
+    """A report's first rows on the screen, all of it in a table if ``--reports`` names a folder."""
+    if a.reports:
+        df.write.mode("overwrite").parquet(f"{a.reports}/{name}")
+        df = df.sparkSession.read.parquet(f"{a.reports}/{name}")
+    df.show(truncate=False)
+
+
 def merged(dag: HistoryDag) -> HistoryDag:
     return merge.merge(dag, consistent=False)
 
@@ -63,27 +79,25 @@ def report(spark: SparkSession, a) -> None:
     ReportOptions(a.edge_penalties, a.trim, a.sample)
     model = load_model(spark, a.model) if a.model else None
     dag = merged(load(spark, a))
-    search.counts(dag).show(truncate=False)
+    tell(search.counts(dag), "counts", a)
     if a.info:
-        search.metrics(dag, model).show(truncate=False)
+        tell(search.metrics(dag, model), "metrics", a)
     if a.histogram:
-        width = dag.edges.agg(F.max("clade_index") + 1).first()[0]
-        hist = dp.below(rank_edges(dag), sr.Histogram(max_clades=width)).top
-        hist.orderBy("dag_id", "w").show(1000, truncate=False)
+        tell(dp.below(rank_edges(dag), sr.Histogram()).top.orderBy("dag_id", "w"), "histogram", a)
     scores = None
     if a.edge_penalties:
         levels, ops = search.weigh(dag, a.edge_penalties, model)
         below = dp.below(levels, ops)
         rel = 1e-8 if a.edge_penalties == "ml" else None
         pen = dp.edge_penalties(below, dp.above(below).edges, rel)
-        dp.penalty_summary(pen, ["dag_id"]).show(truncate=False)
+        tell(dp.penalty_summary(pen, ["dag_id"]), "penalties", a)
         scores = pen.select("dag_id", "edge_id", F.col("penalty").cast("double").alias("score"))
     if a.trim:
         levels, ops = search.weigh(dag, a.trim, model)
         dag = trim.trim_to_best(dag, dp.below(levels, ops))
     if a.sample:
         dag = search.sample_trees(dag, 1, a.seed, a.sample, a.uniform, model)
-        search.tree_scores(dag).show(truncate=False)
+        tell(search.tree_scores(dag), "scores", a)
     save(dag, a.output, scores)
 
 
@@ -100,10 +114,10 @@ def optimise(spark: SparkSession, a) -> None:
     dag, history = search.optimise(load(spark, a), options)
     for i, value in enumerate(history, 1):
         print(f"iteration {i}: {value:g}")
-    search.counts(dag).show(truncate=False)
+    tell(search.counts(dag), "counts", a)
     if options.diverse:
         chosen, pool = search.diverse_trees(dag, options.diverse, options.pool, options.seed)
-        chosen.show(truncate=False)
+        tell(chosen, "diverse", a)
         newick.write_newick(search.keep_dags(pool, chosen.select(F.col("tree").alias("dag_id"))), a.output)
     else:
         save(dag, a.output)
@@ -124,6 +138,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--reference")
         p.add_argument("--pattern", help="file name pattern of the Newick files")
         p.add_argument("--output")
+        p.add_argument("--reports", help="folder for the whole reports as Parquet tables")
         p.add_argument("--seed", type=int, default=42)
         p.add_argument("--uniform", action="store_true")
         p.add_argument("--model", help="path prefix of a model's .yml and -libtorch.pth")

@@ -95,24 +95,25 @@ def merge_counters(spark, sf):
 @query(
     "merged_clade_index",
     f"""with {GROUPS},
-first as (select rk, nk, split, min(t) t from nv group by 1, 2, 3)
-select f.rk, f.nk, f.t, cl.grp clade_index, cl.sz leaves from first f join cl on cl.rk = f.rk and cl.nk = f.nk and cl.t = f.t""",
+n1 as (select rk, nk, split, min(t) t from nv group by 1, 2, 3),
+g1 as (select rk, key, min(t || '/' || nk || '/' || grp) src from cl group by 1, 2),
+r1 as (select rk, split, min(t) t from rv group by 1, 2)
+select f.rk, f.t, 'nation' parent, cl.grp clade_index, cl.sz leaves from n1 f join cl on cl.rk = f.rk and cl.nk = f.nk and cl.t = f.t
+union all select f.rk, f.t, 'region', cast(nv.nk as varchar), nv.sz from r1 f join (select rk, nk, t, max(sz) sz from nv group by all) nv on nv.rk = f.rk and nv.t = f.t
+union all select f.rk, split_part(f.src, '/', 1), 'group', cast(g.k as varchar), 1 from g1 f join g on g.rk = f.rk and g.t || '/' || g.nk || '/' || g.grp = f.src""",
 )
 def merged_clade_index(spark, sf):
-    """Clade number of every merged nation -> group edge, as its first source tree numbers it."""
+    """Clade number of every merged edge below a region, as its parent's first source node numbers it."""
     rows = _labelled(spark, sf)
-    nations = rows.edges.where(F.col("parent_id").startswith("n") & ~F.col("parent_id").contains("/"))
-    edges = merge.dedup_edges(nations)
-    first = nations.groupBy("g", "parent").agg(
-        F.min(F.struct("dag_id", "parent_id")).alias("src")
-    )
-    return (
-        merge.indexed_edges(edges, merge.clade_slots(nations)).join(first, ["g", "parent"])
-        .select(
-            F.col("g").alias("rk"), F.substring("src.parent_id", 2, 9).cast("int").alias("nk"),
-            F.substring_index("src.dag_id", "/", -1).alias("t"), "clade_index",
-            F.col("key.n").alias("leaves"),
-        )
+    inner = rows.edges
+    first = inner.groupBy("g", "parent").agg(F.min(F.struct("dag_id", "parent_id")).alias("src"))
+    slots = merge.clade_slots(inner)
+    per_clade = slots.join(first, ["g", "parent"])
+    parent = F.col("src.parent_id")
+    kind = F.when(parent.contains("/"), "group").when(parent.startswith("n"), "nation").otherwise("region")
+    return per_clade.select(
+        F.col("g").alias("rk"), F.substring_index("src.dag_id", "/", -1).alias("t"), kind.alias("parent"),
+        F.col("clade_index").cast("string").alias("clade_index"), F.col("key.n").alias("leaves"),
     )
 
 
@@ -191,7 +192,9 @@ def novel_nodes(spark, sf):
     """Inner nodes of trees C and D whose clade split the merge of A and B lacks."""
     known, known_levels = tables.grouping_trees(spark, sf, "AB")
     frag, frag_levels = tables.grouping_trees(spark, sf, "CD")
-    out = merge.novel_nodes(frag, leafsets.leaf_keys(frag_levels), leafsets.leaf_keys(known_levels))
+    keys = leafsets.leaf_keys(known_levels)
+    of_region = replace(keys, nodes=keys.nodes.withColumn("dag_id", tables.region_of()))
+    out = merge.novel_nodes(frag, leafsets.leaf_keys(frag_levels), of_region, tables.region_of())
     return out.select(
         tables.region_of().alias("rk"), F.substring_index("dag_id", "/", -1).alias("t"), "novel"
     )
@@ -350,7 +353,7 @@ def sum_rf_range(spark, sf):
     lo = dp.below(levels, rf.best_sum_rf()).top.select("rk", F.col("w").alias("lo"))
     hi = dp.below(levels, rf.best_sum_rf(True)).top.select("rk", F.col("w").alias("hi"))
     return lo.join(hi, "rk").join(shift, "rk").select(
-        "rk", (F.col("lo") + F.col("shift")).alias("least"), (F.col("hi") + F.col("shift")).alias("most")
+        "rk", *[(F.col(c) + F.col("shift")).cast("bigint").alias(name) for c, name in (("lo", "least"), ("hi", "most"))]
     )
 
 
@@ -381,10 +384,10 @@ def rf_histogram(spark, sf):
     below = dp.below(layered(low, keys=("rk",)), rf.best_sum_rf())
     versions = below.top.select("rk", F.col("node_id").alias("child_id"), F.col("w").alias("below_w"))
     alternatives = cut(high.edges.join(versions, ["rk", "child_id"]), "versions")
-    ops = sr.Histogram(F.col("rf_w") + F.col("below_w"), max_clades=25, count_type="bigint")
+    ops = sr.Histogram(F.col("rf_w") + F.col("below_w"), count_type="bigint")
     res = dp.below(layered(Level(alternatives, "leaf"), keys=("rk",)), ops)
     return res.top.join(shift, "rk").select(
-        "rk", (F.col("w") + F.col("shift")).alias("rf_sum"), F.col("n").cast("bigint").alias("trees")
+        "rk", (F.col("w") + F.col("shift")).cast("bigint").alias("rf_sum"), F.col("n").cast("bigint").alias("trees")
     )
 
 

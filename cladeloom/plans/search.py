@@ -24,10 +24,16 @@ ARC = ["dag_id", "parent_id", "clade_index", "child_id"]
 
 
 def own_dag() -> Column:
-    """The DAG a tree was drawn from."""
+    """The DAG a tree was drawn from: what precedes the number sign of its id (``plain_ids``)."""
     return F.substring_index("dag_id", "#", 1)
 
 
+def plain_ids(dag: HistoryDag) -> HistoryDag:
+    """Ids without the sign that sets off draws and moves; loaders name DAGs by paths, which may hold it."""
+    name = F.replace("dag_id", F.lit("#"), F.lit("%23"))
+    return HistoryDag(*(t.withColumn("dag_id", name) for t in (dag.nodes, dag.edges, dag.refs)))
+
+
 def _flag_root_edges(dag: HistoryDag) -> DataFrame:
     uas = dag.nodes.where("kind = 'ua'").select(
         "dag_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("parent_is_ua")
@@ -86,10 +92,10 @@ def best_score(dag: HistoryDag, method: str = "parsimony", model=None) -> DataFr
     return dp.below(levels, ops).top.select("dag_id", "w")
 
 
-def _tree_counts(levels: EdgeLevels, edges: DataFrame) -> DataFrame:
-    """(dag_id, node_id, n): trees below every node using only ``edges``."""
+def _tree_log_counts(levels: EdgeLevels, edges: DataFrame) -> DataFrame:
+    """(dag_id, node_id, log_n): logarithm of the trees below every inner node using only ``edges``."""
     ranked = cut(levels.ranked.join(edges.select(*ARC), ARC, "left_semi"), "kept", ("child_rank",))
-    return dp.below(replace(levels, ranked=ranked), sr.TreeCount()).nodes.select("dag_id", "node_id", "n")
+    return dp.below(replace(levels, ranked=ranked), sr.TreeLogCount()).nodes.select("dag_id", "node_id", "log_n")
 
 
 def sample_trees(
@@ -108,16 +114,15 @@ def sample_trees(
         best = dp.below(levels, ops).best_edges().select(*ARC).distinct()
         allowed = cut(dag.edges.join(best, ARC, "left_semi"), "best")
     if uniform:
-        counts = _tree_counts(levels, allowed).withColumnsRenamed({"node_id": "child_id", "n": "pick_n"})
+        counts = _tree_log_counts(levels, allowed).withColumnsRenamed({"node_id": "child_id", "log_n": "pick_log"})
         allowed = cut(
-            allowed.join(counts, ["dag_id", "child_id"], "left").withColumn(
-                "pick_n", F.coalesce(F.col("pick_n").cast("double"), F.lit(1.0))
-            ),
+            # only leaves have no count: below them there is one tree
+            allowed.join(counts, ["dag_id", "child_id"], "left").withColumn("pick_log", F.coalesce("pick_log", F.lit(0.0))),
             "weighted",
         )
 
         def key(d):
-            return sampling.weighted_key(seed, d, F.col("pick_n"), *ARC)
+            return sampling.log_weighted_key(seed, d, F.col("pick_log"), *ARC)
     else:
 
         def key(d):
@@ -211,14 +216,14 @@ def rescore(
     if options.node_coeff:
         novel = merge.novel_nodes(
             fragments, leafsets.leaf_keys(leafsets.levels_with_leaves(fragments)),
-            leafsets.leaf_keys(leafsets.levels_with_leaves(known)),
+            leafsets.leaf_keys(leafsets.levels_with_leaves(known)), own_dag(),
         )
         total = options.score_coeff * F.col("score") + options.node_coeff * F.col("novel")
         return named.join(novel, "dag_id").select("dag_id", total.alias("final")).where(F.col("final") < 0)
     return named.select("dag_id", F.col("score").alias("final"))
 
 
-def _as_strings(dag: HistoryDag) -> HistoryDag:
+def as_strings(dag: HistoryDag) -> HistoryDag:
     """Node ids as strings, so that loaded and merged DAGs can be stacked."""
     text = {c: F.col(c).cast("string") for c in ("parent_id", "child_id")}
     edges = dag.edges.withColumns(text).select(
@@ -232,7 +237,7 @@ def _as_strings(dag: HistoryDag) -> HistoryDag:
 
 def merge_all(parts: list[HistoryDag]) -> HistoryDag:
     """Merge of all parts, one DAG per original dag_id."""
-    stacked = reduce(HistoryDag.union, [_as_strings(p) for p in parts])
+    stacked = reduce(HistoryDag.union, [as_strings(p) for p in parts])
     return merge.merge(materialise(stacked, "stack"), own_dag())
 
 

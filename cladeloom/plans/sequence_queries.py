@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cladeloom.functions import bases, kmers
 from cladeloom.functions import sitewords as sw
-from cladeloom.operators import fitch, likelihood
+from cladeloom.operators import fitch, likelihood, spr
 from cladeloom.plans import tables
 from cladeloom.plans.registry import REF, SEQ, query
 from cladeloom.runtime import spread
@@ -101,17 +101,46 @@ def applied_mutations(spark, sf):
     return built.select("ok", F.size("cg").cast("bigint").alias("n"), total.alias("pos_sum"))
 
 
+COARSE = "c_custkey % 97"
+GENOMES = f"""sq as (select c_nationkey nk, c_custkey k, {SEQ.format(COARSE)} q from customer), {SITES},
+gs as (select k, p, substr(q, p, 1) b from sq cross join sites where substr(q, p, 1) <> substr({REF}, p, 1)),
+g as (select nk, sq.k, '<' || coalesce(string_agg(cast(p as varchar) || b || ',', '' order by p), '') || '>' cg from sq left join gs on gs.k = sq.k group by 1, 2)"""
+
+
+def _coarse_leaves(spark, sf):
+    """Customers as leaves of their nation's star, ninety-seven sequences in all."""
+    rows = spread(tables.table(spark, sf, "customer").select("c_custkey", "c_nationkey")).select(
+        F.col("c_nationkey").cast("string").alias("dag_id"), F.col("c_custkey").alias("node_id"),
+        tables.sequence_of(F.col("c_custkey") % 97).alias("q"),
+    )
+    return rows.withColumn("cg", bases.genome_from_sequence(F.col("q"), tables.reference()))
+
+
 @query(
     "genome_ids",
-    f"""with {CUST}, s8 as (select k, p, b from df where p <= 3 and b <> r),
-g as (select c_custkey k, '<' || coalesce(string_agg(cast(p as varchar) || b || ',', '' order by p), '') || '>' cg from customer left join s8 on s8.k = c_custkey group by 1)
-select cg, count(*) n, min(k) first from g group by 1""",
+    f"""with {GENOMES}
+select nk, cg id, count(*) n, min(k) first from g group by 1, 2""",
 )
 def genome_ids(spark, sf):
-    """Canonical genome strings over the first three sites and how many share each."""
-    cg = bases.genome_from_sequence(F.substring("q", 1, 3), F.substring(tables.reference(), 1, 3))
-    named = _customers(spark, sf).select("k", bases.genome_string(cg).alias("cg"))
-    return named.groupBy("cg").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))
+    """Leaf ids from whole genomes: how many leaves of a nation start with each, and which has the bare one."""
+    from cladeloom.operators.genomes import name_leaves
+    from cladeloom.schema import HistoryDag
+
+    leaves = _coarse_leaves(spark, sf).select(
+        "dag_id", "node_id", F.lit("leaf").alias("kind"), F.lit("").alias("sample_id"), "cg"
+    )
+    named = name_leaves(HistoryDag(leaves, None, None)).nodes
+    number = F.coalesce(F.expr("try_cast(nullif(split_part(sample_id, '#', 2), '') as bigint)"), F.lit(0))
+    ids = named.select("dag_id", "node_id", F.substring_index("sample_id", "#", 1).alias("id"), number.alias("number"))
+    by_id = ids.groupBy("dag_id", "id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first"), F.max("number").alias("last"),
+        F.count_distinct("number").alias("numbers"),
+    )
+    whole = (F.col("last") == F.col("n") - 1) & (F.col("numbers") == F.col("n"))
+    return by_id.select(
+        F.col("dag_id").cast("int").alias("nk"), "id",
+        F.when(whole, F.col("n")).otherwise(F.raise_error(F.lit("numbers are not gapless")).cast("bigint")).alias("n"), "first",
+    )
 
 
 @query(
@@ -303,13 +332,25 @@ def heap_root_state(spark, sf):
 
 @query(
     "condensed_leaves",
-    f"""with s as (select c_nationkey nk, c_custkey k, substr({SEQ.format('c_custkey')}, 1, 3) q from customer)
-select nk, q, min(k) keeper, count(*) copies from s group by 1, 2""",
+    f"""with s as (select c_nationkey nk, c_custkey k, {SEQ.format(COARSE)} q from customer)
+select nk, min(k) keeper, count(*) copies from s group by nk, q""",
 )
 def condensed_leaves(spark, sf):
     """Sibling leaves with equal genomes: the one kept searchable and its copies."""
-    return _customers(spark, sf).groupBy("nk", F.substring("q", 1, 3).alias("q")).agg(
-        F.min("k").alias("keeper"), F.count(F.lit(1)).alias("copies")
+    leaves = _coarse_leaves(spark, sf).select("dag_id", F.col("node_id").alias("k"), "q")
+    parent = F.col("dag_id").cast("bigint")
+    link = leaves.select("dag_id", F.col("k").alias("node_id"), (-1 - parent).alias("parent_id"), F.lit(0).alias("n_children"))
+    root = link.select("dag_id", F.col("parent_id").alias("node_id")).distinct().select(
+        "*", F.lit(None).cast("bigint").alias("parent_id"), F.lit(1).alias("n_children")
+    )
+    packed = F.posexplode(sw.pack_words(F.col("q"), WORDS)).alias("word", "bits")
+    words = leaves.select("dag_id", F.col("k").alias("node_id"), packed)
+    tree = fitch.Tree(link.unionByName(root), 1, ("dag_id",))
+    kept = spr.searchable(spr.TreeIndex(tree, words, None)).select("dag_id", F.col("node_id").alias("keeper"))
+    copies = leaves.groupBy("dag_id", "q").agg(F.count(F.lit(1)).alias("copies"))
+    genome = leaves.withColumnRenamed("k", "keeper")
+    return kept.join(genome, ["dag_id", "keeper"]).join(copies, ["dag_id", "q"]).select(
+        F.col("dag_id").cast("int").alias("nk"), "keeper", "copies"
     )
 
 

@@ -9,6 +9,7 @@ session's ``spark.sql.autoBroadcastJoinThreshold`` allows.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,7 +22,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     current = configured or sc.getCheckpointDir()
     if current:
         return current
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise RuntimeError(
             "set spark.checkpoint.dir to a folder that every executor can reach"
         )
@@ -48,11 +49,11 @@ def cut(df: DataFrame, name: str = "stage", partition_by: tuple[str, ...] = ())
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores ahead of costly expressions.
 
-    Large inputs already come in more splits than there are cores and stay as
-    they are; only a table of few splits is dealt out round-robin.
+    Large inputs already come in more files' splits than there are cores and
+    stay as they are; only a table of a few small files is dealt out round-robin.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def materialise(dag, name: str = "dag"):

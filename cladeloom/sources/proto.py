@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gzip
 import struct
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,10 +146,15 @@ def _decode(files: DataFrame, rows_of, schema: str) -> DataFrame:
 
 
 def read_dag(spark: SparkSession, paths, by_folder: bool = False) -> HistoryDag:
-    """DAG files as one container; ``dag_id`` is the file, or its folder for parts."""
-    files = spark.read.format("binaryFile").load(paths).where(F.col("length") > 0)
+    """DAG files as one container; ``dag_id`` is the file, or its folder for parts.
+
+    Parts in a folder named like a file (``x.pb``), as ``write_dag`` makes them,
+    are known as such; ``by_folder`` takes the files of any folder as parts.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).where(F.col("length") > 0)
     raw = cut(_decode(files, _dag_rows, EDGE_ROWS), "proto")
-    dag_id = F.regexp_replace("path", "/[^/]*$", "") if by_folder else F.col("path")
+    parts = F.lit(True) if by_folder else F.col("path").rlike(r"\.pb(\.gz)?(/dag-[^/]*)?/part-[^/]*$")
+    dag_id = F.when(parts, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path"))
     raw = raw.withColumn("dag_id", dag_id)
     edges = raw.where(F.col("parent_id").isNotNull()).select(
         "dag_id", "edge_id", "parent_id", "child_id", "clade_index", "mutations", "edge_weight"
@@ -361,31 +367,41 @@ def encoded_rows(dag: HistoryDag, scores: DataFrame | None = None) -> DataFrame:
 
 
 def write_dag(dag: HistoryDag, folder: str, compress: bool = False, scores: DataFrame | None = None) -> None:
-    """Part files ``<folder>/part-NNNNN.pb[.gz]`` on a path every task can write.
+    """Part files ``<folder>/part-NNNNN.pb[.gz]``, or a folder ``dag-<id>`` each for several DAGs.
 
-    Rerunning a task rewrites the same part, so a lost executor does no harm.
+    ``folder`` is a path or address that Arrow's file systems reach from every
+    task (a shared mount, HDFS, an object store).  A part appears under its name
+    when it is whole and a rerun task replaces it, so a lost executor does no harm.
     """
-    import os
-
-    os.makedirs(folder, exist_ok=True)
+    several = dag.refs.select("dag_id").distinct().limit(2).count() > 1
     suffix = ".pb.gz" if compress else ".pb"
 
     def run(batches):
         import pyarrow as pa
+        from pyarrow import fs
         from pyspark import TaskContext
 
-        opener = gzip.open if compress else open
+        store, base = fs.FileSystem.from_uri(folder)
         ctx = TaskContext.get()
-        part = f"{folder}/part-{ctx.partitionId():05d}{suffix}"
-        temp = f"{folder}/.part-{ctx.partitionId():05d}-{ctx.taskAttemptId()}"
-        size = 0
-        with opener(temp, "wb") as out:
-            for batch in batches:
-                for b in batch.column("bytes").to_pylist():
-                    out.write(b)
-                    size += len(b)
-        os.replace(temp, part)
+        held, size = {}, 0
+        for batch in batches:
+            for dag_id, b in zip(batch.column("dag_id").to_pylist(), batch.column("bytes").to_pylist()):
+                where = f"{base}/dag-{quote(dag_id, safe='')}" if several else base
+                if where not in held:
+                    store.create_dir(where, recursive=True)
+                    stream = store.open_output_stream(f"{where}/.part-{ctx.partitionId():05d}-{ctx.taskAttemptId()}", compression=None)
+                    held[where] = (stream, gzip.GzipFile(fileobj=stream, mode="wb") if compress else stream)
+                held[where][1].write(b)
+                size += len(b)
+        for where, (stream, out) in held.items():
+            out.close()
+            stream.close()
+            store.move(f"{where}/.part-{ctx.partitionId():05d}-{ctx.taskAttemptId()}", f"{where}/part-{ctx.partitionId():05d}{suffix}")
         yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64())], names=["size"])
 
-    # Written from a materialised table, so a rerun task sees the same rows.
-    cut(encoded_rows(dag, scores), "encoded").select("bytes").mapInArrow(run, "size bigint").agg(F.sum("size")).collect()
+    # Written from a materialised table in the DAGs' order, so a rerun task sees
+    # the same rows and holds few files open.
+    rows = cut(encoded_rows(dag, scores), "encoded").select("dag_id", "bytes")
+    if several:
+        rows = rows.sortWithinPartitions("dag_id")
+    rows.mapInArrow(run, "size bigint").agg(F.sum("size")).collect()

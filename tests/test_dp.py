@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -86,3 +87,31 @@ def test_stored_weights(spark):
     up = dp.above(res).edges.where("dag_id = 'w'").collect()
     assert all(r["through_w"] == (3.5 if r["edge_weight"] < 2 else 30.5) for r in up)
     assert res.best_edges().where("dag_id = 't'").count() == 3
+
+
+def wide(clades, alternatives):
+    """A UA, one node with so many clades, and as many leaves per clade; weight 1 on every edge."""
+    ref, arcs, seqs = "AAAA", [(0, 1, 0, 1)], {1: "AAAA"}
+    n = 2
+    for c in clades:
+        for _ in range(alternatives):
+            seqs[n] = "CAAA"
+            arcs.append((1, n, c, 1))
+            n += 1
+    return ref, seqs, arcs, {}
+
+
+def test_histogram_of_many_and_sparse_clades(spark):
+    dag = g.build(spark, {"sparse": wide([0, 70], 1), "many": wide(range(90), 2), "one": wide([3], 5)})
+    got = {(r["dag_id"], r["w"]): int(r["n"]) for r in dp.below(levels.rank_edges(dag), sr.Histogram()).top.collect()}
+    assert got == {("sparse", 2): 1, ("many", 90): 2**90, ("one", 1): 5}
+    with pytest.raises(Exception, match="beyond the given number"):
+        dp.below(levels.rank_edges(dag), sr.Histogram(clades=64)).top.collect()
+
+
+def test_counts_of_any_size_have_logarithms(spark):
+    dag = g.build(spark, {"big": wide(range(250), 3), "small": wide(range(3), 4)})
+    lv = levels.rank_edges(dag)
+    got = top(dp.below(lv, sr.TreeLogCount()), "log_n")
+    assert got["big"] == pytest.approx(250 * math.log(3)) and got["small"] == pytest.approx(math.log(64))
+    assert top(dp.below(lv, sr.TreeCount()), "n") == {"big": None, "small": 64}

@@ -78,6 +78,16 @@ def test_proto_roundtrip(spark, tmp_path):
         assert _shape(back) == _shape(dag)
 
 
+def test_several_dags_in_one_sink(spark, tmp_path):
+    dag = g.build(spark, {"w/1": g.WEIGHTED, "six": g.SIX_A})
+    for compress in (False, True):
+        folder = str(tmp_path / ("two.pb.gz" if compress else "two.pb"))
+        proto.write_dag(dag, folder, compress)
+        back = proto.read_dag(spark, folder)
+        assert back.refs.count() == 2 and back.nodes.where("kind = 'ua'").count() == 2
+        assert _shape(back) == _shape(dag)
+
+
 def test_parsimony_tree(spark, tmp_path):
     def mut(pos, par, to):
         return proto._enc(1, pos) + proto._enc(3, par) + proto._enc(4, proto._enc_varint(to))
