@@ -17,11 +17,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeloom.runtime import cut
+from cladeloom.runtime import cut, stage_path
 from cladeloom.schema import HistoryDag
 
-MAX_LEVELS = 5000
-
 
 @dataclass(frozen=True)
 class Level:
@@ -51,66 +49,70 @@ def layered(*levels: Level, keys: tuple[str, ...] = (), cut_every: int = 0) -> E
     return EdgeLevels(keys, tuple(levels), None, len(levels), cut_every)
 
 
-def _loop(name: str, start: DataFrame, step, limit: int = MAX_LEVELS) -> list[DataFrame]:
-    """Run ``step`` on its own output until it is empty; return every round."""
-    rounds = [cut(start, name)]
-    while not rounds[-1].isEmpty():
-        if len(rounds) > limit:
-            raise ValueError(f"{name}: over {limit} levels; the graph has a cycle")
-        rounds.append(cut(step(rounds[-1]), name))
-    return rounds[:-1]
-
+def _peel(arcs: DataFrame, start: DataFrame, name: str) -> DataFrame:
+    """(dag_id, node_id, rank): longest path to each node along ``arcs`` (dag_id, node_id, next_id).
 
-def _stack(rounds: list[DataFrame], column: str) -> DataFrame:
-    out = None
-    for i, df in enumerate(rounds):
-        one = df.withColumn(column, F.lit(i))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def heights(dag: HistoryDag, limit: int = MAX_LEVELS) -> DataFrame:
-    """(dag_id, node_id, height): longest path down to a childless node."""
-    e = dag.edges.select("dag_id", "parent_id", F.col("child_id"))
-    parents = e.select("dag_id", F.col("parent_id").alias("node_id")).distinct()
-    leaves = dag.nodes.select("dag_id", "node_id").join(
-        parents, ["dag_id", "node_id"], "left_anti"
+    A node is ranked once, in the round after the last of its incoming arcs was
+    followed, and only then followed itself, so the rounds together write a
+    row per node and per node that waits for more.  ``start`` holds the nodes
+    without incoming arcs and their rank; a null rank marks a start whose paths
+    do not count.  What never becomes free of incoming arcs lies on or behind a
+    cycle.
+    """
+    spark = arcs.sparkSession
+    path = stage_path(spark, name)
+    need = arcs.groupBy("dag_id", F.col("next_id").alias("node_id")).agg(F.count(F.lit(1)).alias("need"))
+    ids = ["dag_id", "node_id"]
+    schema = f"{', '.join(f'{c} {arcs.schema[c].dataType.simpleString()}' for c in ids)}, rank int, got bigint, done boolean"
+    start.select(*ids, F.col("rank").cast("int").alias("rank"), F.lit(0).cast("bigint").alias("got"), F.lit(True).alias("done")).write.parquet(
+        f"{path}/round=0"
     )
-
-    def step(frontier):
-        return (
-            frontier.withColumnRenamed("node_id", "child_id")
-            .join(e, ["dag_id", "child_id"])
-            .select("dag_id", F.col("parent_id").alias("node_id"))
-            .distinct()
+    i = 0
+    while True:
+        last = spark.read.schema(schema).parquet(f"{path}/round={i}")
+        ready, waiting = last.where("done"), last.where("not done")
+        if ready.isEmpty():
+            break
+        came = ready.join(arcs, ids).select(
+            "dag_id", F.col("next_id").alias("node_id"), (F.col("rank") + 1).alias("rank"), F.lit(1).cast("bigint").alias("got")
         )
-
-    rounds = _loop("heights", leaves, step, limit)
-    return (
-        _stack(rounds, "height")
-        .groupBy("dag_id", "node_id")
-        .agg(F.max("height").alias("height"))
+        met = came.unionByName(waiting.drop("done")).groupBy(*ids).agg(F.max("rank").alias("rank"), F.sum("got").alias("got"))
+        i += 1
+        met.join(need, ids).select(*ids, "rank", "got", (F.col("got") == F.col("need")).alias("done")).write.parquet(f"{path}/round={i}")
+    ranked = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path).where("done")
+    if ranked.where("got > 0").count() != need.count():
+        raise ValueError(f"{name}: the graph has a cycle")
+    return ranked.where("rank is not null").select(*ids, "rank")
+
+
+def _ends(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes without incoming arcs."""
+    return nodes.select("dag_id", "node_id").join(
+        arcs.select("dag_id", F.col("next_id").alias("node_id")), ["dag_id", "node_id"], "left_anti"
     )
 
 
-def depths(dag: HistoryDag, limit: int = MAX_LEVELS) -> DataFrame:
+def heights(dag: HistoryDag) -> DataFrame:
+    """(dag_id, node_id, height): longest path down to a childless node."""
+    arcs = dag.edges.select("dag_id", F.col("child_id").alias("node_id"), F.col("parent_id").alias("next_id"))
+    start = _ends(arcs, dag.nodes).withColumn("rank", F.lit(0))
+    return _peel(arcs, start, "heights").withColumnRenamed("rank", "height")
+
+
+def depths(dag: HistoryDag) -> DataFrame:
     """(dag_id, node_id, depth): longest path from the root."""
-    e = dag.edges.select("dag_id", "parent_id", "child_id")
+    arcs = dag.edges.select("dag_id", F.col("parent_id").alias("node_id"), F.col("child_id").alias("next_id"))
+    roots = dag.roots().select("dag_id", "node_id", F.lit(0).alias("rank"))
+    start = _ends(arcs, dag.nodes).join(roots, ["dag_id", "node_id"], "left")
+    return _peel(arcs, start, "depths").withColumnRenamed("rank", "depth")
 
-    def step(frontier):
-        return (
-            frontier.withColumnRenamed("node_id", "parent_id")
-            .join(e, ["dag_id", "parent_id"])
-            .select("dag_id", F.col("child_id").alias("node_id"))
-            .distinct()
-        )
 
-    rounds = _loop("depths", dag.roots().select("dag_id", "node_id"), step, limit)
-    return (
-        _stack(rounds, "depth")
-        .groupBy("dag_id", "node_id")
-        .agg(F.max("depth").alias("depth"))
-    )
+def _stack(rounds: list[DataFrame], column: str) -> DataFrame:
+    out = None
+    for i, df in enumerate(rounds):
+        one = df.withColumn(column, F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -152,10 +154,12 @@ def ancestors(dag: HistoryDag, max_up: int | None = None) -> DataFrame:
             .distinct()
         )
 
+    rounds = [first]
     if max_up is None:
-        rounds = _loop("ancestors", first, step)
+        rounds = [cut(first, "ancestors")]
+        while not rounds[-1].isEmpty():
+            rounds.append(cut(step(rounds[-1]), "ancestors"))
     else:
-        rounds = [first]
         for _ in range(max_up - 1):
             rounds.append(step(rounds[-1]))
     return (
@@ -166,20 +170,47 @@ def ancestors(dag: HistoryDag, max_up: int | None = None) -> DataFrame:
 
 
 def lca(dag: HistoryDag, pairs: DataFrame) -> DataFrame:
-    """Adds ``lca_id`` to (dag_id, a_id, b_id): the deepest common ancestor-or-self."""
-    up = ancestors(dag).select("dag_id", "node_id", "ancestor_id")
-    self_rows = dag.nodes.select("dag_id", "node_id", F.col("node_id").alias("ancestor_id"))
-    closure = up.unionByName(self_rows)
-    deep = depths(dag).withColumnRenamed("node_id", "lca_id")
-    a = closure.select("dag_id", F.col("node_id").alias("a_id"), F.col("ancestor_id").alias("lca_id"))
-    b = closure.select("dag_id", F.col("node_id").alias("b_id"), F.col("ancestor_id").alias("lca_id"))
-    return (
-        pairs.join(a, ["dag_id", "a_id"])
-        .join(b, ["dag_id", "b_id", "lca_id"])
-        .join(deep, ["dag_id", "lca_id"])
-        .groupBy("dag_id", "a_id", "b_id")
-        .agg(F.max_by("lca_id", "depth").alias("lca_id"))
-    )
+    """Adds ``lca_id`` to (dag_id, a_id, b_id): the deepest common ancestor-or-self in a tree.
+
+    Jump pointers over 1, 2, 4, ... steps lift the deeper end to the other's
+    depth and then both ends to just below where they meet: joins on the pairs
+    alone, as many as the depth has binary digits, twice.
+    """
+    deep = cut(depths(dag), "depths")
+    ids = ["dag_id", "node_id"]
+    top = deep.agg(F.max("depth")).first()[0] or 0
+    jumps = [cut(dag.edges.select("dag_id", F.col("child_id").alias("node_id"), F.col("parent_id").alias("up")), "jump")]
+    while 2 ** len(jumps) <= top:
+        last = jumps[-1]
+        further = last.select("dag_id", F.col("node_id").alias("up"), F.col("up").alias("next"))
+        jumps.append(cut(last.join(further, ["dag_id", "up"]).select("dag_id", "node_id", F.col("next").alias("up")), "jump"))
+
+    def lifted(df: DataFrame, jump: DataFrame, end: str) -> DataFrame:
+        renamed = jump.select("dag_id", F.col("node_id").alias(end), F.col("up").alias(f"{end}_up"))
+        return df.join(renamed, ["dag_id", end], "left")
+
+    known = pairs.select("dag_id", "a_id", "b_id").distinct()
+    at = known.withColumns({"a": F.col("a_id"), "b": F.col("b_id")})
+    for end in ("a", "b"):
+        at = at.join(deep.withColumnsRenamed({"node_id": end, "depth": f"{end}_depth"}), ["dag_id", end])
+    for k in range(len(jumps) - 1, -1, -1):
+        for end, other in (("a", "b"), ("b", "a")):
+            climb = F.col(f"{end}_depth") - F.col(f"{other}_depth") >= 2**k
+            at = lifted(at, jumps[k], end).withColumns(
+                {
+                    end: F.when(climb, F.col(f"{end}_up")).otherwise(F.col(end)),
+                    f"{end}_depth": F.when(climb, F.col(f"{end}_depth") - 2**k).otherwise(F.col(f"{end}_depth")),
+                }
+            ).drop(f"{end}_up")
+        at = cut(at, "level")
+    for k in range(len(jumps) - 1, -1, -1):
+        at = lifted(lifted(at, jumps[k], "a"), jumps[k], "b")
+        apart = F.col("a_up").isNotNull() & F.col("b_up").isNotNull() & (F.col("a_up") != F.col("b_up"))
+        at = cut(
+            at.withColumns({e: F.when(apart, F.col(f"{e}_up")).otherwise(F.col(e)) for e in ("a", "b")}).drop("a_up", "b_up"), "below"
+        )
+    at = lifted(at, jumps[0], "a")
+    return at.select("dag_id", "a_id", "b_id", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a_up")).alias("lca_id"))
 
 
 def rank_edges(dag: HistoryDag, edges: DataFrame | None = None) -> EdgeLevels:

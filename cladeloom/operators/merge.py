@@ -128,7 +128,8 @@ def orphan_edges(nodes: DataFrame, edges: DataFrame, slots: DataFrame, roots: Da
     found = weighted.join(homes, ["g", "key"]).where(F.col("parent") != F.col("child"))
     adopted = found.select("g", "parent", "child", "clade_index", "edge_weight")
     lost = weighted.join(adopted.select("g", "child"), ["g", "child"], "left_anti").select(
-        "g", F.lit(UA_LABEL).alias("parent"), "child", F.lit(0).alias("clade_index"), "edge_weight"
+        "g", F.lit(UA_LABEL).alias("parent"), "child",
+        F.lit(0).cast(slots.schema["clade_index"].dataType).alias("clade_index"), "edge_weight"
     )
     return adopted.unionByName(lost)
 

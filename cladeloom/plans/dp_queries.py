@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladeloom.functions.numbers import COUNT
+from cladeloom.functions.bigcount import exact_products
 from cladeloom.operators import dp, sampling, semiring as sr
 from cladeloom.operators.levels import Level, layered
 from cladeloom.plans import tables
@@ -307,3 +308,25 @@ def optimal_uniform_sample(spark, sf):
         F.col("parent_id").alias("ck"), F.col("clade_index").alias("cl"),
         F.col("child_id").alias("ok"), F.col("n").cast("bigint").alias("n"),
     )
+
+
+@query(
+    "large_tree_counts",
+    f"""with recursive {FOREST},
+f as (select c_nationkey nk, oc.n f, row_number() over (partition by c_nationkey order by ck, cl) i
+      from oc join customer on c_custkey = ck),
+r(nk, i, limbs) as (
+  select distinct nk, 0::bigint, [1::hugeint] from f
+  union all
+  select r.nk, r.i + 1, list_reduce(
+    list_prepend([0::hugeint], list_transform(limbs, lambda x: [x * f.f])),
+    lambda a, b: a[:-2] || [(a[-1] + b[1]) % 1000000000, (a[-1] + b[1]) // 1000000000])
+  from r join f on f.nk = r.nk and f.i = r.i + 1)
+select nk, ltrim(list_aggregate(list_transform(list_reverse(limbs), lambda x: lpad(x::varchar, 9, '0')), 'string_agg', ''), '0') trees
+from (select nk, arg_max(limbs, i) limbs from r group by nk)""",
+)
+def large_tree_counts(spark, sf):
+    """Exact number of ways to pick a tree of every customer of a nation, hundreds of digits long."""
+    per_customer = dp.below(tables.orders_forest(spark, sf), sr.TreeCount()).top.select(F.col("node_id").alias("c_custkey"), "n")
+    nations = tables.table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nk"))
+    return exact_products(per_customer.join(nations, "c_custkey"), "nk", "n").withColumnRenamed("product", "trees")

@@ -33,6 +33,22 @@ def test_uniform_sampling_is_even_over_trees(spark):
     assert 800 < n < 1200
 
 
+def test_uniform_sampling_across_a_subtree_of_too_many_trees(spark):
+    """Two alternatives: a node of 3^200 trees against one of 1 tree; the first is drawn."""
+    seqs, arcs, n = {1: "AAAA", 2: "AAAA", 3: "AAAA"}, [(0, 1, 0, 1), (1, 2, 0, 1), (1, 3, 0, 1)], 10
+    for clade in range(200):
+        for k in range(3):
+            seqs[n] = "CAAA"
+            arcs.append((2, n, clade, 1))
+            n += 1
+        seqs[n] = "CAAA"
+        arcs.append((3, n, clade, 1))
+        n += 1
+    dag = g.build(spark, {"big": ("AAAA", seqs, arcs, {})})
+    trees = search.sample_trees(dag, 20, 5, "random", uniform=True, refit=False)
+    assert trees.edges.where("parent_id = 1 and child_id = 2").count() == 20
+
+
 def test_search_lowers_and_is_reproducible(spark):
     dag = g.build(spark, {"m": g.MOVES})
     options = SearchOptions(iterations=1, max_radius=4, max_moves=5)

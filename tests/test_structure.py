@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cladeloom.operators import dp, fitch, leafsets, levels, merge, rf, semiring as sr, trim, validate
+from cladeloom.schema import HistoryDag
 from tests import graphs as g
 
 
@@ -157,3 +159,41 @@ def test_fitch_matches_brute_force(spark):
             assert genomes[k, n] == g.diff(seq, v[0])
         full = {**v[1], **chosen}
         assert muts[k] == sum(len(g.muts(v[0] if p == 0 else full[p], full[c])) for p, c, _, _ in v[2])
+
+
+def test_novel_nodes_of_two_dags(spark):
+    """Known splits of one DAG say nothing about another."""
+    dag = g.build(spark, {"x": g.SIX_A, "y": g.SIX_B})
+    keys = leafsets.leaf_keys(leafsets.levels_with_leaves(dag))
+    other = HistoryDag(*(t.where("dag_id = 'y'").withColumn("dag_id", F.lit("x")) for t in (dag.nodes, dag.edges, dag.refs)))
+    crossed = leafsets.leaf_keys(leafsets.levels_with_leaves(other))
+    both = leafsets.LeafKeys(
+        crossed.nodes.unionByName(keys.nodes.where("dag_id = 'x'").withColumn("dag_id", F.lit("y"))), None, None
+    )
+    own = {r["dag_id"]: r["novel"] for r in merge.novel_nodes(dag, keys, keys).collect()}
+    assert own == {"x": 0, "y": 0}
+    swapped = {r["dag_id"]: r["novel"] for r in merge.novel_nodes(dag, keys, both).collect()}
+    assert swapped["x"] > 0 and swapped["y"] > 0
+
+
+def ladder(n):
+    """A spine of n nodes, each with a leaf of its own and a long edge back to the bottom."""
+    seqs = {i: "AAAA" for i in range(1, n + 1)} | {1000 + i: "CAAA" for i in range(1, n + 1)}
+    arcs = [(0, 1, 0, 1)] + [(i, i + 1, 0, 1) for i in range(1, n)] + [(i, 1000 + i, 1, 1) for i in range(1, n + 1)]
+    return "AAAA", seqs, arcs + [(i, n, 2, 1) for i in range(1, n - 1)], {}
+
+
+def test_ranks_of_a_ladder(spark):
+    n = 24
+    dag = g.build(spark, {"l": ladder(n), "six": g.SIX_A})
+    high = {(r["dag_id"], r["node_id"]): r["height"] for r in levels.heights(dag).collect()}
+    deep = {(r["dag_id"], r["node_id"]): r["depth"] for r in levels.depths(dag).collect()}
+    assert all(high["l", i] == n + 1 - i for i in range(1, n + 1)) and high["l", 0] == n + 1
+    assert len(high) == dag.nodes.count()
+    below = {i: deep["l", i] - deep["l", 1] for i in range(1, n + 1)}
+    assert below == {i: i - 1 for i in range(1, n + 1)}
+    cycle = HistoryDag(dag.nodes, dag.edges.unionByName(
+        dag.edges.where("dag_id = 'l' and parent_id = 5 and child_id = 6").withColumns({"parent_id": F.lit(9).cast("bigint"), "child_id": F.lit(4).cast("bigint")})
+    ), dag.refs)
+    with pytest.raises(ValueError, match="cycle"):
+        levels.heights(cycle)
