@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from cladeloom.operators.sampling import METHODS
 
 DRIFT_MODES = ("legacy", "inplace", "combine", "combine-lwf", "auto")
 SELECTORS = ("best", "uniform", "weighted")
-# Fixed value: seed of the drift phase, apart from the search seed.
-DRIFT_SEED = 0xD1F75EED
+# Seed of the drift phase, apart from the search seed.
+DRIFT_SEED = 7919
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,9 @@ class WalkOptions:
 
 @dataclass(frozen=True)
 class SearchOptions:
+    """``max_moves`` 0 keeps every move; ``producer`` replaces the move search: it
+    takes (index, radius, threshold) and returns (dag_id, src, dst, score)."""
+
     iterations: int = 1
     max_moves: int = 50
     max_radius: int = 0
@@ -45,6 +49,9 @@ class SearchOptions:
     patience: int | None = None
     sample_per_radius: bool = False
     strategy: str = "native"
+    producer: Callable | None = None
+    random_attempts: int = 100
+    random_keep: int = 10
     subtree_leaves: tuple[int, int] | None = None
     drift_rounds: int = 0
     drift_mode: str = "legacy"
@@ -62,7 +69,7 @@ class SearchOptions:
         need(self.method in METHODS, f"unknown sampling method {self.method!r}")
         need(self.strategy in ("native", "random"), "strategy is native or random")
         need(self.drift_mode in DRIFT_MODES, f"drift mode is one of {', '.join(DRIFT_MODES)}")
-        need(self.iterations >= 0 and self.max_moves >= 1, "iterations and max_moves must be positive")
+        need(self.iterations >= 0 and self.max_moves >= 0, "iterations and max_moves must not be negative")
         need(not (self.trim and self.diverse), "trim and diverse exclude each other")
         need(not self.diverse or self.pool >= self.diverse, "the pool must hold at least the diverse trees")
         parsimony = self.method in ("parsimony", "parsimony-ua-free")

@@ -187,9 +187,11 @@ def _named(moves: DataFrame) -> DataFrame:
 
 
 def _best_moves(moves: DataFrame, k: int) -> DataFrame:
-    """The k best moves of every tree: a bounded min-heap per tree, merged map-side."""
+    """The k best moves of every tree: a bounded min-heap per tree, merged map-side.  All moves for k = 0."""
     from pyspark.sql import Window
 
+    if not k:
+        return moves
     moves = moves.withColumn("slice", F.pmod(F.xxhash64("src", "dst"), F.lit(64)))
     order = ["score", "src", "dst"]
     inner = Window.partitionBy("dag_id", "slice").orderBy(*order)
@@ -265,6 +267,17 @@ def inside(moves: DataFrame, index: spr.TreeIndex, roots: DataFrame) -> DataFram
     return moves.join(src, ["dag_id", "src"], "left_semi").join(dst, ["dag_id", "dst"], "left_semi")
 
 
+def _best_fragments(scored: DataFrame, k: int) -> DataFrame:
+    """The k fragments of least final score of every tree (all for 0); at most the moves kept before."""
+    from pyspark.sql import Window
+
+    if not k:
+        return scored
+    tree = F.regexp_replace("dag_id", "#[^#]*$", "")
+    place = F.row_number().over(Window.partitionBy(tree).orderBy("final", "dag_id"))
+    return scored.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
 def search_round(dag: HistoryDag, options: SearchOptions, seed: int) -> HistoryDag:
     """One iteration: a sampled tree per DAG, its moves at growing radii, merged in."""
 
@@ -274,7 +287,7 @@ def search_round(dag: HistoryDag, options: SearchOptions, seed: int) -> HistoryD
 
     trees, index = fresh(seed)
     if options.strategy == "random":
-        moves = _named(cut(random_moves(index, seed), "random"))
+        moves = _named(cut(random_moves(index, seed, options.random_attempts, options.random_keep), "random"))
         return merge_all([dag, spr.apply_moves(trees, moves), trees])
     limit = options.max_radius or max(2 * index.tree.max_depth, 2)
     threshold = 0 if options.node_coeff else -1
@@ -282,14 +295,14 @@ def search_round(dag: HistoryDag, options: SearchOptions, seed: int) -> HistoryD
     region = subtree_of(trees, *options.subtree_leaves, seed) if options.subtree_leaves else None
     radius = 2
     while radius <= limit:
-        moves = spr.find_moves(index, radius, threshold)
+        moves = (options.producer or spr.find_moves)(index, radius, threshold)
         if region is not None:
             moves = inside(moves, index, region)
         moves = cut(_named(_best_moves(moves, keep)), "moves")
         parts = [dag, trees]
         if not moves.isEmpty():
             fragments = spr.apply_moves(trees, moves)
-            good = rescore(fragments, moves, options, dag, trees)
+            good = _best_fragments(rescore(fragments, moves, options, dag, trees), options.max_moves)
             parts.append(keep_dags(fragments, cut(good.select("dag_id"), "good")))
         dag = merge_all(parts)
         radius *= 2
@@ -413,8 +426,11 @@ def drift(dag: HistoryDag, options: SearchOptions) -> tuple[HistoryDag, bool]:
 
 
 def optimise(dag: HistoryDag, options: SearchOptions) -> tuple[HistoryDag, list[float]]:
-    """The searched DAG and the objective after each iteration."""
-    dag = merge_all([dag])
+    """The searched DAG and the objective after each iteration.
+
+    Alternatives of the input that miss leaves of their clade are trimmed first.
+    """
+    dag = merge.merge(materialise(as_strings(dag), "input"), own_dag(), consistent=False)
     relative = 0.0 if options.method.startswith("parsimony") else 1e-10
     patience, history = Patience(options.patience, relative), []
     for i in range(options.iterations):

@@ -34,9 +34,9 @@ def test_uniform_sampling_is_even_over_trees(spark):
 
 
 def test_uniform_sampling_across_a_subtree_of_too_many_trees(spark):
-    """Two alternatives: a node of 3^200 trees against one of 1 tree; the first is drawn."""
+    """Two alternatives: a node of 3^90 trees against one of 1 tree; the first is drawn."""
     seqs, arcs, n = {1: "AAAA", 2: "AAAA", 3: "AAAA"}, [(0, 1, 0, 1), (1, 2, 0, 1), (1, 3, 0, 1)], 10
-    for clade in range(200):
+    for clade in range(90):
         for k in range(3):
             seqs[n] = "CAAA"
             arcs.append((2, n, clade, 1))
@@ -45,8 +45,8 @@ def test_uniform_sampling_across_a_subtree_of_too_many_trees(spark):
         arcs.append((3, n, clade, 1))
         n += 1
     dag = g.build(spark, {"big": ("AAAA", seqs, arcs, {})})
-    trees = search.sample_trees(dag, 20, 5, "random", uniform=True, refit=False)
-    assert trees.edges.where("parent_id = 1 and child_id = 2").count() == 20
+    trees = search.sample_trees(dag, 6, 5, "random", uniform=True, refit=False)
+    assert trees.edges.where("parent_id = 1 and child_id = 2").count() == 6
 
 
 def test_search_lowers_and_is_reproducible(spark):
@@ -76,3 +76,29 @@ def test_option_checks():
         ReportOptions(edge_penalties="parsimony", trim="parsimony")
     p = search.Patience(2)
     assert [p.done(v) for v in (5, 5, 4, 4, 4)] == [False, False, False, False, True]
+
+
+def test_second_cut_all_moves_and_own_producer(spark):
+    dag = g.build(spark, {"m": g.MOVES})
+    asked = []
+
+    def producer(index, radius, threshold):
+        asked.append((radius, threshold))
+        return search.spr.find_moves(index, radius, threshold)
+
+    own, history = search.optimise(dag, SearchOptions(max_radius=2, max_moves=0, producer=producer))
+    assert asked and history[0] <= 8
+    rows = [("x#0#a", 3.0), ("x#0#b", 1.0), ("x#0#c", 2.0), ("y#0#a", 9.0)]
+    scored = spark.createDataFrame(rows, "dag_id string, final double")
+    kept = lambda k: sorted(r["dag_id"] for r in search._best_fragments(scored, k).collect())
+    assert kept(2) == ["x#0#b", "x#0#c", "y#0#a"] and len(kept(0)) == 4
+
+
+def test_random_strategy_and_rf_samples(spark):
+    dag = g.build(spark, {"m": g.MOVES})
+    out, history = search.optimise(dag, SearchOptions(strategy="random", random_attempts=20, random_keep=3))
+    assert history and validate.edge_checks(out).count() == 0
+    tied = g.build(spark, {"t": g.TIED})
+    for method in ("parsimony-ua-free", "rf-min"):
+        trees = search.sample_trees(tied, 2, 1, method, refit=False)
+        assert trees.refs.count() == 2
