@@ -1,6 +1,8 @@
 """DuckDB SQL of the operators' queries."""
 
-from cladeloom.llm import license_scan, mixing
+import math
+
+from cladeloom.llm import license_scan, mixing, secret_scan
 
 ORACLES: dict[str, str] = {}
 
@@ -78,3 +80,57 @@ y as (select doc_id, step, list_distinct(sh[k + 1:k + 3 * step]) held from x),
 z as (select doc_id, license, len(list_intersect(held, wanted)) / len(wanted) containment from y join t using (step))
 select doc_id, license, max(containment) containment from z where containment >= {license_scan.CONTAINED} group by all
 """
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _matches(kind: int, pattern: str) -> str:
+    p = _quoted(pattern)
+    return f"""select doc_id, {kind} kind, unnest(range(len(h))) i, unnest(h) hit, unnest(g[1:len(h)]) gap
+  from (select doc_id, regexp_extract_all(t, {p}, 0) h, string_split_regex(t, {p}) g from d) where len(h) > 0"""
+
+
+def _class_test(c: secret_scan.CharClass) -> str:
+    """A class's own candidates among all runs of its widest alphabet; backreferences are spelt out."""
+    tests = [f"regexp_matches(hit, {_quoted(p)})" for p in c.needs]
+    tests += [f"not regexp_matches(hit, {_quoted(p)})" for p in c.allow if "\\1" not in p]
+    tests.append("not list_bool_or(list_transform(range(1, length(hit) - 4), lambda j: substr(hit, j, 6) = repeat(substr(hit, j, 1), 6)))")
+    if c.name == "entropy_hex":
+        tests.append("length(hit) >= 32 and regexp_matches(hit, '^[0-9A-Fa-f]+$')")
+    return " and ".join(tests)
+
+
+def _hot_windows(c: secret_scan.CharClass) -> str:
+    w, unit = c.window, secret_scan.UNIT
+    table = [round(n * math.log2(n) * unit) if n else 0 for n in range(w + 1)]
+    most = math.floor(w * (math.log2(w) - c.bits) * unit)
+    return f"""select doc_id, {secret_scan.KINDS.index(c.name)} kind, start, {w} w, unnest(range({w}, length(hit) + 1)) stop, hit, {table} f, {most} most
+  from pos where kind = {len(secret_scan.BASE)} and {_class_test(c)}"""
+
+
+_NAMES = ", ".join(f"'{k}'" for k in secret_scan.KINDS)
+_RUN = r"[A-Za-z0-9+/_=-]{20,}"
+ORACLES["op1_secret_scan"] = f"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+raw as ({_matches(0, secret_scan.ASSIGN)} union all {_matches(1, secret_scan.ACCESS)}
+  union all {_matches(2, secret_scan.HEX)} union all {_matches(3, _RUN)}),
+pos as (select doc_id, kind, hit, sum(length(gap) + length(hit)) over (partition by doc_id, kind order by i) - length(hit) start from raw),
+base as (select doc_id, kind, start, start + length(hit) stop from pos where kind = 1 or kind = 2
+  or kind = 0 and length(regexp_extract(hit, {_quoted(secret_scan.ASSIGN)}, 2)) >= {secret_scan.LEAST_VALUE}),
+win as ({" union all ".join(map(_hot_windows, secret_scan.CLASSES))}),
+hot as (select doc_id, kind, start, w, stop from win
+  where list_sum(list_transform(list_distinct(string_split(substr(hit, stop - w + 1, w), '')),
+    lambda c: f[w - length(replace(substr(hit, stop - w + 1, w), c, '')) + 1])) <= most),
+islands as (select *, sum(new) over (partition by doc_id, kind, start order by stop) island from (
+  select *, case when stop - lag(stop) over (partition by doc_id, kind, start order by stop) <= w then 0 else 1 end as new from hot)),
+more as (select doc_id, kind, start + min(stop) - any_value(w) start, start + max(stop) stop from islands group by doc_id, kind, islands.start, island),
+spans as (select doc_id, true base, kind, start, stop from base union all select doc_id, false, kind, start, stop from more),
+told as (select *, [{_NAMES}][kind + 1] || ':' || start || ':' || stop told from spans)
+select d.doc_id, count(*) filter (where base and kind = 0) n_assign, count(*) filter (where base and kind = 1) n_access,
+       count(*) filter (where base and kind = 2) n_hex,
+       sha256(coalesce(string_agg(told, ',' order by start, kind, stop) filter (where base), '')) base_sha256,
+       coalesce(string_agg(told, ',' order by start, kind, stop), '') spans
+from d left join told on told.doc_id = d.doc_id group by d.doc_id
+"""
