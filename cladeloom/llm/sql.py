@@ -134,3 +134,17 @@ select d.doc_id, count(*) filter (where base and kind = 0) n_assign, count(*) fi
        coalesce(string_agg(told, ',' order by start, kind, stop), '') spans
 from d left join told on told.doc_id = d.doc_id group by d.doc_id
 """
+
+#: Every window of 50 words by its MD5, and the smallest document it starts in.
+ORACLES["op8_substring_dedup"] = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+h as (select doc_id, len(w) n, unnest(list_transform(range(len(w) - 49), lambda i: md5(array_to_string(w[i + 1:i + 50], ' ')))) h,
+        unnest(range(len(w) - 49)) i from d where len(w) >= 50),
+m as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by h) first from h) where first < doc_id),
+gone as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 50)) p from m)),
+word as (select doc_id, unnest(range(len(w))) p, unnest(w) word from d),
+kept as (select word.doc_id, string_agg(word, ' ' order by word.p) t from word anti join gone on gone.doc_id = word.doc_id and gone.p = word.p group by 1),
+lost as (select doc_id, count(*) n from gone group by 1)
+select d.doc_id, len(w)::bigint n_words, coalesce(lost.n, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256
+from d left join kept on kept.doc_id = d.doc_id left join lost on lost.doc_id = d.doc_id
+"""
