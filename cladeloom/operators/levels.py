@@ -61,26 +61,27 @@ def _peel(arcs: DataFrame, start: DataFrame, name: str) -> DataFrame:
     """
     spark = arcs.sparkSession
     path = stage_path(spark, name)
-    need = arcs.groupBy("dag_id", F.col("next_id").alias("node_id")).agg(F.count(F.lit(1)).alias("need"))
     ids = ["dag_id", "node_id"]
-    schema = f"{', '.join(f'{c} {arcs.schema[c].dataType.simpleString()}' for c in ids)}, rank int, got bigint, done boolean"
-    start.select(*ids, F.col("rank").cast("int").alias("rank"), F.lit(0).cast("bigint").alias("got"), F.lit(True).alias("done")).write.parquet(
-        f"{path}/round=0"
-    )
+    need = arcs.groupBy("dag_id", "next_id").agg(F.count(F.lit(1)).alias("need"))
+    arcs = cut(arcs.join(need, ["dag_id", "next_id"]).select(*ids, "next_id", "need"), name)
+    schema = f"{', '.join(f'{c} {arcs.schema[c].dataType.simpleString()}' for c in ids)}, rank int, got bigint, need bigint"
+    none = F.lit(0).cast("bigint")
+    start.select(*ids, F.col("rank").cast("int").alias("rank"), none.alias("got"), none.alias("need")).write.parquet(f"{path}/round=0")
     i = 0
     while True:
         last = spark.read.schema(schema).parquet(f"{path}/round={i}")
-        ready, waiting = last.where("done"), last.where("not done")
+        ready, waiting = last.where("got = need"), last.where("got < need")
         if ready.isEmpty():
             break
-        came = ready.join(arcs, ids).select(
-            "dag_id", F.col("next_id").alias("node_id"), (F.col("rank") + 1).alias("rank"), F.lit(1).cast("bigint").alias("got")
+        came = ready.select(*ids, "rank").join(arcs, ids).select(
+            "dag_id", F.col("next_id").alias("node_id"), (F.col("rank") + 1).alias("rank"), F.lit(1).cast("bigint").alias("got"), "need"
         )
-        met = came.unionByName(waiting.drop("done")).groupBy(*ids).agg(F.max("rank").alias("rank"), F.sum("got").alias("got"))
         i += 1
-        met.join(need, ids).select(*ids, "rank", "got", (F.col("got") == F.col("need")).alias("done")).write.parquet(f"{path}/round={i}")
-    ranked = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path).where("done")
-    if ranked.where("got > 0").count() != need.count():
+        came.unionByName(waiting).groupBy(*ids).agg(
+            F.max("rank").alias("rank"), F.sum("got").alias("got"), F.max("need").alias("need")
+        ).write.parquet(f"{path}/round={i}")
+    ranked = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path).where("got = need")
+    if not waiting.isEmpty() or ranked.where("got > 0").count() != arcs.select("dag_id", "next_id").distinct().count():
         raise ValueError(f"{name}: the graph has a cycle")
     return ranked.where("rank is not null").select(*ids, "rank")
 
