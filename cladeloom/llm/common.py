@@ -25,3 +25,14 @@ def word_count(text: Column) -> Column:
 def id_key(key: str | Column) -> Column:
     """A key as text; a null key as the empty one."""
     return F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(""))
+
+
+#: Rows that travel to a Python task together: Spark's own 10,000 texts take too much memory.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to a size for texts, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

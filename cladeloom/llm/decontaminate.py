@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeloom.llm.bytehash import ByteHasher
-from cladeloom.llm.common import body
+from cladeloom.llm.common import body, bound_batches
 
 #: Tokens of a template window; an item of fewer tokens is one window.
 WINDOW = 8
@@ -248,6 +248,7 @@ def find_leaks(
     equal results.  A column named ``leaks`` is replaced, all others stay.
     """
     spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
     kind = items.schema["item_id"].dataType.simpleString()
     found = f"array<struct<item_id:{kind},coverage:double,slots:int,changed:int>>"

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeloom.llm.common import body
+from cladeloom.llm.common import body, bound_batches
 
 # Fixed values of HTML: what has no end tag, what holds no page text, what breaks lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -293,6 +293,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     named ``main`` is replaced, all others stay.
     """
 
+    bound_batches(pages.sparkSession)
     @F.pandas_udf("text string, n_chars long, n_blocks long, n_content long")
     def extracted(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in pages:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeloom.llm.common import body
+from cladeloom.llm.common import body, bound_batches
 from cladeloom.runtime import cut
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -226,6 +226,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(row, fp): the input row as a struct, and its fingerprint as a signed long."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.struct("*").alias("row"), _fingerprint_column(shingle)(body(text_col)).alias("fp"))
 
 

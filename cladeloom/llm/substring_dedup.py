@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeloom.llm.bytehash import ByteHasher, joined, split
-from cladeloom.llm.common import body
+from cladeloom.llm.common import body, bound_batches
 from cladeloom.runtime import cut
 
 WINDOW = 50
@@ -205,6 +205,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     no other row loses on its account; rows that repeat an id are not earlier
     than each other.  Other columns are ignored; an empty table gives no rows.
     """
+    bound_batches(docs.sparkSession)
     text, number = body(text_col), F.col(id_col)
     # pandas would turn a null number into a float: nulls travel as a flag
     given = docs.select(
