@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -175,7 +176,7 @@ class Index:
         out = []
         for n, hits in self.hits(t).items():
             item_id, item = self.items[n]
-            best = max((judged(chain, t, item) for chain in chains(hits, len(item.values))), key=lambda x: x[0])
+            best = max((best_of(chain, t, item) for chain in chains(hits, len(item.values))), key=lambda x: (x[0], -x[2]))
             if best[0] >= COVERED:
                 out.append((item_id, *best))
         return out
@@ -193,30 +194,78 @@ def chains(hits: list[tuple[int, int, int, int]], reach: int) -> Iterator[list[t
     yield chain
 
 
-def judged(chain: list[tuple[int, int, int, int]], text: Template, item: Template) -> tuple[float, int, int]:
+def alignments(chain: list[tuple[int, int, int, int]], item: Template) -> Iterator[dict[int, tuple[int, int]]]:
+    """Ways to lay the item along the text: place in the item -> (place in the text, kind).
+
+    Each diagonal (place in the text less place in the item) is one, by itself
+    and with what other diagonals, nearest first, add without crossing it.  So
+    a literal copy pairs with itself, however often windows repeat.
+    """
+    diagonals = defaultdict(list)
+    for form, p, q, length in chain:
+        diagonals[p - q].append((form, q, length))
+    every = {q + k for _, _, q, length in chain for k in range(length)}
+    ordered = sorted(diagonals)
+
+    def add(laid: dict, places: list[int], d: int) -> None:
+        for form, q, length in diagonals[d]:
+            for k in range(q, q + length):
+                if k not in laid:
+                    i = bisect_left(places, k)
+                    if (i and laid[places[i - 1]][0] >= k + d) or (i < len(places) and laid[places[i]][0] <= k + d):
+                        continue
+                    places.insert(i, k)
+                    laid[k] = (k + d, WORD)
+                if laid[k] == (k + d, WORD):
+                    laid[k] = (k + d, int(item.kinds[form][k]))
+
+    for d in sorted(ordered, key=lambda d: -len(diagonals[d])):
+        laid: dict[int, tuple[int, int]] = {}
+        places: list[int] = []
+        add(laid, places, d)
+        yield dict(laid)
+        low = bisect_left(ordered, d) - 1
+        high, more = low + 2, False
+        while len(laid) < len(every) and (low >= 0 or high < len(ordered)):
+            if high == len(ordered) or (low >= 0 and d - ordered[low] <= ordered[high] - d):
+                low, other = low - 1, ordered[low]
+            else:
+                high, other = high + 1, ordered[high]
+            add(laid, places, other)
+            more = True
+        if more:
+            yield laid
+
+
+def best_of(chain: list[tuple[int, int, int, int]], text: Template, item: Template) -> tuple[float, int, int]:
+    """``judged`` of the alignment that covers most, with the fewest changed slots."""
+    best = (0.0, 0, 0)
+    for laid in alignments(chain, item):
+        now = judged(laid, text, item)
+        best = max(best, now, key=lambda x: (x[0], -x[2]))
+        if best[0] == 1 and not best[2]:
+            break
+    return best
+
+
+def judged(laid: dict[int, tuple[int, int]], text: Template, item: Template) -> tuple[float, int, int]:
     """(coverage, slots, changed slots); no coverage if the slots contradict each other.
 
     Aligned slots give pairs of an item's value and the text's.  Filled in anew,
     a question gives each of its values one new value and no value to two; slots
     that keep to the most frequent pairing both ways are consistent.
     """
-    covered, aligned = set(), {}
-    for form, p, q, length in chain:
-        covered.update(range(q, q + length))
-        for k in range(length):
-            if (kind := item.kinds[form][q + k]) != WORD:
-                aligned.setdefault(q + k, (int(kind), int(item.values[q + k]), int(text.values[p + k])))
-    pairs = Counter(aligned.values())
+    pairs = Counter((kind, int(item.values[q]), int(text.values[p])) for q, (p, kind) in sorted(laid.items()) if kind != WORD)
     there, back = {}, {}
     for (kind, a, b), _ in sorted(pairs.items(), key=lambda x: -x[1]):
         there.setdefault((kind, a), b)
         back.setdefault((kind, b), a)
-    slots = len(aligned)
+    slots = sum(pairs.values())
     kept = sum(n for (kind, a, b), n in pairs.items() if there[kind, a] == b and back[kind, b] == a)
     changed = sum(n for (_, a, b), n in pairs.items() if a != b)
     same = slots - changed
     consistent = not slots or max(kept, same) >= CONSISTENT * slots
-    return (len(covered) / len(item.values) if consistent else 0.0), slots, changed
+    return (len(laid) / len(item.values) if consistent else 0.0), slots, changed
 
 
 def _leak_column(shared, kind: str):

@@ -75,3 +75,14 @@ def test_repeated_rows_and_clashing_columns(documents):
     bench = documents([(1, QUESTION)]).withColumnRenamed("doc_id", "item_id")
     rows = decontaminate.find_leaks(df, bench).collect()
     assert [len(r.leaks) for r in rows] == [1, 1]
+
+
+def test_parallel_sentences(documents):
+    item = "A train travels 5 miles in 3 hours. A train travels 7 miles in 4 hours. Which is faster?"
+    more = " ".join(f"A train travels {5 + 2 * i} miles in {3 + i} hours." for i in range(6)) + " Which of them is the fastest?"
+    early = "A train leaves London at 9 km per hour and arrives after 8 hours. Then: "
+    texts = [item, f"Before. {item} And after.", more, f"x {more} y", early + QUESTION, "A train travels 5 miles in 3 hours."]
+    got = found(documents, texts, [item, more, QUESTION])
+    assert all((n, False) in got[i] for i, n in ((0, 0), (1, 0), (2, 1), (3, 1), (4, 2)))
+    refilled = item.replace("5 ", "50 ").replace("3 ", "30 ").replace("7 ", "70 ").replace("4 ", "40 ")
+    assert (0, True) in found(documents, [refilled], [item])[0]
