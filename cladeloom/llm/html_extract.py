@@ -17,6 +17,10 @@ from cladeloom.llm.common import body, bound_batches
 # Fixed values of HTML: what has no end tag, what holds no page text, what breaks lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template svg iframe head title textarea select option button object canvas datalist audio video".split())
+#: What may stand in head; text and all other start tags end it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Hidden elements that, where their end tag is missing, end at the next block.
+HALF_OPEN = frozenset("button select object canvas datalist audio video svg".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -56,11 +60,26 @@ NEAR, SIBLING = 2.0, 0.8
 UNIT = 1000
 
 _TAG = re.compile(r"""<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)""")
+_HALF_OPEN = re.compile(rf"<(/?)({'|'.join(sorted(HALF_OPEN))})(?=[\s/>])", re.I)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _OFF = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _END_OF_SENTENCE = re.compile(r"[.!?…。！？][\"'”’)]*$")
 
 
+def _ended(html: str) -> set[int]:
+    """Where the HALF_OPEN start tags that have an end tag begin."""
+    ended, begun = set(), {tag: [] for tag in HALF_OPEN}
+    for m in _HALF_OPEN.finditer(html):
+        own = begun[m[2].lower()]
+        if not m[1]:
+            if m[2].lower() in ("button", "select"):  # these do not nest
+                own.clear()
+            own.append(m.start())
+        elif own:
+            ended.add(own.pop())
+    return ended
+
+
 @dataclass
 class Block:
     text: str
@@ -89,6 +108,8 @@ def blocks(html: str) -> list[Block]:
     found: list[Block] = []
     parts: list[tuple[str, bool]] = []
     number, low, depth_of_last, at = 0, 0, 0, 0
+    ended: set[int] | None = None
+    unended: set[int] = set()
 
     def flush() -> None:
         nonlocal low, depth_of_last
@@ -121,6 +142,8 @@ def blocks(html: str) -> list[Block]:
         return None
 
     def add(text: str) -> None:
+        if stack[-1][0] == "head" and text.strip():
+            close(len(stack) - 1)
         if text and not stack[-1][4]:
             parts.append((unescape(text) if "&" in text else text, stack[-1][3]))
 
@@ -144,6 +167,11 @@ def blocks(html: str) -> list[Block]:
                     close(i)
                     break
             continue
+        if stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
+        if tag in BLOCK and unended and stack[-1][4]:
+            if i := next((i for i, x in enumerate(stack) if x[1] in unended), 0):
+                close(i)
         if tag in P_ENDS and (i := open_at("p", ("button", "td", "th", "table"))):
             close(i)
         if tag in CLOSES and (i := open_at(*CLOSES[tag])):
@@ -168,6 +196,10 @@ def blocks(html: str) -> list[Block]:
             continue
         if attributes.endswith("/") and tag not in BLOCK:
             continue
+        if tag in HALF_OPEN:
+            ended = _ended(html) if ended is None else ended
+            if m.start() not in ended:
+                unended.add(number)
         stack.append((tag, number, odds + own, link or tag == "a", off, article or tag in ("article", "main")))
     flush()
     return found

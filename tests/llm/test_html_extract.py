@@ -93,3 +93,14 @@ def test_edge_rows(spark):
         (None, "x", "", 0), ("1", None, "", 0), ("2", "x", TEXT, len(TEXT)), ("2", "x", TEXT, len(TEXT))
     ]
     assert html_extract.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_hidden_elements_without_an_end_tag():
+    want = html_extract.main_text("<html><head><title>T</title></head><body><article><p>The words of this page. And more of them.</article>")
+    assert want == "The words of this page. And more of them."
+    for start in ("<body>", "", "<body class=x>"):
+        assert html_extract.main_text(f"<html><head><meta charset=x><title>T</title><script>1</script>{start}<article><p>{want}</article>") == want
+    for open_ in ("<button>Go", "<select><option>a<option>b", "<object data=x>no", "<button>A</button><button>B", "<svg><path d=x>"):
+        assert html_extract.main_text(f"<body><div>{open_}</div><article>{open_}<p>{want}</article>") == want, open_
+    for closed in ("<button><div>Go there now.</div></button>", "<object><object><p>No.</p></object><p>No plugin here.</p></object>"):
+        assert html_extract.main_text(f"<body><article><p>{want}</p>{closed}</article>") == want, closed
