@@ -1,122 +1,50 @@
-"""Near-dedup by five-word similarity: MinHash bands propose pairs, exact Jaccard verifies them, components."""
+"""The near-dedup stage: SimHash shards as first cut, HyperMinHash bands for what they cannot reach, full sets decide.
 
-from __future__ import annotations
+Links at two differing bits hold few of the pairs of similarity 0.8: texts of
+200 words with four changed differ by nine bits of 64 in the median and by 15 in
+one of a hundred, a reach at which a vantage-point tree sends nearly everything
+to both sides.  So operator 7's tree proposes the closest pairs, whose groups
+need no further look, and bands of registers propose the others.  A pair counts
+only if the full sets of both texts are similar enough.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from cladeloom.llm.bytehash import ByteHasher, split
-from cladeloom.llm.common import body, bound_batches
-from cladeloom.llm.simhash import components
-from cladeloom.runtime import cut
-
-SHINGLE, SIMILAR = 5, 0.8
-#: Bands of BAND_ROWS MinHash values each.  A pair of similarity 0.8 shares one
-#: with probability 1 - (1 - 0.8 ** 4) ** 20 > 0.9999.
-BANDS, BAND_ROWS = 20, 4
-#: Shingles that are hashed together.
-CHUNK = 1 << 12
-_FUNCTIONS = np.random.default_rng(42).integers(1, 1 << 63, (3, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingles(text: str) -> set[bytes]:
-    """The different runs of five words, or all words of a shorter text; ASCII letters in either case."""
-    words = text.encode().lower().split()
-    return {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
-
-
-def jaccard(a: set, b: set) -> float:
-    both = len(a & b)
-    return both / (len(a) + len(b) - both) if a or b else 1.0
 
+from cladeloom.llm import hyperminhash, simhash
 
-def bands(text: str, hasher: ByteHasher) -> np.ndarray:
-    """A hash per band; texts without words share all of theirs."""
-    data, starts, ends = split(text)
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    if len(starts):
-        upper = (data >= 65) & (data <= 90)
-        words = hasher.words(np.where(upper, data + np.uint8(32), data), starts, ends)
-        h = np.unique(hasher.runs(words, min(SHINGLE, len(words))))
-        for at in range(0, len(h), CHUNK):
-            # mixing after the multiplication: the order of plain multiples is not random enough
-            x = (h[at : at + CHUNK, None] ^ _FUNCTIONS[0]) * _FUNCTIONS[1]
-            np.minimum(least, ((x ^ (x >> np.uint64(32))) * _FUNCTIONS[2]).min(axis=0), out=least)
-    return hasher.runs(least, BAND_ROWS)[::BAND_ROWS]
+SHINGLE, PERCENT = 5, 80
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _bands(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    hasher = ByteHasher()
-    for batch in texts:
-        yield pd.Series([bands(t, hasher).view(np.int64) for t in batch])
+def close_fingerprints(sets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b) of sets whose fingerprints the tree links, or that share one.
 
-
-@F.pandas_udf(T.BooleanType())
-def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    out, last, known = [], None, set()
-    for x, y in zip(a, b):
-        if y != last:
-            last, known = y, shingles(y)
-        out.append(jaccard(shingles(x), known) >= SIMILAR)
-    return pd.Series(out, dtype=bool)
-
-
-def similar_groups(texts: DataFrame, banded: DataFrame) -> DataFrame:
-    """(node, root) of the texts that are similar to another one.
-
-    ``texts`` is (key, text), repeats allowed, ``banded`` (key, bands) with each
-    key once.  In every bucket the least key is compared with all others.  Where
-    that leaves a bucket in several components, its pairs across them are
-    compared too; pairs within a component need no look, as it is joined anyhow.
+    ``sets`` is (skey, n, mark) with the fingerprint as mark.  The least set of a
+    fingerprint stands for it, so each set and each link gives one pair.
     """
-    buckets = banded.select("key", F.posexplode("bands")).select(F.xxhash64("pos", "col").alias("bucket"), "key")
-    leaders = buckets.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(buckets.join(leaders.drop("n"), "bucket"), "members")
-    wanted = members.select("key").distinct()
-    held = cut(texts.join(wanted, "key").groupBy("key").agg(F.min("text").alias("text")), "texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left, right = (held.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        both = pairs.distinct().join(left, "a").join(right, "b")
-        return cut(both.where(_similar("text_a", "text_b")).select("a", "b"), "similar")
-
-    links = verified(members.where("key != leader").select(F.col("key").alias("a"), F.col("leader").alias("b")))
-    roots = cut(components(links), "roots")
-    rooted = members.where("key != leader").join(roots, F.col("key") == F.col("node"), "left").select(
-        "bucket", "key", F.coalesce("root", "key").alias("root")
-    )
-    rooted = cut(rooted, "rooted")
-    split_up = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
-    open_ = rooted.join(split_up.select("bucket"), "bucket")
-    other = open_.select("bucket", F.col("key").alias("b"), F.col("root").alias("other"))
-    across = open_.join(other, "bucket").where("root < other").select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b"))
-    more = verified(across)
-    return roots if more.isEmpty() else components(links.unionAll(more))
+    head = sets.groupBy("mark").agg(F.min(F.struct("skey", "n")).alias("head"))
+    fps = head.select(F.col("mark").alias("fp"))
+    pair = lambda a, b: [F.col(f"{a}.skey").alias("a"), F.col(f"{b}.skey").alias("b"), F.col(f"{a}.n").alias("n_a"), F.col(f"{b}.n").alias("n_b")]
+    same = sets.select("mark", F.struct("skey", "n").alias("own")).join(head, "mark").where("own.skey != head.skey")
+    links = simhash.near_links(fps)
+    far = links.join(head.select(F.col("mark").alias("a"), F.col("head").alias("x")), "a")
+    far = far.join(head.select(F.col("mark").alias("b"), F.col("head").alias("y")), "b")
+    return same.select(*pair("own", "head")).unionAll(far.select(*pair("x", "y")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest id.
 
     Two texts are near duplicates if the Jaccard similarity of their sets of
-    five-word shingles is SIMILAR or more, and so are those that others link.
+    five-word shingles is 0.8 or more, and so are those that others link.
     Null and empty texts are one group.  A row without an id stays only if its
     group has no id.  Of rows that agree in id and text the least one stays.
     """
-    bound_batches(docs.sparkSession)
-    key = F.unhex(F.md5(body(text_col)))
-    rows = docs.select(F.struct("*").alias("row"), key.alias("key"), F.col(id_col).alias("doc_id"), body(text_col).alias("text"))
-    banded = rows.select("key", "doc_id", _bands("text").alias("bands"))
-    distinct = cut(banded.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "bands")
-    roots = similar_groups(rows.select("key", "text"), distinct)
-    rooted = distinct.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root"))
-    best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key")).alias("best")
-    kept = rooted.groupBy("root").agg(best).select(F.col("best.key").alias("key"), F.col("best.first").alias("doc_id"))
-    known = lambda df: df.withColumns({"no_id": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))}).drop("doc_id")
-    chosen = known(rows.drop("text")).join(known(kept), ["key", "id", "no_id"])
-    return chosen.groupBy("key", "id", "no_id").agg(F.min("row").alias("row")).select("row.*")
+    fingerprint = simhash.fingerprint_column(SHINGLE)
+
+    def mark(text: Column) -> Column:
+        return fingerprint(text)
+
+    return hyperminhash.keep_one(docs, id_col, text_col, SHINGLE, PERCENT, mark, close_fingerprints)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeloom.llm import decontaminate, exact_dedup, html_extract, language_id, license_scan, mixing, secret_scan, sharding, simhash, substring_dedup
+from cladeloom.llm import decontaminate, exact_dedup, html_extract, hyperminhash, language_id, license_scan, mixing, secret_scan, sharding, simhash, substring_dedup
 from cladeloom.llm.common import table
 from cladeloom.llm.sql import ORACLES  # noqa: F401
 
@@ -70,6 +70,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op11_hyperminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_decontaminate": op2_decontaminate,
@@ -81,4 +85,5 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extract": op9_html_extract,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_hyperminhash_groups": op11_hyperminhash_groups,
 }

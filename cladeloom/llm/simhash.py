@@ -45,7 +45,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def _fingerprint_column(shingle: int):
+def fingerprint_column(shingle: int):
     @F.pandas_udf("long")
     def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
@@ -227,7 +227,7 @@ def components(edges: DataFrame) -> DataFrame:
 def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(row, fp): the input row as a struct, and its fingerprint as a signed long."""
     bound_batches(docs.sparkSession)
-    return docs.select(F.struct("*").alias("row"), _fingerprint_column(shingle)(body(text_col)).alias("fp"))
+    return docs.select(F.struct("*").alias("row"), fingerprint_column(shingle)(body(text_col)).alias("fp"))
 
 
 def group_fingerprints(rows: DataFrame, reach: int = RADIUS) -> DataFrame:

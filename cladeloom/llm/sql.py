@@ -2,7 +2,7 @@
 
 import math
 
-from cladeloom.llm import license_scan, mixing, secret_scan
+from cladeloom.llm import hyperminhash, license_scan, mixing, secret_scan
 
 ORACLES: dict[str, str] = {}
 
@@ -148,3 +148,19 @@ lost as (select doc_id, count(*) n from gone group by 1)
 select d.doc_id, len(w)::bigint n_words, coalesce(lost.n, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256
 from d left join kept on kept.doc_id = d.doc_id left join lost on lost.doc_id = d.doc_id
 """
+
+#: All pairs that share a shingle, by full sets; labels sink along the links until they rest.
+ORACLES["op11_hyperminhash_groups"] = rf"""
+with recursive
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, list_distinct(list_transform(range(greatest(1, len(w) - {hyperminhash.SHINGLE - 1})),
+        lambda i: array_to_string(w[i + 1:i + {hyperminhash.SHINGLE}], ' '))) held from d where len(w) > 0),
+n as (select d.doc_id, coalesce(len(held), 0)::bigint n from d left join s using (doc_id)),
+e as (select doc_id, unnest(held) h from s),
+pair as (select a.doc_id a, b.doc_id b, count(*) x from e a join e b on a.h = b.h and a.doc_id <> b.doc_id group by 1, 2),
+link as (select a, b from pair join n na on na.doc_id = a join n nb on nb.doc_id = b
+         where 100 * x >= {hyperminhash.PERCENT} * (na.n + nb.n - x)),
+reach(doc_id, root) as (select doc_id, doc_id from n union select b, root from reach join link on link.a = reach.doc_id)
+select n.doc_id, n n_shingles, min(root) component_id, n.doc_id = min(root) kept
+from n join reach using (doc_id) group by n.doc_id, n
+"""

@@ -1,10 +1,9 @@
 """The near-dedup stage against all pairs' five-word similarity."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline as pipeline
-from cladeloom.llm import near_dedup
-from cladeloom.llm.bytehash import ByteHasher
 
 
 def plain_kept(rows):
@@ -53,12 +52,17 @@ def test_copies_with_changed_words(spark, documents):
     assert got == plain_kept(rows)
 
 
-def test_recall_of_the_bands():
-    rng, hasher, shared, pairs = random.Random(4), ByteHasher(), 0, 0
-    while pairs < 400:
-        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
-        a, b = " ".join(base), " ".join(edited(rng, base, 4))
-        if 0.8 <= near_dedup.jaccard(near_dedup.shingles(a), near_dedup.shingles(b)) < 0.84:
-            pairs += 1
-            shared += bool((near_dedup.bands(a, hasher) == near_dedup.bands(b, hasher)).any())
-    assert shared == pairs
+def test_a_hot_group_of_near_copies(spark, documents):
+    """Copies around one base, at all distances, with and without unrelated words."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = list(enumerate(" ".join(edited(rng, base, rng.randrange(0, 9))) for _ in range(300)))
+    got = {r.doc_id for r in pipeline.drop_near_duplicates(spark, documents(rows), "").collect()}
+    assert got == plain_kept(rows)
+
+
+def test_the_given_documents(spark):
+    """All pairs that share a five-word shingle, on the whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = Counter(r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == Counter(plain_kept([(r.doc_id, r.text) for r in docs.collect()]))

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 from test_native import jump_hash
-from test_simhash import plain_components, plain_fingerprint
+from test_near_dedup import plain_kept
 
 import corpus_pipeline as pipeline
 from cladeloom.llm import decontaminate, language_id, mixing
@@ -34,12 +34,8 @@ def test_the_stages_on_the_given_documents(spark):
             assert len(held) >= 0.99 * len(before)
             assert all(language_id.letters(r[1]) for r in held)
         elif name == "simhash_near_dedup":
-            fps = {r[0]: plain_fingerprint(r[1]) for r in before}
-            roots = plain_components(fps.values(), 2)
-            first = {}
-            for i in sorted(fps):
-                first.setdefault(roots[fps[i]], i)
-            assert Counter(held) == Counter(r for r in before if r[0] in first.values())
+            stay = plain_kept([(r[0], r[1]) for r in before])
+            assert Counter(held) == Counter(r for r in before if r[0] in stay)
         elif name == "decontaminate":
             index = decontaminate.Index([tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
             assert Counter(held) == Counter(r for r in before if not index.leaks(r[1]))
