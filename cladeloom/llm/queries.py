@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeloom.llm import decontaminate, exact_dedup, html_extract, hyperminhash, language_id, license_scan, mixing, secret_scan, sharding, simhash, substring_dedup
+from cladeloom.llm import collocations, conversation_repair, decontaminate, exact_dedup, html_extract, hyperminhash, language_id, license_scan, mixing, secret_scan, sharding, simhash, substring_dedup
 from cladeloom.llm.common import table
 from cladeloom.llm.sql import ORACLES  # noqa: F401
 
@@ -74,6 +74,16 @@ def op11_hyperminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    repaired = conversation_repair.repair(conversation_repair.damaged(talks))
+    return conversation_repair.with_untouched(talks, repaired)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_decontaminate": op2_decontaminate,
@@ -86,4 +96,6 @@ QUERIES = {
     "op9_html_extract": op9_html_extract,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_hyperminhash_groups": op11_hyperminhash_groups,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_conversation_repair": op13_conversation_repair,
 }

@@ -2,7 +2,7 @@
 
 import math
 
-from cladeloom.llm import hyperminhash, license_scan, mixing, secret_scan
+from cladeloom.llm import collocations, hyperminhash, license_scan, mixing, secret_scan
 
 ORACLES: dict[str, str] = {}
 
@@ -13,13 +13,16 @@ select doc_id, max(doc_id) over w keep_id, count(*) over w group_size,
 from d window w as (partition by t)
 """
 
-#: CRC-32 by its table, byte by byte; shards by the chain of jumps.
-ORACLES["op5_jump_shards"] = """
-with recursive
-tab as (select list(c order by n) t from (
+#: The table of CRC-32.
+_CRC = """tab as (select list(c order by n) t from (
   select n, list_reduce(list_prepend(n::bigint, range(8)),
                         lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) c
-  from range(256) r(n))),
+  from range(256) r(n)))"""
+
+#: CRC-32 by its table, byte by byte; shards by the chain of jumps.
+ORACLES["op5_jump_shards"] = f"""
+with recursive
+{_CRC},
 d as (select doc_id, hex(encode(coalesce(text, ''))) x from documents),
 b as (select doc_id, length(x) // 2 n, list_prepend(4294967295::bigint,
         list_transform(regexp_extract_all(x, '..'), lambda h: ('0x' || h)::bigint)) bytes from d),
@@ -164,3 +167,82 @@ reach(doc_id, root) as (select doc_id, doc_id from n union select b, root from r
 select n.doc_id, n n_shingles, min(root) component_id, n.doc_id = min(root) kept
 from n join reach using (doc_id) group by n.doc_id, n
 """
+
+def _best(i: int, reroled: int, kept: list[tuple[str, int]]) -> str:
+    """The least (cost, audit) of a row in grammar state ``i``, before insertions."""
+    rows = [f"struct_pack(c := 2 + c[{i}], a := 'D' || a[{i}])",
+            f"case when s <> 'd' then struct_pack(c := 1 + t + c[{reroled}], a := 'R' || a[{reroled}]) end"]
+    rows += [f"case when s = '{x}' then struct_pack(c := t + c[{k}], a := 'K' || a[{k}]) end" for x, k in kept]
+    return f"list_min([{', '.join(rows)}])"
+
+
+def _insert(x: str, y: str) -> str:
+    return f"least({x}, struct_pack(c := 5 + {y}.c, a := 'I' || {y}.a))"
+
+
+#: Row by row from the end: cost and audit for nothing yet, after system, user and assistant; then the edits in order.
+ORACLES["op13_conversation_repair"] = rf"""
+with recursive
+{_CRC},
+k as (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text,
+        hex(encode(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))) x from conversations),
+c as (select conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::bigint,
+        list_transform(regexp_extract_all(x, '..'), lambda h: ('0x' || h)::bigint)), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) % 20 x
+      from k, tab),
+m as (select conv_id, turn, case when x = 4 then 'user' else role end role,
+        case x when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end text,
+        unnest(range(case when x = 3 then 2 else 1 end)) again from c where x <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), again) i,
+        row_number() over (partition by conv_id, role, text order by turn nulls first, again) nth,
+        lag(left(role, 1)) over (partition by conv_id order by turn nulls first, role, md5(text), again) before from m),
+f as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when nth > 1 then 'duplicate'
+        when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' else '' end fault from o),
+y as (select *, case when fault in ('blank', 'duplicate') then 'd' when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else 'x' end s,
+        case fault when 'truncated' then 5 else 0 end t from f),
+n as (select conv_id, max(i) n, count(*) filter (where fault = 'blank') blank, count(*) filter (where fault = 'duplicate') duplicate,
+        count(*) filter (where fault = 'truncated') truncated, count(*) filter (where before || left(role, 1) not in ('su', 'ua', 'au')) illegal,
+        coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps from f group by 1),
+v as (select conv_id, n + 1 i, [0, 10, 5, 0]::bigint[] c, ['', 'II', 'I', ''] a from n
+  union all
+  select conv_id, i, [w1.c, w2.c, w3.c, w4.c], [w1.a, w2.a, w3.a, w4.a] from (
+    select conv_id, i, {_insert('z1', 'w3')} w1, {_insert('z2', 'w3')} w2, w3, w4 from (
+      select conv_id, i, z1, z2, {_insert('z3', 'z4')} w3, {_insert('z4', 'z3')} w4 from (
+        select y.conv_id, y.i, {_best(1, 3, [('s', 2), ('u', 3)])} z1, {_best(2, 3, [('u', 3)])} z2,
+               {_best(3, 4, [('a', 4)])} z3, {_best(4, 3, [('u', 3)])} z4
+        from v join y on y.conv_id is not distinct from v.conv_id and y.i = v.i - 1)))),
+r as (select conv_id, c[1] cost, a[1] audit from v where i = 1),
+w as (select conv_id, audit, 1 p, 0 i, 'n' state, null::varchar line from r
+  union all
+  select w.conv_id, audit, p + 1, case e when 'I' then w.i else w.i + 1 end, z, case e when 'D' then null else x || ':' || case e when 'I' then '' else text end end
+  from (select w.*, substr(audit, p::int, 1) e, y.role, y.text,
+          case when e = 'K' then y.role when w.state = 'u' then 'assistant' else 'user' end x,
+          case when e = 'D' then w.state when e = 'K' then left(y.role, 1) when w.state = 'u' then 'a' else 'u' end z
+        from w left join y on y.conv_id is not distinct from w.conv_id and y.i = w.i + 1 where p <= length(audit)) w),
+h as (select conv_id, sha256(coalesce(string_agg(line, chr(10) order by p), '')) repaired_sha256 from w group by 1)
+select d.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint blank, coalesce(duplicate, 0)::bigint duplicate,
+       coalesce(truncated, 0)::bigint truncated, coalesce(illegal, 0)::bigint illegal, coalesce(cost, 0)::bigint cost,
+       coalesce(audit, '') audit, coalesce(repaired_sha256, sha256('')) repaired_sha256
+from (select distinct conv_id from conversations) d left join n using (conv_id) left join r using (conv_id) left join h using (conv_id)
+"""
+
+#: Every phrase of one to four words of every piece, counted as text.
+ORACLES["op12_phrase_collocations"] = rf"""
+with d as (select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p from documents),
+w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from d),
+n as (select lang, sum(len(w))::bigint n from w group by 1),
+g as (select lang, m, unnest(list_transform(range(len(w) - m + 1), lambda i: array_to_string(w[i + 1:i + m], ' '))) phrase
+      from w, range(1, {collocations.LONGEST + 1}) r(m) where len(w) >= m),
+f as (select lang, m, phrase, count(*) f from g group by all having count(*) >= {collocations.LEAST}),
+c as (select lang, m, phrase, f a, string_split(phrase, ' ') p from f where m > 1),
+cuts as (select *, array_to_string(p[:k], ' ') x, array_to_string(p[k + 1:], ' ') y from (select *, unnest(range(1, m)) k from c)),
+s as (select cuts.lang, cuts.phrase, a, k, x.f l, y.f r, (2000000::hugeint * a // (x.f + y.f))::bigint score
+      from cuts join f x on x.lang = cuts.lang and x.phrase = cuts.x join f y on y.lang = cuts.lang and y.phrase = cuts.y),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+i as (select lang, a, unnest(list_transform(range(m - t + 1), lambda j: array_to_string(p[j + 1:j + t], ' '))) phrase
+      from c, range(2, {collocations.LONGEST}) r(t) where t < m),
+o as (select lang, phrase, max(a) longer from i group by all),
+k as (select b.* from b left join o using (lang, phrase) where longer is null or 100 * longer < {collocations.HELD} * a)
+select * from (select k.lang, row_number() over (partition by k.lang order by score desc, a desc, phrase) rank, phrase, a, l, r, n, score
+               from k join n on n.lang = k.lang) where rank <= {collocations.TOP}
+"""
