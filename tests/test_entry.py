@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
-COUNT = "import __spark_entry__ as e; q = e.queries(); print(len(q), sum(k.startswith('op') or k == 'pipeline' for k in q), len(set(e.oracle_sql()) - set(q)))"
+COUNT = "import re, __spark_entry__ as e; q = e.queries(); print(len(q), sum(bool(re.match(r'op[0-9]|pipeline', k)) for k in q), len(set(e.oracle_sql()) - set(q)))"
 
 
 def counts(folder: Path, before: str = "") -> list[int]:
