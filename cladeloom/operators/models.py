@@ -18,6 +18,8 @@ from cladeloom.operators.likelihood import CSP_FLOOR, kmer_table_loglik
 from cladeloom.sources.models import read_pth, read_yaml
 
 MASK = -1e9
+#: Sequences of one pass through the network: bounds the windows held at once.
+PASS = 64
 
 
 def kmer_table(spark: SparkSession, log_rates: np.ndarray, logits: np.ndarray) -> DataFrame:
@@ -83,40 +85,49 @@ class ConvModel:
     rate_bias: float = 0.0
 
     def _features(self, prefix: str, kmers: np.ndarray) -> np.ndarray:
+        """(sequence, site, channel): the convolution of all sequences as one product over their windows."""
         w = self.weights
         emb = w[f"{prefix}kmer_embedding.weight"][kmers]
         conv, bias = w[f"{prefix}conv.weight"], w[f"{prefix}conv.bias"]
         width = conv.shape[2]
-        padded = np.pad(emb, ((width // 2, width - 1 - width // 2), (0, 0)))
-        seen = np.lib.stride_tricks.sliding_window_view(padded, width, axis=0)
-        return np.maximum(np.einsum("lek,fek->lf", seen, conv) + bias, 0)
+        padded = np.pad(emb, ((0, 0), (width // 2, width - 1 - width // 2), (0, 0)))
+        seen = np.lib.stride_tricks.sliding_window_view(padded, width, axis=1)
+        n, sites = kmers.shape
+        flat = seen.reshape(n * sites, -1) @ conv.reshape(len(conv), -1).T
+        return np.maximum(flat.reshape(n, sites, -1) + bias, 0)
+
+    def forward_all(self, seqs: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rates, substitution odds and base codes of the first ``site_count`` sites of every sequence."""
+        w, out = self.weights, []
+        for at in range(0, len(seqs), PASS):
+            encoded = [encode(s, self.k, self.site_count) for s in seqs[at : at + PASS]]
+            kmers = np.stack([k for k, _ in encoded])
+            shared = self._features("", kmers)
+            rate = shared @ w["linear.weight"].T + w["linear.bias"]
+            rate = rate + self._features("r_", kmers) @ w["r_linear.weight"].T + w["r_linear.bias"]
+            odds = (shared + self._features("s_", kmers)) @ w["s_linear.weight"].T + w["s_linear.bias"]
+            odds = odds.astype(float)
+            codes = np.full(kmers.shape, 4)
+            for i, (_, c) in enumerate(encoded):
+                codes[i, : len(c)] = c
+            known = np.nonzero(codes < 4)
+            odds[(*known, codes[known])] += MASK
+            rates, csp = np.exp(rate[..., 0] + self.rate_bias), softmax_rows(odds)
+            out += [(r, c, own) for r, c, (_, own) in zip(rates, csp, encoded)]
+        return out
 
     def forward(self, seq: str) -> tuple[np.ndarray, np.ndarray]:
-        """Rates and substitution odds of the first ``site_count`` sites."""
-        w = self.weights
-        kmers, codes = encode(seq, self.k, self.site_count)
-        shared = self._features("", kmers)
-        rate = shared @ w["linear.weight"].T + w["linear.bias"]
-        rate = rate + self._features("r_", kmers) @ w["r_linear.weight"].T + w["r_linear.bias"]
-        odds = (shared + self._features("s_", kmers)) @ w["s_linear.weight"].T + w["s_linear.bias"]
-        odds = odds.astype(float)
-        known = np.flatnonzero(codes < 4)
-        odds[known, codes[known]] += MASK
-        return np.exp(rate[:, 0] + self.rate_bias), softmax_rows(odds)
+        return self.forward_all([seq])[0][:2]
 
     def loglik(self, pairs: DataFrame) -> DataFrame:
         model = self
 
         @F.pandas_udf("double")
         def score(parent: pd.Series, child: pd.Series) -> pd.Series:
-            seen: dict[str, tuple] = {}
-            out = []
-            for p, c in zip(parent, child):
-                if p not in seen:
-                    seen = {p: (*model.forward(p), encode(p, model.k, model.site_count)[1])}
-                rates, csp, codes = seen[p]
-                out.append(poisson_loglik(rates, csp, codes, encode(c, model.k, model.site_count)[1]))
-            return pd.Series(out, dtype="float64")
+            own = list(dict.fromkeys(parent))
+            known = dict(zip(own, model.forward_all(own)))
+            ends = (encode(c, model.k, model.site_count)[1] for c in child)
+            return pd.Series([poisson_loglik(*known[p], c) for p, c in zip(parent, ends)], dtype="float64")
 
         # Few but costly rows: hash-spread by parent so that its children share a forward pass.
         todo = pairs.select("parent_seq", "child_seq").distinct()

@@ -251,8 +251,7 @@ select rk, 1 rank, a tree, gap from f1 union all select rk, 2, a, gap from f2 un
 )
 def diverse_trees(spark, sf):
     """Three trees per region picked farthest-first."""
-    pairs = rf.pairwise_rf(_clades(spark, sf))
-    return diverse.farthest_first(pairs, 3).withColumnRenamed("g", "rk")
+    return diverse.farthest_first(_clades(spark, sf), 3).withColumnRenamed("g", "rk")
 
 
 def _versions(spark, sf):

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeloom.functions.numbers import COUNT, uniform_draw
-from cladeloom.operators import diverse, dp, fitch, leafsets, likelihood, merge, rf, sampling, spr, trim
+from cladeloom.operators import diverse, dp, fitch, intervals, leafsets, likelihood, merge, rf, sampling, spr, trim
 from cladeloom.operators import semiring as sr
 from cladeloom.operators.levels import EdgeLevels, depths, rank_edges
 from cladeloom.plans.options import SearchOptions, WalkOptions
@@ -156,8 +156,7 @@ def diverse_trees(dag: HistoryDag, k: int, pool: int, seed: int) -> DataFrame:
 
     place = F.rank().over(Window.partitionBy("g").orderBy("mutations"))
     kept = scored.withColumn("place", place).where(F.col("place") <= diverse.keep_count(k)).select("g", "dag_id")
-    pairs = rf.pairwise_rf(clades.join(kept, ["g", "dag_id"]))
-    return diverse.farthest_first(pairs, k, trees=kept), trees
+    return diverse.farthest_first(clades, k, trees=kept), trees
 
 
 def random_moves(index: spr.TreeIndex, seed: int, attempts: int = 100, keep: int = 10) -> DataFrame:
@@ -171,11 +170,9 @@ def random_moves(index: spr.TreeIndex, seed: int, attempts: int = 100, keep: int
         return nodes.groupBy(*keys, slot).agg(F.min_by("node_id", h).alias(name))
 
     pairs = draw("s", "src").join(draw("d", "dst"), [*keys, "slot"]).where(F.col("src") != F.col("dst"))
-    depth = index.tree.max_depth
-    up = cut(spr.paths_up(index.tree, max(depth, 1)), "paths")
-    below = up.select(*keys, F.col("node_id").alias("dst"), F.col("anc").alias("src"))
-    above = up.select(*keys, F.col("node_id").alias("src"), F.col("anc").alias("dst"))
-    valid = pairs.join(below, [*keys, "src", "dst"], "left_anti").join(above, [*keys, "src", "dst"], "left_anti")
+    spans = cut(intervals.euler_intervals(index.tree.nodes, list(keys)), "intervals")
+    placed = intervals.with_intervals(pairs, spans, list(keys), "src", "dst")
+    valid = placed.where(~intervals.is_above("src", "dst") & ~intervals.is_above("dst", "src"))
     ranked = valid.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct("slot", "src", "dst"))), 1, keep).alias("m"))
     return ranked.select(*keys, F.inline("m")).drop("slot")
 
@@ -260,8 +257,8 @@ def subtree_of(trees: HistoryDag, least: int, most: int, seed: int) -> DataFrame
 
 def inside(moves: DataFrame, index: spr.TreeIndex, roots: DataFrame) -> DataFrame:
     """Moves whose both ends lie strictly below the chosen node of their tree."""
-    up = cut(spr.paths_up(index.tree, max(index.tree.max_depth, 1)), "paths")
-    within = up.join(roots.withColumnRenamed("node_id", "anc"), ["dag_id", "anc"], "left_semi").select("dag_id", "node_id")
+    spans = cut(intervals.euler_intervals(index.tree.nodes, ["dag_id"]), "intervals")
+    within = cut(intervals.strictly_below(spans, roots, ["dag_id"]), "region")
     src = within.withColumnRenamed("node_id", "src")
     dst = within.withColumnRenamed("node_id", "dst")
     return moves.join(src, ["dag_id", "src"], "left_semi").join(dst, ["dag_id", "dst"], "left_semi")

@@ -131,6 +131,16 @@ def test_table_and_net_agree_with_numpy(spark, tmp_path):
     _, codes = models.encode(a, 3, 500)
     assert (csp[np.arange(20), codes] < 1e-12).all()
     assert scored[a, b] == pytest.approx(models.poisson_loglik(rates, csp, codes, models.encode(b, 3, 500)[1]))
+    # all sequences in one pass, against the convolution written out site by site
+    many = net.forward_all([p for p, _ in pairs] * 12)
+    assert len(many) == 12 * len(pairs)
+    for (p, _), (rates, csp, codes) in zip(pairs, many):
+        kmers, want_codes = models.encode(p, 3, 500)
+        wide = np.pad(w["kmer_embedding.weight"][kmers], ((4, 4), (0, 0)))
+        conv = w["conv.weight"]
+        plain = np.array([(wide[i : i + 9].T * conv).sum(axis=(1, 2)) for i in range(500)]) + w["conv.bias"]
+        assert net._features("", kmers[None])[0] == pytest.approx(np.maximum(plain, 0), abs=1e-5)
+        assert (codes == want_codes).all() and csp.sum(axis=1) == pytest.approx(1)
 
 
 def test_edge_nll_skips_unchanged_and_root(spark):
