@@ -32,14 +32,16 @@ def keep_reachable(dag: HistoryDag, edges: DataFrame, start: DataFrame | None =
 def clade_coverage(arrived: DataFrame, clades: DataFrame, keys: list[str]) -> DataFrame:
     """Per edge of a contested clade: its leaf count and the clade's.
 
-    ``arrived`` and ``clades`` are the closure's (edge, leaf) and (clade, leaf)
-    rows.  ``complete`` says whether any alternative covers the whole clade.
+    ``arrived`` and ``clades`` are bitmaps of leaves: (edge, chunk, bits) and
+    (clade, chunk, bits) rows.  A clade's leaves are those of all its
+    alternatives, so one that has as many has them all.  ``complete`` says
+    whether any alternative covers the whole clade.
     """
     by = [*keys, "parent_id", "clade_index"]
-    per_edge = arrived.select(*by, "child_id", "leaf").distinct().groupBy(*by, "child_id").agg(
-        F.count(F.lit(1)).alias("leaves")
-    )
-    per_clade = clades.groupBy(*by).agg(F.count(F.lit(1)).alias("clade_leaves"))
+    one = arrived.groupBy(*by, "child_id", "chunk").agg(F.bit_or("bits").alias("bits"))
+    leaves = F.sum(F.bit_count("bits")).cast("bigint")
+    per_edge = one.groupBy(*by, "child_id").agg(leaves.alias("leaves"))
+    per_clade = clades.groupBy(*by).agg(leaves.alias("clade_leaves"))
     best = per_edge.groupBy(*by).agg(
         F.max("leaves").alias("most"), F.count(F.lit(1)).alias("alternatives")
     )
@@ -58,8 +60,7 @@ def trim_inconsistent(dag: HistoryDag) -> tuple[HistoryDag, DataFrame]:
     """
     removed = None
     while True:
-        levels = leafsets.levels_with_leaves(dag)
-        res = leafsets.leaf_closure(levels)
+        res = leafsets.leaf_bits(leafsets.levels_with_bits(dag))
         cover = cut(clade_coverage(res.edges, res.clades, ["dag_id"]), "coverage")
         # A clade in which nothing is complete is counted once per round it is seen in.
         stuck = cover.where(~F.col("complete")).groupBy("dag_id").agg(

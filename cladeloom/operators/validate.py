@@ -59,8 +59,8 @@ def validate(dag: HistoryDag) -> DataFrame:
     report = edge_checks(dag).unionByName(
         _row(lost, 5, F.col("node_id"), "not reachable from the root")
     )
-    closure = leafsets.leaf_closure(leafsets.levels_with_leaves(dag))
-    cover = clade_coverage(closure.edges, closure.clades, ["dag_id"])
+    sets = leafsets.leaf_bits(leafsets.levels_with_bits(dag))
+    cover = clade_coverage(sets.edges, sets.clades, ["dag_id"])
     uneven = cover.where("short").select("dag_id", "parent_id").distinct()
     return report.unionByName(
         _row(uneven, 8, F.col("parent_id"), "alternatives of a clade have different leaf sets")

@@ -15,7 +15,7 @@ from cladeloom.operators.levels import Level, layered
 from cladeloom.plans import tables
 from cladeloom.plans.registry import GROUPS, query
 from cladeloom.runtime import cut
-from cladeloom.schema import HistoryDag
+from cladeloom.schema import GENOME, HistoryDag
 
 
 def _labelled(spark, sf, trees="ABCD", fragments=""):
@@ -168,7 +168,8 @@ def clade_coverage(spark, sf):
         F.substring_index("parent_id", "/", 1).cast("bigint").alias("clade_index"),
         F.lit(None).cast("string").alias("leaf_name"),
     )
-    res = leafsets.leaf_closure(layered(Level(leaf, "leaf"), Level(alt, "inner")))
+    leaf = leafsets.with_leaf_bits(leaf, [])
+    res = leafsets.leaf_bits(layered(Level(leaf, "leaf"), Level(alt, "inner")))
     cover = trim.clade_coverage(res.edge_parts[1], res.clade_parts[1], [])
     return cover.select(
         F.col("clade_index").cast("int").alias("nk"), F.substring_index("child_id", "/", -1).alias("t"),
@@ -176,6 +177,57 @@ def clade_coverage(spark, sf):
     )
 
 
+def _gappy_dags(spark, sf) -> HistoryDag:
+    """A DAG per region: nation -> version A or B -> segment -> variant x or y -> customer, some customers left out."""
+    c = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nk"), F.col("c_mktsegment").alias("seg"))
+    n = tables.table(spark, sf, "nation").select(F.col("n_nationkey").alias("nk"), F.col("n_regionkey").cast("string").alias("dag_id"))
+    way = lambda t, v: F.struct(F.lit(t).alias("t"), F.lit(v).alias("v"))
+    ways = F.array_compact(F.array(
+        F.when(F.col("k") % 13 != 0, way("A", "x")), F.when(F.col("k") % 11 != 0, way("A", "y")),
+        F.when(F.col("k") % 13 != 0, way("B", "x")), way("B", "y"),
+    ))
+    rows = c.join(n, "nk").select("dag_id", "nk", "seg", "k", F.inline(ways))
+    version = F.concat_ws("/", F.concat(F.lit("n"), F.col("nk").cast("string")), "t")
+    rows = cut(rows.select(
+        "dag_id", "nk", "seg", version.alias("version"), F.concat_ws("/", version, "seg", "v").alias("variant"),
+        F.concat(F.lit("c"), F.col("k").cast("string")).alias("leaf"), "k",
+    ), "gappy")
+    arc = lambda parent, child, clade: rows.select("dag_id", F.expr(parent).alias("parent_id"), F.expr(child).alias("child_id"), F.expr(clade).alias("clade_index")).distinct()
+    arcs = arc("variant", "leaf", "cast(k as int)").unionByName(arc("version", "variant", "cast(ascii(seg) as int)"))
+    arcs = arcs.unionByName(arc("'root'", "version", "cast(nk as int)")).unionByName(arc("'ua'", "'root'", "0"))
+    edges = cut(arcs.withColumns({"edge_weight": F.lit(0.0), "edge_id": F.xxhash64("parent_id", "child_id")}), "gappy-edges")
+    ids = edges.select("dag_id", F.col("child_id").alias("node_id")).distinct().unionByName(edges.select("dag_id", F.lit("ua").alias("node_id")).distinct())
+    kind = F.when(F.col("node_id") == "ua", "ua").when(F.col("node_id").startswith("c"), "leaf").otherwise("inner")
+    nodes = ids.select("dag_id", "node_id", kind.alias("kind"), F.when(kind == "leaf", F.col("node_id")).alias("sample_id"), F.array().cast(GENOME).alias("cg"))
+    refs = edges.select("dag_id").distinct().select("dag_id", F.lit("ref").alias("reference_id"), tables.reference().alias("reference_seq"))
+    return HistoryDag(nodes, edges, refs)
+
+
+@query(
+    "trim_rounds",
+    """with c as (select n_regionkey rk, c_nationkey nk, c_mktsegment seg, c_custkey k from customer join nation on n_nationkey = c_nationkey),
+v as (select *, 'A' t, 'x' v from c where k % 13 <> 0 union all select *, 'A', 'y' from c where k % 11 <> 0
+  union all select *, 'B', 'x' from c where k % 13 <> 0 union all select *, 'B', 'y' from c),
+e as (select rk, nk, t, seg, v, count(*) n from v group by all),
+u as (select rk, nk, t, seg, count(distinct k) un from v group by all),
+g as (select *, max(n) over (partition by rk, nk, t, seg) m, count(*) over (partition by rk, nk, t, seg) alts from e join u using (rk, nk, t, seg)),
+a as (select rk, nk, t, count(distinct k) n from v group by all),
+b as (select rk, nk, count(distinct k) un from v group by all),
+h as (select *, max(n) over (partition by rk, nk) m, count(*) over (partition by rk, nk) alts from a join b using (rk, nk)),
+gone as (select rk, count(*) n from (select rk from g where alts > 1 and m = un and n < un union all select rk from h where alts > 1 and m = un and n < un) group by 1),
+first as (select rk, count(distinct (nk, t, seg)) n from g where alts > 1 and m < un group by 1),
+again as (select rk, count(distinct (nk, t, seg)) n from g join h using (rk, nk, t) where g.alts > 1 and g.m < g.un and not (h.alts > 1 and h.m = h.un and h.n < h.un) group by 1)
+select cast(r.rk as varchar) dag_id, coalesce(gone.n, 0) edges_removed,
+  coalesce(first.n, 0) + case when (select count(*) from gone) > 0 then coalesce(again.n, 0) else 0 end unresolvable
+from (select distinct rk from c) r left join gone using (rk) left join first using (rk) left join again using (rk)""",
+)
+def trim_rounds(spark, sf):
+    """Alternatives that miss leaves, dropped at two levels until nothing changes; clades without a whole alternative by round."""
+    dag = _gappy_dags(spark, sf)
+    report = trim.trim_inconsistent(dag)[1]
+    return dag.refs.select("dag_id").join(report, "dag_id", "left").na.fill(0)
+
+
 @query(
     "novel_nodes",
     f"""with {GROUPS},

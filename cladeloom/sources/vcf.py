@@ -59,7 +59,11 @@ def read_vcf(spark: SparkSession, paths, reference: str) -> DataFrame:
 
 
 def overlay_genomes(dag: HistoryDag, genomes: DataFrame) -> HistoryDag:
-    """Leaf genomes overlaid with ``genomes`` (sample_id, cg); edges recomputed."""
+    """Leaf genomes overlaid with ``genomes`` (sample_id, cg); edges recomputed.
+
+    Calls are differences from the reference they were read with.  One that is
+    the DAG's own reference base at its site takes the leaf's mutation there away.
+    """
     new = genomes.withColumnRenamed("cg", "vcf_cg")
 
     def as_map(c):
@@ -70,7 +74,9 @@ def overlay_genomes(dag: HistoryDag, genomes: DataFrame) -> HistoryDag:
         lambda _, old, fresh: F.coalesce(fresh, old),
     )
     entries = F.transform(F.map_entries(merged), lambda e: F.struct(e["key"].alias("pos"), e["value"].alias("base")))
-    nodes = dag.nodes.join(new, "sample_id", "left").withColumn(
-        "cg", F.when(F.col("kind") == "leaf", F.array_sort(entries)).otherwise(F.col("cg"))
-    ).drop("vcf_cg")
+    own = F.filter(entries, lambda e: e["base"] != ref_base(F.col("reference_seq"), e["pos"]))
+    overlaid = (F.col("kind") == "leaf") & F.col("vcf_cg").isNotNull()
+    nodes = dag.nodes.join(new, "sample_id", "left").join(dag.refs.select("dag_id", "reference_seq"), "dag_id", "left").withColumn(
+        "cg", F.when(overlaid, F.array_sort(own).cast(GENOME)).otherwise(F.col("cg"))
+    )
     return recompute_edges(dag.with_nodes(nodes.select(*dag.nodes.columns)))

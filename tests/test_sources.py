@@ -114,3 +114,14 @@ def test_leaf_names(spark):
     assert got == ["<1C,>", "<1C,>#1", "k"]
     forced = sorted(r["sample_id"] for r in genomes.name_leaves(dag, True).nodes.where("kind = 'leaf'").collect())
     assert forced == ["<1C,>", "<1C,>", "<3T,>"]
+
+
+def test_vcf_call_of_the_reference_base_resets_a_leaf(spark):
+    """Calls against another reference may say that a leaf has the DAG's own base."""
+    dag = g.build(spark, {"d": ("AAAA", {1: "AAAA", 2: "CAGA", 3: "CATA"}, g.arcs("0>1.0 1>2.0 1>3.1"), {2: "s2", 3: "s3"})})
+    calls = spark.createDataFrame([("f", 1, "s2", 1, "A"), ("f", 2, "s2", 4, "T"), ("f", 3, "s3", 1, "C")], "path string, at int, sample string, pos int, base string")
+    out = vcf.overlay_genomes(dag, vcf.sample_genomes(calls, F.lit("GAAA")))
+    got = {r.sample_id: [(s.pos, s.base) for s in r.cg] for r in out.nodes.where("kind = 'leaf'").collect()}
+    assert got == {"s2": [(3, "G"), (4, "T")], "s3": [(1, "C"), (3, "T")]}
+    muts = {r.child_id: [(m["pos"], m["par"], m["mut"]) for m in r.mutations] for r in out.edges.where("parent_id = 1").collect()}
+    assert muts[2] == [(3, "A", "G"), (4, "A", "T")]
