@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,12 +119,12 @@ def _packs(k: int):
         hasher = ByteHasher()
         for batch in batches:
             own, packed = [], []
-            for key, text in zip(batch["own"], batch["text"]):
+            for key, text in zip(batch["skey"], batch["text"]):
                 h = shingle_hashes(text, k, hasher)[0].view(np.int64)
                 for at in range(0, len(h), PACK):
                     own.append(key)
                     packed.append(h[at : at + PACK])
-            yield pd.DataFrame({"own": np.array(own, dtype=np.int64), "packed": packed})
+            yield pd.DataFrame({"skey": pd.Series(own, dtype=object), "packed": pd.Series(packed, dtype=object)})
 
     return packs
 
@@ -138,15 +138,15 @@ def similar_sets(
     text), repeats allowed.  In every bucket all members are compared with its
     leader, the member that shares the most with others.  Where buckets still
     hold several components, pairs across them follow, but only those that can
-    reach the threshold: with s of a set's shingles found in another set of such
-    buckets, a pair shares at most the lesser s.  Pairs inside a component need
-    no look, as it is joined anyhow; so copies by the thousand cost a pair each.
+    reach the threshold: with shingles in the order of their rarity among the
+    sets of such buckets, linked sets share one of their first n - t n + 1, and
+    behind it enough is left of both.  This loses no pair.  Pairs inside a
+    component need no look, as it is joined anyhow.
     ``proposed`` pairs (a, b, n_a, n_b) of skeys from elsewhere are verified first.
     """
     close = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
     band = lambda i: F.xxhash64(F.lit(i), F.substring("registers", 2 * BAND_ROWS * i + 1, 2 * BAND_ROWS))
-    banded = sets.select("skey", "n", F.array(*map(band, range(BANDS))).alias("bands"))
-    dealt = banded.select("skey", "n", F.posexplode("bands").alias("at", "bucket"))
+    dealt = sets.select("skey", "n", F.explode(F.array(*map(band, range(BANDS)))).alias("bucket"))
     crowded = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = cut(dealt.join(crowded, "bucket"), "members")
     weights = members.groupBy("skey").agg(F.sum("size").alias("weight"))
@@ -180,24 +180,31 @@ def similar_sets(
     links = led if links is None else cut(links.unionAll(led), "links")
     roots = cut(components(links), "roots")
     members = members.drop("root")
-    rooted = cut(members.join(roots, F.col("skey") == F.col("node"), "left").select("bucket", "at", "skey", "n", root), "rooted")
+    rooted = cut(members.join(roots, F.col("skey") == F.col("node"), "left").select("bucket", "skey", "n", root), "rooted")
     contested = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
     open_ = cut(rooted.join(contested.select("bucket"), "bucket"), "contested")
 
-    own = F.xxhash64("skey").alias("own")
-    packs = held.join(open_.select("skey").distinct(), "skey", "left_semi").select(own, "text")
-    single = cut(packs.mapInPandas(_packs(k), "own long, packed array<long>"), "contested-shingles").select("own", F.explode("packed").alias("h"))
-    known = single.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h")
-    common = single.join(known, "h").groupBy("own").agg(F.count(F.lit(1)).alias("common"))
-    # a set with too little in common with all others has no partner of any size
-    able = open_.withColumn("own", F.xxhash64("skey")).join(common, "own").where(100 * F.col("common") >= percent * F.col("n"))
-    able = able.join(banded.select("skey", "bands"), "skey")
-    side = lambda c: able.select("bucket", *[F.col(x).alias(f"{x}_{c}") for x in ("skey", "at", "n", "root", "common", "bands")])
-    enough = (100 + percent) * F.least("common_a", "common_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("at_a") + 1
-    across = side("a").join(side("b"), "bucket").where(
-        (F.col("root_a") < F.col("root_b")) & close(F.col("n_a"), F.col("n_b")) & enough & (F.col("at_a") == F.col("at_b")) & first
+    # of each contested set the rarest shingles: two linked sets share one of them, and not too late in both
+    packs = held.join(open_.select("skey").distinct(), "skey", "left_semi").mapInPandas(_packs(k), "skey binary, packed array<long>")
+    single = cut(packs, "contested-shingles").select("skey", F.explode("packed").alias("h"))
+    known = single.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("skey")
+    ranked = single.join(known, "h").select(
+        "skey", "h", F.row_number().over(own.orderBy("df", "h")).alias("rank"), F.count(F.lit(1)).over(own).alias("common")
     )
+    facts = open_.groupBy("skey").agg(F.min("n").alias("n"), F.min("root").alias("root"))
+    place = F.col("n") - F.col("common") + F.col("rank")  # from 1; shingles of no other set come first
+    early = ranked.join(facts, "skey").select("h", "skey", "n", "root", place.alias("place")).where(
+        percent * F.col("n") <= 100 * (F.col("n") - F.col("place") + 1)
+    )
+    early = cut(early, "rare-shingles")
+    parted = early.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("h")
+    early = early.join(parted, "h")
+    side = lambda c: early.select("h", *[F.col(x).alias(f"{x}_{c}") for x in ("skey", "n", "root", "place")])
+    rest = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    across = side("a").join(side("b"), "h").where(
+        (F.col("root_a") < F.col("root_b")) & close(F.col("n_a"), F.col("n_b")) & ((100 + percent) * rest >= percent * (F.col("n_a") + F.col("n_b")))
+    ).select("skey_a", "skey_b", "n_a", "n_b").distinct()
     more = verified(across.select(F.col("skey_a").alias("a"), F.col("skey_b").alias("b"), "n_a", "n_b"))
     return roots if more.isEmpty() else components(links.unionAll(more))
 
