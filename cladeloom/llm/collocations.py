@@ -12,20 +12,22 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeloom.llm.common import body, bound_batches
+from cladeloom.llm.common import batches_of, body, bound_batches
 from cladeloom.runtime import cut
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: A candidate inside a longer one with this percentage of its count goes.
 HELD = 80
-#: Bytes of text whose words are numbered together, words of one set of filters, and different words that a task holds.
-CHUNK_BYTES, FILTER_WORDS, HELD_WORDS = 8 << 20, 1 << 21, 1 << 20
+#: Words of a block, words of one set of filters, and blocks that travel to a task together.
+BLOCK_WORDS, FILTER_WORDS, BLOCKS_TOGETHER = 1 << 19, 1 << 21, 16
 #: Words per shard of a filter, about.
 SHARD_WORDS = 1 << 21
 _ENDS = re.compile(rb"[.,;:!?\n-\r]+")
@@ -168,24 +170,47 @@ class QuotientFilter:
         return cls(*counted(hi, lo, counts, l))
 
 
-def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(chunk, lang, word, n) of each task's own words."""
-    held: dict[tuple, Counter] = {}
+class Numbers(dict):
+    """Numbers words from 1 on as they come; a break between pieces is 0."""
 
-    def rows():
-        for (chunk, lang), c in held.items():
-            c.pop(b".", None)
-            if c:
-                yield pd.DataFrame({"chunk": chunk, "lang": lang, "word": [w.decode() for w in c], "n": list(c.values())})
+    def __init__(self):
+        self[b"."] = 0
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(block, lang, words, counts, width, stream): texts as streams of numbers, with the words that they stand for."""
+    part, made = TaskContext.get().partitionId() << 32, 0
+    held: dict[str, tuple[Numbers, list]] = {}
+
+    def block(lang: str) -> pd.DataFrame:
+        nonlocal made
+        numbers, texts = held.pop(lang)
+        stream = np.array(list(chain.from_iterable(texts)), dtype=np.uint32)
+        counts = np.bincount(stream, minlength=len(numbers))
+        width = 2 if len(numbers) < 1 << 16 else 4
+        made += 1
+        words = [w.decode() for w in numbers]
+        data = stream.astype(f"<u{width}").tobytes()
+        return pd.DataFrame([(part + made, lang, words, counts, width, data)], columns=["block", "lang", "words", "counts", "width", "stream"])
+
+    sizes: Counter = Counter()
     for batch in batches:
-        for chunk, lang, text in zip(batch["chunk"], batch["lang"], batch["text"]):
-            held.setdefault((chunk, lang), Counter()).update(tokens(text))
-        if sum(map(len, held.values())) > HELD_WORDS:
-            yield from rows()
-            held.clear()
-    if held:
-        yield from rows()
+        for lang, text in zip(batch["lang"], batch["text"]):
+            numbers, texts = held.setdefault(lang, (Numbers(), []))
+            words = tokens(text)
+            words.append(b".")
+            for at in range(0, len(words), BLOCK_WORDS):
+                texts.append([numbers[w] for w in words[at : at + BLOCK_WORDS]])
+            sizes[lang] += len(words)
+            if sizes[lang] > BLOCK_WORDS:
+                del sizes[lang]
+                yield block(lang)
+    for lang in list(held):
+        yield block(lang)
 
 
 def _filters(shards: int):
@@ -209,30 +234,20 @@ def _filters(shards: int):
     columns = ["lang", "n", "bits", "shard", "filter"]
 
     def filters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk, numbers, width, held, size = None, {}, {}, {}, 0
-
-        def flush():
-            out = [row for lang, ids in held.items() for row in emit(lang, ids, width[lang])]
-            if out:
-                yield pd.DataFrame(out, columns=columns)
-
+        held: dict[str, list[np.ndarray]] = {}
+        width: dict[str, int] = {}
         for batch in batches:
-            for own, lang, text, number, bits in zip(batch["chunk"], batch["lang"], batch["text"], batch["id"], batch["bits"]):
-                if own != chunk:
-                    yield from flush()
-                    chunk, numbers, width, held, size = own, {}, {}, {}, 0
-                if number:
-                    numbers.setdefault(lang, {})[text.encode()] = number
-                    width[lang] = bits
-                elif lang in numbers:
-                    get, words = numbers[lang].get, tokens(text)
-                    words.append(b".")
-                    held.setdefault(lang, []).append(np.array([get(w, 0) for w in words], dtype=np.int64))
-                    size += len(words)
-                    if size > FILTER_WORDS:
-                        yield from flush()
-                        held, size = {}, 0
-        yield from flush()
+            for lang, size, data, bits, known in zip(batch["lang"], batch["width"], batch["stream"], batch["bits"], batch["known"]):
+                stream = np.frombuffer(data, dtype=f"<u{size}")
+                number = np.zeros(int(stream.max(initial=0)) + 1, dtype=np.int64)
+                pairs = np.array([(k["at"], k["id"]) for k in known], dtype=np.int64)
+                number[pairs[:, 0]] = pairs[:, 1]
+                held.setdefault(lang, []).append(number[stream])
+                width[lang] = bits
+                if sum(map(len, held[lang])) > FILTER_WORDS:
+                    yield pd.DataFrame(list(emit(lang, held.pop(lang), bits)), columns=columns)
+        for lang, ids in held.items():
+            yield pd.DataFrame(list(emit(lang, ids, width[lang])), columns=columns)
 
     return filters
 
@@ -270,36 +285,39 @@ def _numbered(words: DataFrame) -> DataFrame:
     )
 
 
-def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): (lang, phrase, n_words, f) of all phrases of 1 to LONGEST words found LEAST times or more, and (lang, n).
 
-    1. Tasks count the words of their texts by chunk; words found LEAST times
-       over all texts get numbers.  No rarer word is part of a frequent phrase.
-    2. Each chunk of texts is streamed behind its own part of the vocabulary, so
-       nothing that grows with the corpus is broadcast.  Tasks turn words into
-       numbers and emit filters of n-grams per language, length and shard.
-    3. Filters of a shard are merged; frequent n-grams are permuted back.
+    1. Tasks write their texts as blocks: streams of block-wide word numbers, and
+       the words with their counts.
+    2. Words found LEAST times over all blocks get numbers within their language.
+       No rarer word is part of a frequent phrase.
+    3. Each block gets the numbers of its own words, so nothing that grows with
+       the corpus is broadcast, and is turned into filters of n-grams per
+       language, length and shard.
+    4. Filters of a shard are merged; frequent n-grams are permuted back.
     """
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
-    size = docs.agg(F.sum(F.length(body(text_col)))).first()[0] or 0
-    chunks = max(1, -(-size // CHUNK_BYTES))
-    chunk: Column = F.pmod(F.xxhash64(key_col, text_col), F.lit(chunks)).alias("chunk")
-    given = docs.select(chunk, lang, body(text_col).alias("text"))
-    words = cut(given.mapInPandas(_word_counts, "chunk long, lang string, word string, n long"), "word-counts")
-    totals = cut(words.groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
-    frequent = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= LEAST)
-    vocabulary = cut(_numbered(cut(frequent, "frequent-words")), "vocabulary")
+    given = docs.select(lang, body(text_col).alias("text"))
+    blocks = cut(given.mapInPandas(
+        _blocks, "block long, lang string, words array<string>, counts array<long>, width int, stream binary"
+    ), "word-blocks")
+    zipped = F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")
+    words = blocks.select("block", "lang", zipped).where("at > 0").select("block", "lang", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    counted_words = cut(words.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
+    totals = cut(counted_words.groupBy("lang").agg(F.sum("f").alias("n")), "word-totals")
+    vocabulary = cut(_numbered(counted_words.where(F.col("f") >= LEAST)), "vocabulary")
     total = totals.agg(F.sum("n")).first()[0] or 0
-    shards = max(0, (total // SHARD_WORDS)).bit_length()
-    dealt = words.select("chunk", "lang", "word").distinct().join(vocabulary, ["lang", "word"]).select(
-        "chunk", "lang", F.col("word").alias("text"), "id", "bits"
-    )
-    stream = dealt.unionAll(given.select("chunk", "lang", "text", F.lit(0).cast("bigint").alias("id"), F.lit(0).alias("bits")))
-    stream = stream.repartition("chunk").sortWithinPartitions("chunk", F.col("id") == 0)
-    filters = stream.mapInPandas(_filters(shards), "lang string, n int, bits int, shard long, filter binary")
+    shards = (total // SHARD_WORDS).bit_length()
+    known = words.drop("n").join(vocabulary.drop("f"), ["lang", "word"])
+    known = known.groupBy("block").agg(F.max("bits").alias("bits"), F.collect_list(F.struct("at", "id")).alias("known"))
+    numbered = blocks.select("block", "lang", "width", "stream").join(known, "block")
+    filters = numbered.mapInPandas(_filters(shards), "lang string, n int, bits int, shard long, filter binary")
     grams = filters.groupBy("lang", "n", "bits", "shard").applyInPandas(_merge(shards), "lang string, n_words int, ids array<long>, a long")
-    grams = cut(grams, "frequent-grams")
+    with batches_of(spark, BLOCKS_TOGETHER):
+        grams = cut(grams, "frequent-grams")
     spelt = grams.select("lang", "n_words", "a", F.posexplode("ids").alias("at", "id"), F.xxhash64("n_words", "ids").alias("gram"), "ids")
     spelt = spelt.join(vocabulary.select("lang", "id", "word"), ["lang", "id"])
     phrase = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda s: s["word"]), " ")
@@ -308,7 +326,7 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     return cut(single.unionAll(spelt.select("lang", "phrase", "n_words", "f")), "phrase-counts"), totals
 
 
-def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", top: int = TOP) -> DataFrame:
+def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of 2 to LONGEST words.
 
     ``score`` is 2,000,000 a / (l + r), rounded down, of the phrase's worst cut
@@ -320,7 +338,7 @@ def mine(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_co
     nothing, rows that repeat count as often.  Other columns are ignored; an
     empty table gives no rows.
     """
-    counts, totals = phrase_counts(docs, lang_col, text_col, key_col)
+    counts, totals = phrase_counts(docs, lang_col, text_col)
     found = counts.where("n_words > 1").withColumnRenamed("f", "a")
     k = F.explode(F.sequence(F.lit(1), F.col("n_words") - 1)).alias("k")
     cuts = found.select("lang", "phrase", "n_words", "a", k).select(
