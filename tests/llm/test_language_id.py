@@ -1,11 +1,13 @@
 """Language ID: the model against its formulas, held-out accuracy, edge cases."""
 
+import hashlib
 import math
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cladeloom.llm import language_id, queries
 
@@ -98,15 +100,50 @@ def test_edges_and_rejection(documents):
     assert language_id.identify(documents([])).count() == 0
 
 
-def test_large_models_hash_characters_to_fewer_bits(documents, monkeypatch):
-    rng = random.Random(5)
+def two_languages(rng):
     text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(60))
-    rows = [(i, text("etaoinshr"), "en") for i in range(30)] + [(50 + i, text("aeosñílrc"), "es") for i in range(30)]
-    monkeypatch.setattr(language_id, "MODEL_GRAMS", 6000)
-    df = documents(rows)
-    made = language_id.fit(df.select("doc_id", "lang", "text"))
-    assert made.bits < 16
-    keys = np.concatenate([k for k, _ in language_id.grams([language_id.letters(rows[0][1])], 8)])
-    whole = np.concatenate([k for k, _ in language_id.grams([language_id.letters(rows[0][1])])])
-    assert (language_id.fold_keys(whole, 8) == keys).all()
-    assert all(r.language.lang_pred == r.lang for r in language_id.identify(df).collect())
+    return [(i, text("etaoinshr"), "en") for i in range(30)] + [(50 + i, text("aeosñílrc"), "es") for i in range(30)]
+
+
+def test_large_models_are_scored_by_shards(documents, monkeypatch):
+    rows = [*two_languages(random.Random(5)), (None, None, "en"), (90, "", None), (91, "x", None), (91, "x", None), (92, "the \U0001d49c 字" * 99, None)]
+    df = documents(rows).withColumn("language", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("sums", F.lit("x"))
+    whole = sorted(language_id.identify(df).collect(), key=str)
+    monkeypatch.setattr(language_id, "SHARD_GRAMS", 700)
+    made, models = language_id.fit(documents(rows).select("doc_id", "lang", "text"))
+    shards = list(models)
+    assert models.shards == len(shards) > 3 and made.langs == ["en", "es"]
+    keys = np.concatenate([k for k, _ in language_id.grams([language_id.letters(r[1]) for r in rows if r[2]])])
+    assert sum(len(s.models[0].orders[3][0]) + len(s.models[1].orders[3][0]) for s in shards) >= len(np.unique(keys))
+    parts = sorted(language_id.identify(df).collect(), key=str)
+    assert len(parts) == len(whole) == len(rows)
+    for a, b in zip(whole, parts):
+        assert (a.doc_id, a.text, a.row, a.sums, a.language.lang_pred, a.language.accepted) == (b.doc_id, b.text, b.row, b.sums, b.language.lang_pred, b.language.accepted)
+        assert math.isclose(a.language.score, b.language.score, rel_tol=1e-9)
+
+
+def test_predictions_of_a_plain_model(documents):
+    rows = two_languages(random.Random(6))
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    plain = {x: plain_kneser_ney([language_id.letters(t) for _, t, lang in learned if lang == x])[0] for x in ("en", "es")}
+    for r in language_id.identify(documents([*rows, (99, "Sería: EL 7 tren", None)])).collect():
+        s = "\0\0\0" + language_id.letters(r.text)
+        ce = {x: -sum(math.log(p(s[i : i + 4])) for i in range(len(s) - 3)) / (len(s) - 3) for x, p in plain.items()}
+        assert r.language.lang_pred == min(ce, key=ce.get)
+        assert math.isclose(r.language.cross_entropy, min(ce.values()), rel_tol=1e-9)
+
+
+def test_calibration_rows_are_scored_by_models_without_them(documents, monkeypatch):
+    rows, seen = two_languages(random.Random(7)), []
+    monkeypatch.setattr(language_id.Identifier, "calibrate", lambda self, ce, n, truth: seen.append((ce, n, truth)))
+    language_id.fit(documents(rows).select("doc_id", "lang", "text"))
+    out = {i for i, *_ in rows if zlib.crc32(hashlib.md5(str(i).encode()).hexdigest().encode()) % language_id.APART == 0}
+    want = []
+    for x, name in enumerate(("en", "es")):
+        p, _ = plain_kneser_ney([language_id.letters(t) for i, t, lang in rows if lang == name and i not in out])
+        for i, t, lang in rows:
+            if i in out and lang == name:
+                s = "\0\0\0" + language_id.letters(t)
+                want.append(-sum(math.log(p(s[k : k + 4])) for k in range(len(s) - 3)) / (len(s) - 3))
+    ce, n, truth = seen[0]
+    assert len(truth) == len(out) and np.allclose(sorted(ce[range(len(truth)), truth]), sorted(want))
