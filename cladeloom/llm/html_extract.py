@@ -59,7 +59,11 @@ NEAR, SIBLING = 2.0, 0.8
 #: Capacities are integers.
 UNIT = 1000
 
-_TAG = re.compile(r"""<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)""")
+_START = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+#: A tag's attributes if no "<" stands in them, as is usual.
+_ATTRIBUTES = re.compile(r"""((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>""")
+_SPECIAL = re.compile(r"""[>"']""")
+_REMARK = re.compile(r"<[!?]")
 _HALF_OPEN = re.compile(rf"<(/?)({'|'.join(sorted(HALF_OPEN))})(?=[\s/>])", re.I)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _OFF = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -80,6 +84,41 @@ def _ended(html: str) -> set[int]:
     return ended
 
 
+class TagEnds:
+    """Where tags end: at the next ">" outside quotes, or if there is none, at the next one.
+
+    Each quote's way to the end is followed once, and what lies ahead of the
+    tags, which come in page order, is looked up once: a page takes linear time.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.end_of: dict[int, int] = {}
+        self.special, self.any_end = -1, -1
+
+    def after(self, at: int) -> int:
+        """The place of the ">" that ends a tag whose attributes begin at ``at``; one must follow."""
+        html, path = self.html, []
+        if self.special < at:
+            self.special = self._special(at)
+        q = self.special
+        while q < len(html) and html[q] != ">" and q not in self.end_of:
+            path.append(q)
+            closed = html.find(html[q], q + 1)
+            q = self._special(closed + 1) if closed >= 0 else len(html)
+        end = self.end_of.get(q, q)
+        self.end_of.update(dict.fromkeys(path, end))
+        if end < len(html):
+            return end
+        if self.any_end < at:
+            self.any_end = html.index(">", at)
+        return self.any_end
+
+    def _special(self, at: int) -> int:
+        m = _SPECIAL.search(self.html, at)
+        return m.start() if m else len(self.html)
+
+
 @dataclass
 class Block:
     text: str
@@ -109,7 +148,11 @@ def blocks(html: str) -> list[Block]:
     parts: list[tuple[str, bool]] = []
     number, low, depth_of_last, at = 0, 0, 0, 0
     ended: set[int] | None = None
-    unended: set[int] = set()
+    # places in the stack: of each tag, of all blocks, of half-open elements without an end tag
+    places: dict[str, list[int]] = {}
+    blocks_at: list[int] = []
+    unended: list[int] = []
+    ends, last = TagEnds(html), html.rfind(">") + 1
 
     def flush() -> None:
         nonlocal low, depth_of_last
@@ -120,7 +163,7 @@ def blocks(html: str) -> list[Block]:
         parts.clear()
         if not text:
             return
-        top = next(x for x in reversed(stack) if x[0] in BLOCK or not x[0])
+        top = stack[blocks_at[-1] if blocks_at else 0]
         depth = len(stack)
         steps = depth_of_last + depth - 2 * min(low, depth)
         found.append(Block(text, top[2], linked, top[1], steps))
@@ -128,18 +171,22 @@ def blocks(html: str) -> list[Block]:
 
     def close(to: int) -> None:
         nonlocal low
-        if any(x[0] in BLOCK for x in stack[to:]):
+        if blocks_at and blocks_at[-1] >= to:
             flush()
+        for x in stack[to:]:
+            places[x[0]].pop()
         del stack[to:]
+        for listed in (blocks_at, unended):
+            while listed and listed[-1] >= to:
+                listed.pop()
         low = min(low, to)
 
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def open_at(tags: str, scopes: tuple) -> int | None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags.split():
-                return i
-            if stack[i][0] in scopes:
-                return None
-        return None
+        i = innermost(tags.split())
+        return i if i > innermost(scopes) else None
 
     def add(text: str) -> None:
         if stack[-1][0] == "head" and text.strip():
@@ -148,30 +195,32 @@ def blocks(html: str) -> list[Block]:
             parts.append((unescape(text) if "&" in text else text, stack[-1][3]))
 
     while True:
-        m = _TAG.search(html, at)
+        m = _START.search(html, at, last) if at < last else None
         if m is None:
-            add(html[at:])
+            # no tag ends from here on, but a comment may begin
+            m = _REMARK.search(html, at)
+            add(html[at : m.start() if m else len(html)])
             break
         add(html[at : m.start()])
         at = m.end()
-        end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        end, tag = m[1], m[2]
         if tag is None:
             closing = "-->" if m[0] == "<!--" else ">"
             stop = html.find(closing, at)
             at = len(html) if stop < 0 else stop + len(closing)
             continue
+        usual = _ATTRIBUTES.match(html, at)
+        stop = usual.end(1) if usual else ends.after(at)
+        attributes, at = html[at:stop], stop + 1
         tag = tag.lower()
         if end:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+            if i := innermost((tag,)):
+                close(i)
             continue
         if stack[-1][0] == "head" and tag not in IN_HEAD:
             close(len(stack) - 1)
         if tag in BLOCK and unended and stack[-1][4]:
-            if i := next((i for i, x in enumerate(stack) if x[1] in unended), 0):
-                close(i)
+            close(unended[0])
         if tag in P_ENDS and (i := open_at("p", ("button", "td", "th", "table"))):
             close(i)
         if tag in CLOSES and (i := open_at(*CLOSES[tag])):
@@ -199,7 +248,10 @@ def blocks(html: str) -> list[Block]:
         if tag in HALF_OPEN:
             ended = _ended(html) if ended is None else ended
             if m.start() not in ended:
-                unended.add(number)
+                unended.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            blocks_at.append(len(stack))
         stack.append((tag, number, odds + own, link or tag == "a", off, article or tag in ("article", "main")))
     flush()
     return found

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 from html import unescape
 
 from pyspark.sql import types as T
@@ -104,3 +105,23 @@ def test_hidden_elements_without_an_end_tag():
         assert html_extract.main_text(f"<body><div>{open_}</div><article>{open_}<p>{want}</article>") == want, open_
     for closed in ("<button><div>Go there now.</div></button>", "<object><object><p>No.</p></object><p>No plugin here.</p></object>"):
         assert html_extract.main_text(f"<body><article><p>{want}</p>{closed}</article>") == want, closed
+
+
+def test_broken_markup_takes_linear_time():
+    size = 1_000_000
+    pieces = ["<a ", '<a b="', "<div>", '<a "> "', "<a", "<ul><li>", "<p><span>a", "<button><p>", "<table><td><span>"]
+    inputs = [x * (size // len(x)) for x in pieces] + ["<span>" * (size // 10) + "</b>" * (size // 10), "<i>" * (size // 7) + "<li>" * (size // 7)]
+    for html in inputs:
+        begun = time.process_time()
+        html_extract.main_text(html)
+        assert time.process_time() - begun < 10, html[:20]
+
+
+def test_tags_end_outside_quotes_or_at_the_next_end():
+    rng = random.Random(6)
+    for _ in range(3000):
+        html = "".join(rng.choice("ab>\"'< ") for _ in range(rng.randint(1, 25))) + ">"
+        ends = html_extract.TagEnds(html)
+        for at in range(len(html)):
+            whole = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""").match(html, at)
+            assert ends.after(at) == (whole.end() - 1 if whole else html.index(">", at))
