@@ -7,6 +7,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,11 +16,12 @@ from pyspark.sql import functions as F
 
 from cladeloom.llm.bytehash import ByteHasher
 from cladeloom.llm.common import body, bound_batches
+from cladeloom.runtime import cut
 
 #: Tokens of a template window; an item of fewer tokens is one window.
 WINDOW = 8
-#: Items below this length are no evidence and are never found.
-LEAST_TOKENS = 5
+#: Items below this length have no template windows, those below the second length are no evidence and are never found.
+LEAST_TOKENS, LEAST_LITERAL = 5, 3
 #: Share of a window's tokens that are ordinary words, share of an item that
 #: windows cover, and share of its slots that keep one consistent value.
 LITERAL, COVERED, CONSISTENT = 0.5, 0.5, 0.8
@@ -52,6 +54,7 @@ _BYTE[list(b".!?%$")] = _MARK
 _INSIDE = {_DIGIT: np.isin(np.arange(256), list(b".,:/")), _LETTER: np.arange(256) == ord("'")}
 #: Characters beyond ASCII that separate words, and their plain forms.
 _PLAIN = {"\u2019": "'", **dict.fromkeys("\u00a0\u2018\u201c\u201d\u201e\u00ab\u00bb\u00bf\u00a1\u2026\u2013\u2014", " ")}
+_PLAIN |= dict.fromkeys("\u3000\u3001\u300a\u300b\u300c\u300d\u300e\u300f\uff08\uff09\uff0c\uff1a\uff1b", " ") | {"\u3002": ".", "\uff01": "!", "\uff1f": "?"}
 
 
 def _lower(text: str) -> str:
@@ -62,6 +65,21 @@ def _lower(text: str) -> str:
     return "".join(c.lower() if len(c.lower().encode()) == len(c.encode()) else c for c in text)
 
 
+def _alone(data: np.ndarray) -> np.ndarray:
+    """Places of the bytes that begin or follow a character of a script without spaces.
+
+    Such are Thai and Lao, Burmese and Khmer, kana and Han: each character is a token.
+    """
+    two = np.append(data[1:], 0)
+    begins = (data >= 0xE3) & (data <= 0xE9)
+    begins |= (data == 0xE0) & (two >= 0xB8) & (two <= 0xBB)
+    begins |= (data == 0xE1) & (((two >= 0x80) & (two <= 0x82)) | (two == 0x9E) | (two == 0x9F))
+    begins |= (data == 0xF0) & (two >= 0xA0) & (two <= 0xAF)
+    at = np.flatnonzero(begins)
+    after = at + np.where(data[at] == 0xF0, 4, 3)
+    return np.concatenate([at, after[after < len(data)]])
+
+
 class Tokens(ByteHasher):
     """Cuts texts into tokens and tells their kinds, all tokens of a text at once."""
 
@@ -90,6 +108,8 @@ class Tokens(ByteHasher):
             at = at[(at > 0) & (at < len(data) - 1)]
             kind[at[(kind[at - 1] == k) & (_BYTE[data[at + 1]] == k)]] = k
         first = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == _MARK)])[: len(kind)]
+        if not text.isascii():
+            first[_alone(data)] = True
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(kind)) if len(starts) else starts
         real = kind[starts] != 0
@@ -112,12 +132,13 @@ class Template:
     """A text's tokens: lower-case values, and per form their kinds and canonical hashes.
 
     The first form makes names of capitalised words inside a sentence; the
-    second knows no names, so it also reads texts whose case was changed.
+    second knows no names, so it also reads texts whose case was changed; the
+    third is the values themselves.
     """
 
     values: np.ndarray
-    kinds: tuple[np.ndarray, np.ndarray]
-    hashes: tuple[np.ndarray, np.ndarray]
+    kinds: tuple[np.ndarray, np.ndarray, np.ndarray]
+    hashes: tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def canonical(text: str, tokens: Tokens) -> Template:
@@ -128,7 +149,7 @@ def canonical(text: str, tokens: Tokens) -> Template:
     real = kind != END
     plain, named, value = plain[real], named[real], value[real]
     hashes = tuple(np.where(k == WORD, value, _PLACEHOLDER[k]) for k in (named, plain))
-    return Template(value, (named, plain), hashes)
+    return Template(value, (named, plain, plain), (*hashes, value))
 
 
 class Index:
@@ -140,14 +161,19 @@ class Index:
         places: dict[tuple[int, int], dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for n, (_, t) in enumerate(self.items):
             length = min(WINDOW, len(t.values))
-            if length < LEAST_TOKENS:
+            if length < LEAST_LITERAL:
                 continue
-            for form in (0, 1):
+            literal = True
+            for form in (0, 1) if length >= LEAST_TOKENS else ():
                 words = np.concatenate([[0], np.cumsum(t.kinds[form] == WORD)])
                 enough = words[length:] - words[:-length] >= LITERAL * length
                 h = self.tokens.runs(t.hashes[form], length)
                 for q in np.flatnonzero(enough):
                     places[form, length][int(h[q])].append((n, int(q)))
+                literal &= not enough.any()
+            if literal:  # no template tells this item: only its own values do
+                for q, h in enumerate(self.tokens.runs(t.values, length).tolist()):
+                    places[2, length][h].append((n, q))
         self.windows = {}
         for k, v in places.items():
             known = np.sort(np.array(list(v), dtype=np.uint64))
@@ -194,12 +220,13 @@ def chains(hits: list[tuple[int, int, int, int]], reach: int) -> Iterator[list[t
     yield chain
 
 
-def alignments(chain: list[tuple[int, int, int, int]], item: Template) -> Iterator[dict[int, tuple[int, int]]]:
+def alignments(chain: list[tuple[int, int, int, int]], text: Template, item: Template) -> Iterator[dict[int, tuple[int, int]]]:
     """Ways to lay the item along the text: place in the item -> (place in the text, kind).
 
     Each diagonal (place in the text less place in the item) is one, by itself
     and with what other diagonals, nearest first, add without crossing it.  So
-    a literal copy pairs with itself, however often windows repeat.
+    a literal copy pairs with itself, however often windows repeat.  Diagonals
+    further apart than the item is long are not of one occurrence.
     """
     diagonals = defaultdict(list)
     for form, p, q, length in chain:
@@ -219,15 +246,23 @@ def alignments(chain: list[tuple[int, int, int, int]], item: Template) -> Iterat
                 if laid[k] == (k + d, WORD):
                     laid[k] = (k + d, int(item.kinds[form][k]))
 
+    reach, seen = len(item.values), set()
     for d in sorted(ordered, key=lambda d: -len(diagonals[d])):
+        # what lies within reach decides: where a text repeats itself, once is enough
+        at, to = max(0, d - reach), max(0, d + 2 * reach)
+        around = (min(0, d - reach), *(x[at:to].tobytes() for x in text.hashes))
+        if around in seen:
+            continue
+        seen.add(around)
         laid: dict[int, tuple[int, int]] = {}
         places: list[int] = []
         add(laid, places, d)
         yield dict(laid)
         low = bisect_left(ordered, d) - 1
         high, more = low + 2, False
-        while len(laid) < len(every) and (low >= 0 or high < len(ordered)):
-            if high == len(ordered) or (low >= 0 and d - ordered[low] <= ordered[high] - d):
+        least, most = bisect_left(ordered, d - reach), bisect_left(ordered, d + reach + 1)
+        while len(laid) < len(every) and (low >= least or high < most):
+            if high == most or (low >= least and d - ordered[low] <= ordered[high] - d):
                 low, other = low - 1, ordered[low]
             else:
                 high, other = high + 1, ordered[high]
@@ -240,7 +275,7 @@ def alignments(chain: list[tuple[int, int, int, int]], item: Template) -> Iterat
 def best_of(chain: list[tuple[int, int, int, int]], text: Template, item: Template) -> tuple[float, int, int]:
     """``judged`` of the alignment that covers most, with the fewest changed slots."""
     best = (0.0, 0, 0)
-    for laid in alignments(chain, item):
+    for laid in alignments(chain, text, item):
         now = judged(laid, text, item)
         best = max(best, now, key=lambda x: (x[0], -x[2]))
         if best[0] == 1 and not best[2]:
@@ -290,9 +325,13 @@ def find_leaks(
     its tokens and its slots are filled consistently.  ``changed`` counts slots
     with another value than the item's: 0 in a literal copy.
 
-    Whole texts are read once per block of BLOCK_BYTES of the benchmark, nothing
-    is shuffled, and only one block's index is sent to the tasks at a time.  Null
-    and empty texts hold nothing; null items and those below LEAST_TOKENS tokens
+    An item without such a window, for want of words or of tokens, is known by
+    its own values instead, so only as it stands.
+
+    Whole texts are read once per block of BLOCK_BYTES of the benchmark.  One
+    block needs no shuffle; several are searched one after the other, each with
+    its own index, and what they find is written and joined to the rows.  Null
+    and empty texts hold nothing; null items and those below LEAST_LITERAL tokens
     are never held; an empty benchmark gives empty arrays.  Rows that repeat give
     equal results.  A column named ``leaks`` is replaced, all others stay.
     """
@@ -303,10 +342,21 @@ def find_leaks(
     found = f"array<struct<item_id:{kind},coverage:double,slots:int,changed:int>>"
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = math.ceil(size / BLOCK_BYTES)
-    out = [F.array().cast(found)]
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast(Index(sorted((tuple(r) for r in part.collect()), key=str)))
 
-        out.append(_leak_column(shared, found)(body(text_col)))
-    return docs.withColumn("leaks", F.concat(*out))
+    def index(b: int):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        return spark.sparkContext.broadcast(Index(sorted((tuple(r) for r in part.collect()), key=str)))
+
+    if blocks == 0:
+        return docs.withColumn("leaks", F.array().cast(found))
+    if blocks == 1:
+        return docs.withColumn("leaks", _leak_column(index(0), found)(body(text_col)))
+    rows = cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    parts = []
+    for b in range(blocks):
+        shared = index(b)
+        parts.append(cut(rows.select("row", _leak_column(shared, found)(body(f"doc.{text_col}")).alias("leaks")).where(F.size("leaks") > 0), "leaks"))
+        shared.destroy()
+    held = reduce(DataFrame.union, parts).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    kept = [F.col("doc")[c].alias(c) for c in docs.columns if c.lower() != "leaks"]
+    return rows.join(held, "row", "left").select(*kept, F.coalesce("leaks", F.array().cast(found)).alias("leaks"))

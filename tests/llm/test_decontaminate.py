@@ -1,9 +1,12 @@
 """Decontamination: planted, re-parameterised and contradictory questions; the given benchmark."""
 
 import random
+import time
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from cladeloom.llm import decontaminate, queries
 
 QUESTION = (
@@ -86,3 +89,46 @@ def test_parallel_sentences(documents):
     assert all((n, False) in got[i] for i, n in ((0, 0), (1, 0), (2, 1), (3, 1), (4, 2)))
     refilled = item.replace("5 ", "50 ").replace("3 ", "30 ").replace("7 ", "70 ").replace("4 ", "40 ")
     assert (0, True) in found(documents, [refilled], [item])[0]
+
+
+def test_items_without_template_windows_are_found_as_they_stand():
+    chinese = "小明有十五个苹果，他给了小红三个，还剩多少个苹果？"
+    items = [(1, "Compute 12 + 34 - 56 * 78 / 90"), (2, "What is 15 * 17?"), (3, chinese), (4, "Why?")]
+    index = decontaminate.Index(items)
+    texts = {
+        "Please compute 12 + 34 - 56 * 78 / 90 now.": [(1, 1.0, 5, 0)],
+        "So, what is 15 * 17? It is 255.": [(2, 1.0, 2, 0)],
+        f"今天我们来看一道题。{chinese}答案是十二。": [(3, 1.0, 0, 0)],
+        "What is 15 and 18? Why?": [],
+        "Compute 12 + 34 - 56 * 78 / 91": [],
+        "今天我们去苹果店。": [],
+    }
+    assert {t: index.leaks(t) for t in texts} == texts
+
+
+def test_repetitive_texts_take_linear_time():
+    item = "Tom has 12 apples and gives 3 apples to Ann. How many apples does Tom have now in his big red box?"
+    index = decontaminate.Index([(4, item)])
+    again = item.replace("12", "40").replace("3", "9").replace("Tom", "Bob") + " "
+    numbered = "".join(f"Tom has {i} apples and gives {i * 7 % 31} apples to Ann. " for i in range(20000))
+    for text, held in ((again * 10000, True), (again[:45] * 20000, False), ("apples does Tom have now in his big red box and " * 20000, False), (numbered, False)):
+        begun = time.process_time()
+        assert bool(index.leaks(text)) == held
+        assert time.process_time() - begun < 15
+
+
+def test_blocks_of_the_benchmark_one_after_the_other(documents, spark, monkeypatch):
+    questions = [(i, f"A {a} walks {7 + i} miles to the old mill near {b} and then back home again before noon.") for i, (a, b) in enumerate([("baker", "Rome"), ("tall farmer", "Oslo"), ("young pilot", "Bonn")])]
+    bench = spark.createDataFrame(questions, "item_id long, text string")
+    rows = [(i, f"Listen: {questions[i % 3][1]} Thanks.", "en", "s") for i in range(6)] + [(7, None), (7, None), (8, ""), (9, questions[0][1] + " " + questions[2][1])]
+    docs = documents(rows).withColumn("leaks", F.lit("clash")).withColumn("row", F.lit(3))
+
+    def found():
+        got = decontaminate.find_leaks(docs, bench).collect()
+        return sorted(((r.doc_id, r.text, r.row, sorted(map(tuple, r.leaks))) for r in got), key=str)
+
+    whole = found()
+    # the items are one template filled three times, so each is found in every one
+    assert len(whole) == len(rows) and [[x[0] for x in r[3]] for r in whole if r[0] == 9] == [[0, 1, 2]]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 80)
+    assert found() == whole
