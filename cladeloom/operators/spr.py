@@ -11,6 +11,7 @@ of all trees climb together, one join and one aggregate per depth.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -249,8 +250,13 @@ def _total(deltas: list[DataFrame], by: list[str]) -> DataFrame:
     return total.groupBy(*by).agg(F.sum("delta").alias("score"))
 
 
-def _climb(index: TreeIndex, move: list[str], events: DataFrame) -> list[DataFrame]:
-    """Cost changes (move, delta) per depth as changed children climb to the root."""
+def _climb(
+    index: TreeIndex, move: list[str], events: DataFrame, trace: list[DataFrame] | None = None
+) -> list[DataFrame]:
+    """Cost changes (move, delta) per depth as changed children climb to the root.
+
+    Sets that changed, (move, node_id, word, set_now), are added to ``trace``.
+    """
     keys = index.keys
     start = cut(events, "events", ("depth",))
     place = index.tree.nodes.select(*keys, "node_id", "parent_id")
@@ -274,10 +280,12 @@ def _climb(index: TreeIndex, move: list[str], events: DataFrame) -> list[DataFra
             break
         rows = cut(
             rows.join(place, [*keys, "node_id"]).select(
-                *move, "word", "parent_id", "bits", "set_now", "delta"
+                *move, "word", "node_id", "parent_id", "bits", "set_now", "delta"
             ),
             "climb",
         )
+        if trace is not None:
+            trace.append(rows.where(F.col("set_now") != F.col("bits")).select(*move, "node_id", "word", "set_now"))
         deltas.append(rows.groupBy(*move).agg(F.sum("delta").alias("delta")))
         carried = rows.where(F.col("set_now") != F.col("bits")).select(
             *move, "word", F.col("parent_id").alias("node_id"), F.col("bits").alias("old"),
@@ -286,8 +294,16 @@ def _climb(index: TreeIndex, move: list[str], events: DataFrame) -> list[DataFra
     return deltas
 
 
-def removal_gain(index: TreeIndex, sources: DataFrame) -> DataFrame:
-    """(keys, src, score): cost change of cutting each source off and leaving it out."""
+@dataclass(frozen=True)
+class Removal:
+    """gain: (keys, src, score), the cost change of cutting each source off and leaving it out;
+    shifted: (keys, src, node_id, word, set_now), sets below the root that change by it."""
+
+    gain: DataFrame
+    shifted: DataFrame
+
+
+def remove_sources(index: TreeIndex, sources: DataFrame) -> Removal:
     keys = index.keys
     node = index.tree.nodes
     at = node.select(*keys, "node_id", F.col("parent_id").alias("p"))
@@ -300,23 +316,208 @@ def removal_gain(index: TreeIndex, sources: DataFrame) -> DataFrame:
             F.col("bits").alias("old"), F.lit(None).cast("bigint").alias("new"), F.lit(1).alias("gone"),
         )
     )
-    return _total(_climb(index, [*keys, "src"], leave), [*keys, "src"])
+    move, trace = [*keys, "src"], []
+    gain = cut(_total(_climb(index, move, leave, trace), move), "gain")
+    none = gain.where(F.lit(False)).select(
+        *move, F.col("src").alias("node_id"), F.lit(0).alias("word"), F.lit(0).cast("bigint").alias("set_now")
+    )
+    return Removal(gain, reduce(DataFrame.unionByName, trace, none))
+
+
+def _free(bits: Column, met: Column) -> Column:
+    """``bits`` without the sites at which some base of it is in ``met``."""
+    zero = F.lit(0).cast("bigint")
+    return sw.fitch_set(bits.bitwiseAND(met), bits).bitwiseXOR(sw.fitch_set(bits.bitwiseAND(met), zero))
+
+
+def _missed(free: Column, met: Column) -> Column:
+    return F.coalesce(F.sum(sw.empty_sites(free.bitwiseAND(met), free)), F.lit(0))
+
+
+def leaf_bases(index: TreeIndex) -> DataFrame:
+    """(keys, node_id, word, bits): bases of the leaves at or below a node, the reference base left out."""
+    keys, node = index.keys, index.tree.nodes
+    other = F.col("bits").bitwiseAND(_not(F.col("ref")))
+    tips = index.sets.join(node.where("n_children = 0").select(*keys, "node_id", "depth"), [*keys, "node_id"])
+    tips = cut(tips.select(*keys, "node_id", "word", "depth", other.alias("bits")).where("bits != 0"), "tips", ("depth",))
+    parts, below = [], None
+    for d in range(index.tree.max_depth, -1, -1):
+        rows = tips.where(F.col("depth") == d).drop("depth")
+        if below is not None:
+            up = node.where(F.col("depth") == d + 1).select(*keys, "node_id", "parent_id")
+            lifted = below.join(up, [*keys, "node_id"]).groupBy(*keys, F.col("parent_id").alias("node_id"), "word")
+            rows = rows.unionByName(lifted.agg(F.bit_or("bits").alias("bits")))
+        below = cut(rows, "bases")
+        parts.append(below)
+    return reduce(DataFrame.unionByName, parts)
+
 
+def shared_bases(index: TreeIndex) -> tuple[DataFrame, DataFrame]:
+    """(keys, node_id, word, beside) and (keys, node_id, word, above), the reference base left out.
+
+    ``beside``: bases that all siblings of a node have; ``above``: those beside
+    the node or one of its ancestors.
+    """
+    keys, node = index.keys, index.tree.nodes
+    up = node.where(F.col("parent_id").isNotNull()).select(*keys, "node_id", "parent_id", "depth")
+    kids = index.kids.where("n > 1").select(*keys, F.col("node_id").alias("parent_id"), "word", "all_", "miss1")
+    rest = F.col("all_").bitwiseOR(F.col("miss1").bitwiseAND(_not(F.col("bits"))))
+    beside = up.join(index.sets, [*keys, "node_id"]).join(kids, [*keys, "parent_id", "word"]).select(
+        *keys, "node_id", "word", "depth", rest.bitwiseAND(_not(F.col("ref"))).alias("beside")
+    )
+    beside = cut(beside.where("beside != 0"), "beside", ("depth",))
+    parts, top = [], None
+    for d in range(1, index.tree.max_depth + 1):
+        rows = beside.where(F.col("depth") == d).select(*keys, "node_id", "word", F.col("beside").alias("above"))
+        if top is not None:
+            down = up.where(F.col("depth") == d).select(*keys, "node_id", F.col("parent_id").alias("top"))
+            passed = top.withColumnRenamed("node_id", "top").join(down, [*keys, "top"]).select(*rows.columns)
+            rows = rows.unionByName(passed).groupBy(*keys, "node_id", "word").agg(F.bit_or("above").alias("above"))
+        top = cut(rows, "above")
+        parts.append(top)
+    none = beside.where(F.lit(False)).select(*keys, "node_id", "word", F.col("beside").alias("above"))
+    return beside.drop("depth"), reduce(DataFrame.unionByName, parts, none)
+
+
+class Outward:
+    """Regrafts that can score at most ``threshold``, listed outwards from every source.
+
+    Round t holds the targets t steps away: children beside the t-th ancestor's
+    branch that leads to the source, and children of the targets of round t - 1.
+    Rounds are kept, so a larger radius goes on where a smaller one ended, and
+    all radii share the replay of the removals.
+
+    A source with bases S at a site meets a target T there if S and T share a
+    base, or if S has the reference base, or a base that all siblings of the
+    target or of one of its ancestors have once the source is gone.  Where it
+    meets none of them the graft costs one: the set above the target grows by
+    bases of S only, no ancestor has a use for them, and no other site can make
+    up for it, since putting a subtree back never lowers a site's cost.  So
+    removal gain + missed sites bounds the score from below.  For all targets
+    inside a subtree, T and the siblings in there are within the bases of its
+    leaves; a subtree whose bound exceeds the threshold is not entered.
+
+    Rows carry the sites (by word) that are still to be met: those where the
+    source differs from the reference, so few.
+    """
+
+    def __init__(self, index: TreeIndex, threshold: int = -1, sources: DataFrame | None = None):
+        self.index, self.threshold = index, threshold
+        keys, node = index.keys, index.tree.nodes
+        self.link = node.where(F.col("parent_id").isNotNull()).select(*keys, "node_id", "parent_id")
+        removal = remove_sources(index, searchable(index) if sources is None else sources)
+        self.shifted = removal.shifted.withColumnRenamed("node_id", "via")
+        slack = (F.lit(threshold) - F.col("score")).alias("slack")
+        able = cut(removal.gain.where(F.col("score") <= threshold).select(*keys, "src", slack), "able")
+        leaves = leaf_bases(index)
+        kept = child_profiles(index.tree, leaves).select(
+            *keys, F.col("node_id").alias("lca"), "word", F.col("any_").alias("any_leaf"), F.col("one").alias("one_leaf")
+        )
+        self.families = cut(kept, "families")
+        beside, above = shared_bases(index)
+        self.above = above.withColumnRenamed("node_id", "lca")
+        leaves = leaves.withColumnRenamed("bits", "leaves")
+        self.places = cut(
+            index.sets.join(leaves, [*keys, "node_id", "word"], "left").join(beside, [*keys, "node_id", "word"], "left")
+            .na.fill(0, ["leaves", "beside"]), "places"
+        )
+        free = _free(F.col("bits"), F.col("ref")).alias("free")
+        need = index.sets.withColumnRenamed("node_id", "src").select(*keys, "src", "word", free).where("free != 0")
+        self.need = cut(need.join(able, [*keys, "src"], "left_semi"), "need")
+        self.tops = able.select("*", F.col("src").alias("lca"))
+        self.rounds: list[DataFrame] = []
+
+    def _beside_top(self) -> DataFrame:
+        """Targets below the next ancestor, beside the branch to the source."""
+        keys, index, first = self.index.keys, self.index, not self.rounds
+        up = self.link.select(*keys, F.col("node_id").alias("via"), F.col("parent_id").alias("lca"))
+        tops = self.tops.select(*keys, "src", "slack", F.col("lca").alias("via")).join(up, [*keys, "via"])
+        self.tops = cut(tops, "tops")
+        via = self.places.select(
+            *keys, F.col("node_id").alias("via"), "word", F.col("bits").alias("via_bits"),
+            F.col("leaves").alias("via_leaves"), "ref",
+        )
+        zero = F.lit(0).cast("bigint")
+        rows = (
+            self.tops.join(self.need, [*keys, "src"], "left").join(self.above, [*keys, "lca", "word"], "left")
+            .join(via, [*keys, "via", "word"], "left").join(self.shifted, [*keys, "src", "via", "word"], "left")
+            .join(self.families, [*keys, "lca", "word"], "left")
+        )
+        # What the branch that held the source offers now; in the first round it is gone.
+        now = zero if first else F.coalesce("set_now", "via_bits")
+        others = F.coalesce(F.col("any_leaf").bitwiseAND(_not(F.col("one_leaf").bitwiseAND(F.col("via_leaves")))), zero)
+        rows = rows.select(
+            *keys, "src", "slack", "lca", "via", "word", "via_bits", now.alias("now"), others.bitwiseOR(now).alias("met"),
+            _free(F.col("free"), F.coalesce("above", zero)).alias("free"),
+        )
+        some = F.when(F.col("free") != 0, F.struct("word", "free", "via_bits", "now"))
+        rows = rows.groupBy(*keys, "src", "slack", "lca", "via").agg(
+            _missed(F.col("free"), F.col("met")).alias("missed"), F.collect_list(some).alias("words")
+        ).where("missed <= slack")
+        kids = index.kids.select(*keys, F.col("node_id").alias("lca"), "word", "all_", "miss1", "miss2", "n")
+        rows = (
+            rows.join(self.link.withColumnRenamed("parent_id", "lca"), [*keys, "lca"]).where("node_id != via")
+            .select(*keys, "src", "slack", "lca", "node_id", F.inline_outer("words"))
+            .join(kids, [*keys, "lca", "word"], "left").join(self.places, [*keys, "node_id", "word"], "left")
+        )
+        both = F.col("via_bits").bitwiseAND(F.col("bits"))
+        either = F.col("via_bits").bitwiseOR(F.col("bits"))
+        rest = (
+            F.col("all_").bitwiseOR(F.col("miss1").bitwiseAND(_not(both))).bitwiseOR(F.col("miss2").bitwiseAND(_not(either)))
+        )
+        common = F.when(F.col("n") > 2, rest).otherwise(zero) if first else rest.bitwiseAND(F.col("now"))
+        return rows.withColumn("met", common)
+
+    def _next(self) -> DataFrame:
+        keys = self.index.keys
+        rows = self._beside_top()
+        pick = [*keys, "src", "slack", "lca", "node_id", "word", "free", "met", "bits", "leaves"]
+        rows = rows.select(*pick)
+        if self.rounds:
+            last = self.rounds[-1].withColumnRenamed("node_id", "parent_id")
+            deeper = (
+                last.join(self.link, [*keys, "parent_id"])
+                .select(*keys, "src", "slack", "lca", "node_id", F.inline_outer("words"))
+                .join(self.places, [*keys, "node_id", "word"], "left").withColumnRenamed("beside", "met")
+            )
+            rows = rows.unionByName(deeper.select(*pick))
+        rows = rows.withColumn("free", _free(F.col("free"), F.col("met")))
+        some = F.when(F.col("free") != 0, F.struct("word", "free"))
+        return cut(
+            rows.groupBy(*keys, "src", "slack", "lca", "node_id").agg(
+                _missed(F.col("free"), F.col("bits")).alias("missed"),
+                _missed(F.col("free"), F.col("leaves")).alias("missed_below"),
+                F.collect_list(some).alias("words"),
+            ).where("missed_below <= slack"), "outward",
+        )
 
-def find_moves(index: TreeIndex, radius: int, threshold: int = -1) -> DataFrame:
+    def moves(self, radius: int) -> DataFrame:
+        """(keys, src, dst, lca) of the regrafts within ``radius`` that the bound lets pass.
+
+        Regrafts onto a sibling, which only narrow the set of their parent and so
+        never lower the cost, are left out for a threshold below zero.
+        """
+        while len(self.rounds) < radius:
+            idle = self.rounds and self.tops.isEmpty() and self.rounds[-1].isEmpty()
+            if idle:
+                break
+            self.rounds.append(self._next())
+        rounds = self.rounds[:radius]
+        if self.threshold < 0 and len(rounds) > 1:
+            rounds = rounds[1:]
+        elif self.threshold < 0:
+            rounds = [rounds[0].where(F.lit(False))]
+        found = reduce(DataFrame.unionByName, rounds)
+        return found.where("missed <= slack").select(*self.index.keys, "src", F.col("node_id").alias("dst"), "lca")
+
+
+def find_moves(index: TreeIndex, radius: int, threshold: int = -1, outward: Outward | None = None) -> DataFrame:
     """All moves within ``radius`` whose score is at most ``threshold``.
 
-    Two exact cuts keep hot families small.  Putting a subtree back never lowers
-    the cost, so a source whose removal alone does not reach the threshold has
-    no qualifying move.  A regraft onto a sibling only narrows the set of their
-    parent, which never lowers the cost, so below zero such pairs are not formed.
+    ``outward`` is the listing of a smaller radius of the same index and threshold, to go on with.
     """
-    sources = searchable(index)
-    if threshold < 0:
-        gain = removal_gain(index, sources).where(F.col("score") <= threshold)
-        sources = cut(gain.select(*index.keys, F.col("src").alias("node_id")), "sources")
-    moves = candidate_moves(index, radius, sources, siblings=threshold >= 0)
-    return score_moves(index, moves).where(F.col("score") <= threshold)
+    outward = outward or Outward(index, threshold)
+    return score_moves(index, outward.moves(radius)).where(F.col("score") <= threshold)
 
 
 def affected_nodes(tree: fitch.Tree, moves: DataFrame, radius: int) -> DataFrame:

@@ -290,9 +290,13 @@ def search_round(dag: HistoryDag, options: SearchOptions, seed: int) -> HistoryD
     threshold = 0 if options.node_coeff else -1
     keep = options.max_moves * (3 if options.node_coeff else 1)
     region = subtree_of(trees, *options.subtree_leaves, seed) if options.subtree_leaves else None
-    radius = 2
+    radius, outward = 2, None
     while radius <= limit:
-        moves = (options.producer or spr.find_moves)(index, radius, threshold)
+        if options.producer:
+            moves = options.producer(index, radius, threshold)
+        else:
+            outward = outward or spr.Outward(index, threshold)
+            moves = spr.find_moves(index, radius, threshold, outward)
         if region is not None:
             moves = inside(moves, index, region)
         moves = cut(_named(_best_moves(moves, keep)), "moves")
@@ -304,7 +308,7 @@ def search_round(dag: HistoryDag, options: SearchOptions, seed: int) -> HistoryD
         dag = merge_all(parts)
         radius *= 2
         if options.sample_per_radius and radius <= limit:
-            trees, index = fresh(seed + radius)
+            (trees, index), outward = fresh(seed + radius), None
     return dag
 
 

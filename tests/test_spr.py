@@ -113,6 +113,46 @@ def test_pruned_search_finds_every_improving_move(forest):
     assert want and got == want
 
 
+@pytest.mark.parametrize("threshold", [-2, -1, 0, 1])
+def test_outward_listing_loses_no_move(forest, threshold):
+    cases, _, index = forest
+    outward = spr.Outward(index, threshold)
+    for radius in (2, 4, 8):
+        found = spr.find_moves(index, radius, threshold, outward).collect()
+        got = {(r["dag_id"], r["src"], r["dst"]): r["score"] for r in found}
+        every = {(k, s, d): v for k, gr in cases.items() for (s, d), v in brute_moves(gr, radius).items()}
+        assert len(found) == len(got) and got == {m: v for m, v in every.items() if v <= threshold}
+        if threshold < 0:
+            assert outward.moves(radius).count() < len(every) / 2
+
+
+def test_outward_bound_on_wide_families(spark):
+    rng = random.Random(11)
+    cases = {}
+    for i in range(4):
+        ref = "".join(rng.choice("ACGT") for _ in range(20))
+        pool = ["".join(b if rng.random() < 0.8 else rng.choice("ACGT") for b in ref) for _ in range(5)]
+        seqs, arcs, inner = {1: ref}, [(0, 1, 0, 0.0)], [1]
+        for n in range(2, 32):
+            p = rng.choice(inner[:6])
+            arcs.append((p, n, sum(a[0] == p for a in arcs), 0.0))
+            leafy = n > 9
+            seqs[n] = rng.choice(pool) if leafy else ref
+            inner += [] if leafy else [n]
+        for p in inner:
+            while sum(a[0] == p for a in arcs) < 2:
+                n = len(seqs) + 1
+                arcs.append((p, n, sum(a[0] == p for a in arcs), 0.0))
+                seqs[n] = rng.choice(pool)
+        cases[f"w{i}"] = (ref, seqs, arcs, {n: f"s{n}" for n in seqs if n not in inner})
+    index = spr.index_dag(g.build(spark, cases))
+    for threshold in (-1, 0):
+        found = spr.find_moves(index, 6, threshold).collect()
+        got = {(r["dag_id"], r["src"], r["dst"]): r["score"] for r in found}
+        every = {(k, s, d): v for k, gr in cases.items() for (s, d), v in brute_moves(gr, 6).items()}
+        assert got and got == {m: v for m, v in every.items() if v <= threshold}
+
+
 def test_applied_moves_cost_what_was_predicted(forest):
     cases, dag, index = forest
     found = spr.find_moves(index, 4).withColumn(
