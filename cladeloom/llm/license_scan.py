@@ -54,12 +54,27 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with"
         " this file, You can obtain one at http://mozilla.org/MPL/2.0/."
     )),
-    ("BSD-3-Clause", (
+    ("BSD-2-Clause", (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
         " conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the"
         " following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the"
         " following disclaimer in the documentation and/or other materials provided with the distribution."
     )),
+    ("BSD-3-Clause", (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived"
+        " from this software without specific prior written permission."
+    )),
+    ("AGPL-3.0", (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"
+        " as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    )),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License v3.0"),
+    ("LGPL-3.0", (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as"
+        " published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."
+    )),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal"),
     ("ISC", (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided"
         " that the above copyright notice and this permission notice appear in all copies."
@@ -129,10 +144,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The whole text is cut into tokens (letters and digits, lower case).  For
     each size of template, windows of three steps lie one step apart, so one of
     them contains each occurrence; windows without any of the templates' key
-    words cannot contain a template and are left out.  Each window's MinHash
-    bands are joined to those of the templates, and a candidate stays if the
-    window holds CONTAINED of the template's shingles exactly.  The templates
-    are a fixed small table; windows are not shuffled, results are by id.
+    words cannot contain a template and are left out.  Templates are looked up
+    by (step, band): a window meets those that share a band with it, however
+    many there are, and a template stays if the window holds CONTAINED of its
+    shingles exactly.  Only what is found is shuffled, by id.
 
     Null, empty and short texts contain nothing; rows that share an id, a null
     one too, count as one document.  Other columns are ignored.
@@ -140,10 +155,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     rows = [(n, name, step(t), shingles(t)) for n, (name, t) in enumerate(templates)]
     known = spark.createDataFrame(rows, "template int, license string, step int, wanted array<string>")
-    by_step = (
-        known.withColumn("bands", _bands(F.col("wanted")))
-        .groupBy("step").agg(F.collect_list(F.struct("license", "wanted", "bands")).alias("templates"))
-    )
+    by_band = known.select("step", "license", "wanted", F.explode(_bands(F.col("wanted"))).alias("band"))
     keys = key_words(templates)
     low = F.lower(body(text_col))
     cut_up = (
@@ -172,16 +184,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("doc_id", "w", F.explode(F.concat(*[windows(F.col("places"), s) for s in sizes])).alias("x"))
         .select("doc_id", "x.step", "x.at", F.array_distinct(_shingled(F.slice("w", F.col("x.at") + 1, F.col("x.step") * 3 + SHINGLE - 1))).alias("held"))
     )
-    contained = lambda t: F.size(F.array_intersect("held", t["wanted"])) / F.size(t["wanted"])
-    retrieved = F.filter("templates", lambda t: F.arrays_overlap("bands", t["bands"]))
-    verified = F.filter(
-        F.transform(retrieved, lambda t: F.struct(t["license"].alias("license"), contained(t).alias("containment"))),
-        lambda x: x["containment"] >= CONTAINED,
-    )
+    containment = (F.size(F.array_intersect("held", "wanted")) / F.size("wanted")).alias("containment")
     return (
-        found.withColumn("bands", _bands(F.col("held")))
-        # a few rows of fixed templates, whatever the documents
-        .join(F.broadcast(by_step), "step")
-        .select("doc_id", F.inline(verified))
+        found.select("doc_id", "step", "held", F.explode(F.array_distinct(_bands(F.col("held")))).alias("band"))
+        # BANDS rows for each template, whatever the documents
+        .join(F.broadcast(by_band), ["step", "band"])
+        .select("doc_id", "license", containment).where(F.col("containment") >= CONTAINED)
         .groupBy("doc_id", "license").agg(F.max("containment").alias("containment"))
     )

@@ -72,15 +72,15 @@ _TEMPLATES = ",\n".join(
     f"({n}, '{name}', {license_scan.step(t)}, [{', '.join(repr(s) for s in license_scan.shingles(t))}])"
     for n, (name, t) in enumerate(license_scan.TEMPLATES)
 )
-#: Every window near a key word is compared with every template of its step.
+#: Every shingle that stands in a template, counted in each of the three windows that hold its place.
 ORACLES["op6_license_scan"] = rf"""
 with t(template, license, step, wanted) as (values {_TEMPLATES}),
-d as (select doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') w from documents
-      where regexp_matches(lower(text), '{"|".join(license_scan.key_words())}')),
-s as (select doc_id, list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' ')) sh from d where len(w) >= 5),
-x as (select doc_id, step, sh, unnest(range(0, len(sh), step)) k from s, (select distinct step from t)),
-y as (select doc_id, step, list_distinct(sh[k + 1:k + 3 * step]) held from x),
-z as (select doc_id, license, len(list_intersect(held, wanted)) / len(wanted) containment from y join t using (step))
+ts as (select template, license, step, len(wanted) size, unnest(wanted) sh from t),
+d as (select doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') w from documents),
+p as (select doc_id, w, unnest(range(len(w) - 4)) i from d where len(w) >= 5),
+s as (select doc_id, i, array_to_string(w[i + 1:i + 5], ' ') sh from p),
+x as (select doc_id, template, license, size, sh, unnest(range(greatest(0, i // step - 2), i // step + 1)) k from s join ts using (sh)),
+z as (select doc_id, template, license, k, count(distinct sh) / any_value(size) containment from x group by all)
 select doc_id, license, max(containment) containment from z where containment >= {license_scan.CONTAINED} group by all
 """
 
