@@ -334,49 +334,57 @@ def _missed(free: Column, met: Column) -> Column:
     return F.coalesce(F.sum(sw.empty_sites(free.bitwiseAND(met), free)), F.lit(0))
 
 
-def leaf_bases(index: TreeIndex) -> DataFrame:
-    """(keys, node_id, word, bits): bases of the leaves at or below a node, the reference base left out."""
+def _jumps(index: TreeIndex) -> list[DataFrame]:
+    """(keys, node_id, top) per power of two below the depth: the ancestor so many levels up."""
     keys, node = index.keys, index.tree.nodes
-    other = F.col("bits").bitwiseAND(_not(F.col("ref")))
-    tips = index.sets.join(node.where("n_children = 0").select(*keys, "node_id", "depth"), [*keys, "node_id"])
-    tips = cut(tips.select(*keys, "node_id", "word", "depth", other.alias("bits")).where("bits != 0"), "tips", ("depth",))
-    parts, below = [], None
-    for d in range(index.tree.max_depth, -1, -1):
-        rows = tips.where(F.col("depth") == d).drop("depth")
-        if below is not None:
-            up = node.where(F.col("depth") == d + 1).select(*keys, "node_id", "parent_id")
-            lifted = below.join(up, [*keys, "node_id"]).groupBy(*keys, F.col("parent_id").alias("node_id"), "word")
-            rows = rows.unionByName(lifted.agg(F.bit_or("bits").alias("bits")))
-        below = cut(rows, "bases")
-        parts.append(below)
-    return reduce(DataFrame.unionByName, parts)
-
-
-def shared_bases(index: TreeIndex) -> tuple[DataFrame, DataFrame]:
+    jump = node.where(F.col("parent_id").isNotNull()).select(*keys, "node_id", F.col("parent_id").alias("top"))
+    out, width = [], 1
+    while width <= index.tree.max_depth:
+        out.append(jump)
+        further = jump.select(*keys, F.col("node_id").alias("top"), F.col("top").alias("next"))
+        jump = jump.join(further, [*keys, "top"]).select(*keys, "node_id", F.col("next").alias("top"))
+        width *= 2
+        if 2 <= width <= index.tree.max_depth:
+            jump = cut(jump, "jump")
+    return out
+
+
+def _gather(rows: DataFrame, jumps: list[DataFrame], keys: list[str], value: str, upward: bool) -> DataFrame:
+    """``value`` of a node and all below it (upward) or all above it, by bit_or over doubling distances."""
+    at, other = ("node_id", "top") if upward else ("top", "node_id")
+    for jump in jumps:
+        far = rows.withColumnRenamed("node_id", at).join(jump, [*keys, at]).select(
+            *keys, F.col(other).alias("node_id"), "word", value
+        )
+        both = rows.unionByName(far).groupBy(*keys, "node_id", "word")
+        rows = cut(both.agg(F.bit_or(value).alias(value)), value)
+    return rows
+
+
+def leaf_bases(index: TreeIndex, jumps: list[DataFrame]) -> DataFrame:
+    """(keys, node_id, word, leaves): bases of the leaves at or below a node, the reference base left out."""
+    keys = index.keys
+    tips = index.tree.nodes.where("n_children = 0").select(*keys, "node_id")
+    other = F.col("bits").bitwiseAND(_not(F.col("ref"))).alias("leaves")
+    own = index.sets.join(tips, [*keys, "node_id"]).select(*keys, "node_id", "word", other).where("leaves != 0")
+    return _gather(own, jumps, keys, "leaves", True)
+
+
+def shared_bases(index: TreeIndex, jumps: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(keys, node_id, word, beside) and (keys, node_id, word, above), the reference base left out.
 
     ``beside``: bases that all siblings of a node have; ``above``: those beside
     the node or one of its ancestors.
     """
-    keys, node = index.keys, index.tree.nodes
-    up = node.where(F.col("parent_id").isNotNull()).select(*keys, "node_id", "parent_id", "depth")
+    keys = index.keys
+    up = index.tree.nodes.where(F.col("parent_id").isNotNull()).select(*keys, "node_id", "parent_id")
     kids = index.kids.where("n > 1").select(*keys, F.col("node_id").alias("parent_id"), "word", "all_", "miss1")
     rest = F.col("all_").bitwiseOR(F.col("miss1").bitwiseAND(_not(F.col("bits"))))
     beside = up.join(index.sets, [*keys, "node_id"]).join(kids, [*keys, "parent_id", "word"]).select(
-        *keys, "node_id", "word", "depth", rest.bitwiseAND(_not(F.col("ref"))).alias("beside")
-    )
-    beside = cut(beside.where("beside != 0"), "beside", ("depth",))
-    parts, top = [], None
-    for d in range(1, index.tree.max_depth + 1):
-        rows = beside.where(F.col("depth") == d).select(*keys, "node_id", "word", F.col("beside").alias("above"))
-        if top is not None:
-            down = up.where(F.col("depth") == d).select(*keys, "node_id", F.col("parent_id").alias("top"))
-            passed = top.withColumnRenamed("node_id", "top").join(down, [*keys, "top"]).select(*rows.columns)
-            rows = rows.unionByName(passed).groupBy(*keys, "node_id", "word").agg(F.bit_or("above").alias("above"))
-        top = cut(rows, "above")
-        parts.append(top)
-    none = beside.where(F.lit(False)).select(*keys, "node_id", "word", F.col("beside").alias("above"))
-    return beside.drop("depth"), reduce(DataFrame.unionByName, parts, none)
+        *keys, "node_id", "word", rest.bitwiseAND(_not(F.col("ref"))).alias("beside")
+    )
+    beside = cut(beside.where("beside != 0"), "beside")
+    return beside, _gather(beside.withColumnRenamed("beside", "above"), jumps, keys, "above", False)
 
 
 class Outward:
@@ -409,14 +417,14 @@ class Outward:
         self.shifted = removal.shifted.withColumnRenamed("node_id", "via")
         slack = (F.lit(threshold) - F.col("score")).alias("slack")
         able = cut(removal.gain.where(F.col("score") <= threshold).select(*keys, "src", slack), "able")
-        leaves = leaf_bases(index)
-        kept = child_profiles(index.tree, leaves).select(
+        jumps = _jumps(index)
+        leaves = leaf_bases(index, jumps)
+        kept = child_profiles(index.tree, leaves.withColumnRenamed("leaves", "bits")).select(
             *keys, F.col("node_id").alias("lca"), "word", F.col("any_").alias("any_leaf"), F.col("one").alias("one_leaf")
         )
         self.families = cut(kept, "families")
-        beside, above = shared_bases(index)
+        beside, above = shared_bases(index, jumps)
         self.above = above.withColumnRenamed("node_id", "lca")
-        leaves = leaves.withColumnRenamed("bits", "leaves")
         self.places = cut(
             index.sets.join(leaves, [*keys, "node_id", "word"], "left").join(beside, [*keys, "node_id", "word"], "left")
             .na.fill(0, ["leaves", "beside"]), "places"
@@ -470,9 +478,9 @@ class Outward:
 
     def _next(self) -> DataFrame:
         keys = self.index.keys
-        rows = self._beside_top()
         pick = [*keys, "src", "slack", "lca", "node_id", "word", "free", "met", "bits", "leaves"]
-        rows = rows.select(*pick)
+        # No source has more ancestors than the tree is deep.
+        parts = [self._beside_top().select(*pick)] if len(self.rounds) < max(self.index.tree.max_depth, 1) else []
         if self.rounds:
             last = self.rounds[-1].withColumnRenamed("node_id", "parent_id")
             deeper = (
@@ -480,8 +488,8 @@ class Outward:
                 .select(*keys, "src", "slack", "lca", "node_id", F.inline_outer("words"))
                 .join(self.places, [*keys, "node_id", "word"], "left").withColumnRenamed("beside", "met")
             )
-            rows = rows.unionByName(deeper.select(*pick))
-        rows = rows.withColumn("free", _free(F.col("free"), F.col("met")))
+            parts.append(deeper.select(*pick))
+        rows = reduce(DataFrame.unionByName, parts).withColumn("free", _free(F.col("free"), F.col("met")))
         some = F.when(F.col("free") != 0, F.struct("word", "free"))
         return cut(
             rows.groupBy(*keys, "src", "slack", "lca", "node_id").agg(
@@ -497,10 +505,9 @@ class Outward:
         Regrafts onto a sibling, which only narrow the set of their parent and so
         never lower the cost, are left out for a threshold below zero.
         """
+        # No two nodes are further apart than twice the depth.
+        radius = min(radius, max(2 * self.index.tree.max_depth - 1, 1))
         while len(self.rounds) < radius:
-            idle = self.rounds and self.tops.isEmpty() and self.rounds[-1].isEmpty()
-            if idle:
-                break
             self.rounds.append(self._next())
         rounds = self.rounds[:radius]
         if self.threshold < 0 and len(rounds) > 1:
