@@ -35,6 +35,26 @@ def _orders(spark, sf):
     )
 
 
+def _order_edges(spark, sf):
+    """Orders with their own sequence ``q`` and their customer's, ``parent_q``.
+
+    Sequences meet, and genomes are made behind the join: an array of sites is
+    many times wider than Spark's estimate of it, by which it would collect and
+    broadcast every customer's.  For the same reason the keys are merged.
+    """
+    parent = _customers(spark, sf).select("k", F.col("q").alias("parent_q"))
+    return _orders(spark, sf).join(parent.hint("merge"), "k")
+
+
+def _edge_genomes(spark, sf):
+    """Order edges with the genomes at both ends, ``p`` and ``c``."""
+    ref = tables.reference()
+    return _order_edges(spark, sf).select(
+        "k", "ok", "q", bases.genome_from_sequence(F.col("parent_q"), ref).alias("p"),
+        bases.genome_from_sequence(F.col("q"), ref).alias("c"),
+    )
+
+
 @query("genome_sites", f"with {CUST} select k, p pos, b base from df where b <> r")
 def genome_sites(spark, sf):
     cg = bases.genome_from_sequence(F.col("q"), tables.reference())
@@ -49,14 +69,8 @@ select os.k, count(*) muts, count(distinct os.q) children from os join cs on cs.
 )
 def edge_mutation_counts(spark, sf):
     """Mutations on the customer -> order edges, from the genomes at both ends."""
-    ref = tables.reference()
-    parent = _customers(spark, sf).select(
-        "k", bases.genome_from_sequence(F.col("q"), ref).alias("parent_cg")
-    )
-    child = _orders(spark, sf)
-    edges = child.join(parent, "k").select(
-        "k", "q",
-        bases.edge_mutations("parent_cg", bases.genome_from_sequence(F.col("q"), ref), ref).alias("m"),
+    edges = _edge_genomes(spark, sf).select(
+        "k", "q", bases.edge_mutations("p", "c", tables.reference()).alias("m")
     )
     return edges.groupBy("k").agg(
         F.sum(F.size("m")).cast("bigint").alias("muts"), F.count_distinct("q").alias("children")
@@ -70,10 +84,8 @@ os as (select o_custkey k, {SEQ.format("'o' || cast(o_orderkey as varchar)")} q
 select substr(cs.q, p, 1) par, substr(os.q, p, 1) mut, count(*) n from os join cs on cs.k = os.k cross join sites where substr(os.q, p, 1) <> substr(cs.q, p, 1) group by 1, 2""",
 )
 def mutation_spectrum(spark, sf):
-    ref = tables.reference()
-    parent = _customers(spark, sf).select("k", bases.genome_from_sequence(F.col("q"), ref).alias("p"))
-    child = _orders(spark, sf).select("k", bases.genome_from_sequence(F.col("q"), ref).alias("c"))
-    muts = child.join(parent, "k").select(F.inline(bases.edge_mutations("p", "c", ref)))
+    """How often each base turns into each other one on the customer -> order edges."""
+    muts = _edge_genomes(spark, sf).select(F.inline(bases.edge_mutations("p", "c", tables.reference())))
     return muts.groupBy("par", "mut").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -92,9 +104,7 @@ select ok, count(*) n, sum(p) pos_sum from os cross join sites where substr(q, p
 def applied_mutations(spark, sf):
     """Order genome rebuilt by applying its edge's mutations to the customer genome."""
     ref = tables.reference()
-    parent = _customers(spark, sf).select("k", bases.genome_from_sequence(F.col("q"), ref).alias("p"))
-    child = _orders(spark, sf).select("k", "ok", bases.genome_from_sequence(F.col("q"), ref).alias("c"))
-    built = child.join(parent, "k").select(
+    built = _edge_genomes(spark, sf).select(
         "ok", bases.apply_mutations("p", bases.edge_mutations("p", "c", ref), ref).alias("cg")
     )
     total = F.aggregate("cg.pos", F.lit(0).cast("bigint"), lambda a, p: a + p)
@@ -431,9 +441,7 @@ select ok, round(case when n = 0 then 0 else n * ln(n / tot) - n + logs end, 4)
 )
 def edge_log_likelihood(spark, sf):
     """Poisson context log-likelihood of every customer -> order edge."""
-    parent = _customers(spark, sf).select("k", F.col("q").alias("parent_seq"))
-    child = _orders(spark, sf).withColumnRenamed("q", "child_seq")
-    pairs = child.join(parent, "k")
+    pairs = _order_edges(spark, sf).withColumnsRenamed({"q": "child_seq", "parent_q": "parent_seq"})
     scored = likelihood.kmer_table_loglik(pairs, closed_form_table(spark), 3, tables.SEQ_LEN)
     return pairs.join(scored, ["parent_seq", "child_seq"], "left").select(
         "ok", F.round(F.coalesce("loglik", F.lit(0.0)), 4).alias("loglik")
