@@ -518,11 +518,137 @@ class Outward:
         return found.where("missed <= slack").select(*self.index.keys, "src", F.col("node_id").alias("dst"), "lca")
 
 
+#: Words up to which a node's sets stand in one row, and radius up to which the walk over bifurcating
+#: trees, which leaves out sources but no targets, is preferred to listing targets under a bound.
+WALK_WORDS, WALK_RADIUS = 8, 8
+
+
+def _walk_words(index: TreeIndex) -> int:
+    """Number of words if ``walk_moves`` applies to the trees, else 0."""
+    if index.tree.nodes.where("n_children > 2").isEmpty():
+        last = index.sets.agg(F.max("word")).first()[0]
+        return last + 1 if last is not None and last < WALK_WORDS else 0
+    return 0
+
+
+def _fitch(a: Column, b: Column) -> Column:
+    return sw.fitch_set(a.bitwiseAND(b), a.bitwiseOR(b))
+
+
+def walk_moves(index: TreeIndex, radius: int, threshold: int, words: int) -> DataFrame:
+    """Moves of bifurcating trees within ``radius`` that score at most ``threshold``, by a walk outwards.
+
+    The cost of such a tree is the same from wherever it is rooted, the
+    reference being a leaf above the root.  So a subtree with bases S on an edge
+    costs one per site at which S has no base of the edge's set, the Fitch set
+    of what its two ends offer.  An end that leads away from the source offers
+    what it does in the whole tree; the other follows step by step from the
+    source's place.  Where the source stands itself it costs what its removal
+    gains, so a score is the difference of two such costs and nothing has to
+    be replayed up to the root.
+
+    Sets stand in columns, one for each of the ``words``.
+    """
+    keys, w = index.keys, range(words)
+    zero = F.lit(0).cast("bigint")
+    node = index.tree.nodes.select(*keys, "node_id", "parent_id", "depth", "n_children")
+
+    def cols(name: str) -> list[str]:
+        return [f"{name}{i}" for i in w]
+
+    def named(name: str, values) -> list[Column]:
+        return [v.alias(c) for c, v in zip(cols(name), values)]
+
+    def fitch_of(a: str, b: str) -> list[Column]:
+        """Fitch sets of two ends; one that is not there (null) leaves the other's."""
+        return [F.when(F.col(y).isNull(), F.col(x)).when(F.col(x).isNull(), F.col(y)).otherwise(_fitch(F.col(x), F.col(y))) for x, y in zip(cols(a), cols(b))]
+
+    def cost(source: str, edge: list[Column]) -> Column:
+        """Sites at which the source has no base of the edge's set."""
+        return reduce(lambda a, b: a + b, [sw.empty_sites(F.col(s).bitwiseAND(e), e) for s, e in zip(cols(source), edge)]).cast("int")
+
+    def per_word(value: str, name: str) -> list[Column]:
+        return [F.coalesce(F.max(F.when(F.col("word") == i, F.col(value))), zero).alias(c) for i, c in zip(w, cols(name))]
+
+    own = cut(index.sets.groupBy(*keys, "node_id").agg(*per_word("bits", "d"), *per_word("ref", "r")), "own")
+    body = node.join(own.select(*keys, "node_id", *cols("d")), [*keys, "node_id"])
+    # node_id with its sets, its parent and its sibling's sets (null without one)
+    pair = body.where(F.col("parent_id").isNotNull()).groupBy(*keys, "parent_id").agg(
+        F.collect_list(F.struct("node_id", "depth", "n_children", *cols("d"))).alias("pair")
+    )
+    one = pair.select(*keys, "parent_id", F.posexplode("pair").alias("at", "me"), "pair").select(
+        *keys, "parent_id", "me.*", F.try_element_at("pair", F.lit(2) - F.col("at")).alias("beside")
+    )
+    kin = cut(one.select(
+        *keys, "parent_id", "node_id", "depth", "n_children", *cols("d"), F.col("beside.node_id").alias("sibling"),
+        *[F.col(f"beside.d{i}").alias(f"b{i}") for i in w],
+    ), "kin", ("depth",))
+    # u: what the parent offers a node, the whole tree without the node's own part
+    top = node.where(F.col("parent_id").isNull()).join(own, [*keys, "node_id"])
+    up = cut(top.select(*keys, "node_id", *named("u", [F.col(c) for c in cols("r")])), "offers")
+    offers = [up]
+    for d in range(1, index.tree.max_depth + 1):
+        here = kin.where(F.col("depth") == d).join(up.withColumnRenamed("node_id", "parent_id"), [*keys, "parent_id"])
+        up = cut(here.select(*keys, "node_id", *named("u", fitch_of("u", "b"))), "offers")
+        offers.append(up)
+    every = reduce(DataFrame.unionByName, offers)
+
+    # The sources whose removal gains enough; n: what the branch without the source offers the next node up.
+    stand = kin.where("sibling is not null").join(searchable(index).select(*keys, "node_id"), [*keys, "node_id"], "left_semi")
+    stand = stand.join(every.withColumnRenamed("node_id", "parent_id"), [*keys, "parent_id"])
+    lone = stand.select(
+        *keys, F.col("node_id").alias("src"), F.col("parent_id").alias("at"), F.col("sibling").alias("node_id"),
+        *named("s", [F.col(c) for c in cols("d")]), *named("n", [F.col(c) for c in cols("b")]),
+        *named("m", [F.col(c) for c in cols("u")]), F.lit(None).cast("int").alias("gain"),
+    )
+    lone = lone.withColumn("gain", cost("s", [_fitch(F.col(x), F.col(y)) for x, y in zip(cols("m"), cols("n"))])).where(F.col("gain") >= -threshold)
+    lone = cut(lone, "sources")
+    state = [*keys, "src", "gain", *cols("s")]
+    climb = lone.select(*state, "at", *cols("n"))
+    front = lone.select(*state, F.col("at").alias("lca"), "node_id", *cols("m"))
+    below = kin.select(*keys, F.col("parent_id").alias("node_id"), F.col("node_id").alias("child"), *cols("d"), *cols("b"))
+    found = [lone.select(*keys, "src", F.col("node_id").alias("dst"), F.col("at").alias("lca"), F.lit(0).cast("bigint").alias("score")).where(F.lit(threshold >= 0))]
+    # No two nodes are further apart than twice the depth.
+    for t in range(2, min(radius, max(2 * index.tree.max_depth - 1, 1)) + 1):
+        last = t == radius
+        parts = [
+            front.join(below, [*keys, "node_id"]).select(
+                *state, "lca", F.col("child").alias("node_id"), *cols("d"), *named("m", fitch_of("m", "b"))
+            )
+        ]
+        if t <= index.tree.max_depth:
+            # one level up: beside the branch, and the next place to climb from
+            over = climb.join(
+                kin.select(*keys, F.col("node_id").alias("at"), F.col("parent_id").alias("above"), "sibling", *cols("b")), [*keys, "at"]
+            ).join(every.withColumnRenamed("node_id", "above"), [*keys, "above"])
+            over = cut(over, "over")
+            parts.append(
+                over.where("sibling is not null").select(
+                    *state, F.col("above").alias("lca"), F.col("sibling").alias("node_id"), *named("d", [F.col(c) for c in cols("b")]), *named("m", fitch_of("n", "u"))
+                )
+            )
+            climb = over.select(*state, F.col("above").alias("at"), *named("n", fitch_of("n", "b")))
+        rows = reduce(DataFrame.unionByName, parts)
+        rows = rows.withColumn("score", (cost("s", [_fitch(F.col(x), F.col(y)) for x, y in zip(cols("m"), cols("d"))]) - F.col("gain")).cast("bigint"))
+        if last:
+            # Exploded, so that the condition below is not moved into the steps before: its code would grow too long.
+            rows = rows.select(*keys, "src", "lca", "node_id", F.explode_outer(F.array("score")).alias("score"))
+        else:
+            rows = cut(rows.select(*state, "lca", "node_id", *cols("m"), "score"), "walk")
+            front = rows.select(*state, "lca", "node_id", *cols("m"))
+        found.append(rows.where(F.col("score") <= threshold).select(*keys, "src", F.col("node_id").alias("dst"), "lca", "score"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def find_moves(index: TreeIndex, radius: int, threshold: int = -1, outward: Outward | None = None) -> DataFrame:
     """All moves within ``radius`` whose score is at most ``threshold``.
 
     ``outward`` is the listing of a smaller radius of the same index and threshold, to go on with.
+    Bifurcating trees of few sites are walked instead, unless a listing is at hand.
     """
+    words = _walk_words(index) if outward is None and radius <= WALK_RADIUS else 0
+    if words:
+        return walk_moves(index, radius, threshold, words)
     outward = outward or Outward(index, threshold)
     return score_moves(index, outward.moves(radius)).where(F.col("score") <= threshold)
 

@@ -153,6 +153,36 @@ def test_outward_bound_on_wide_families(spark):
         assert got and got == {m: v for m, v in every.items() if v <= threshold}
 
 
+def test_walk_over_bifurcating_trees(spark, monkeypatch):
+    rng = random.Random(3)
+    cases = {}
+    for i in range(5):
+        ref = "".join(rng.choice("ACGT") for _ in range(20))
+        seqs, arcs, tips, n = {1: ref}, [(0, 1, 0, 0.0)], [1], 1
+        while n < 18 + i:
+            p = tips.pop(rng.randrange(len(tips)))
+            for clade in range(1 if rng.random() < 0.15 else 2):  # some nodes have a single child
+                n += 1
+                arcs.append((p, n, clade, 0.0))
+                seqs[n] = ref
+                tips.append(n)
+        for n in tips:
+            seqs[n] = "".join(b if rng.random() < 0.6 else rng.choice("ACGT") for b in ref)
+        cases[f"b{i}"] = (ref, seqs, arcs, {n: f"s{n}" for n in tips})
+    index = spr.index_dag(g.build(spark, cases))
+    monkeypatch.setattr(spr, "score_moves", None)  # nothing is replayed
+    for radius, threshold in ((1, -1), (2, -1), (4, 1), (8, -1)):
+        found = spr.find_moves(index, radius, threshold)
+        rows = found.collect()
+        got = {(r["dag_id"], r["src"], r["dst"]): r["score"] for r in rows}
+        every = {(k, s, d): v for k, gr in cases.items() for (s, d), v in brute_moves(gr, radius).items()}
+        assert len(rows) == len(got) and got == {m: v for m, v in every.items() if v <= threshold}
+        assert bool(got) == (radius > 1)
+    lca = {(r["dag_id"], r["src"], r["dst"]): r["lca"] for r in rows}
+    want = {(r["dag_id"], r["src"], r["dst"]): r["lca"] for r in spr.candidate_moves(index, 8).collect()}
+    assert all(want[m] == a for m, a in lca.items())
+
+
 def test_applied_moves_cost_what_was_predicted(forest):
     cases, dag, index = forest
     found = spr.find_moves(index, 4).withColumn(
