@@ -1,8 +1,10 @@
-"""Subtree intervals: an Euler tour of every tree, ranked by pointer doubling.
+"""Subtree intervals: numbers of an Euler tour of every tree.
 
-Each node is entered once and left once.  The tour is a linked list of those
-steps; doubling its pointers adds up what lies behind each step in as many
-rounds as the tour's length has binary digits, whatever the tree's depth.  With
+Trees of up to ``LEVELS`` levels are numbered level by level: sizes upwards,
+numbers downwards, each node once a pass.  The tour of deeper ones, in which
+each node is entered once and left once, is a linked list; doubling its pointers
+adds up what lies behind each step in as many rounds as the tour's length has
+binary digits, whatever the tree's depth, but moves every step in each.  With
 [enter, leave) of each node, "a is above b" is a comparison of numbers, and the
 part below a node a range, where a table of all (node, ancestor) pairs would
 grow with nodes times depth.
@@ -10,6 +12,8 @@ grow with nodes times depth.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ from cladeloom.runtime import cut
 
 #: Parts that the children of one node are numbered in, so that no task orders a whole large family.
 PARTS = 64
+#: Levels up to which trees are numbered level by level.
+LEVELS = 40
 
 
 def list_ranks(links: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,8 +50,59 @@ def euler_intervals(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """
     if not keys:
         return euler_intervals(nodes.withColumn("tree", F.lit(0)), ["tree"]).drop("tree")
-    part = F.pmod(F.xxhash64("node_id"), F.lit(PARTS)).alias("part")
     body = nodes.select(*keys, "node_id", "parent_id")
+    levels = _levels(body, keys)
+    return _by_tour(body, keys) if levels is None else _by_level(levels, keys)
+
+
+def _levels(body: DataFrame, keys: list[str]) -> list[DataFrame] | None:
+    """(keys, node_id, parent_id) per level from the roots down, or None if there are more than ``LEVELS``."""
+    inner = cut(body.where(F.col("parent_id").isNotNull()), "below")
+    levels = [cut(body.where(F.col("parent_id").isNull()), "level")]
+    placed = 0
+    while not levels[-1].isEmpty():
+        if len(levels) > LEVELS:
+            return None
+        above = levels[-1].select(*keys, F.col("node_id").alias("parent_id"))
+        levels.append(cut(inner.join(above, [*keys, "parent_id"]).select(*keys, "node_id", "parent_id"), "level"))
+        placed += levels[-1].count()
+    if placed != inner.count():
+        raise ValueError("some nodes hang below no root")
+    return levels[:-1] or levels
+
+
+def _by_level(levels: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Intervals of trees given by their levels: sizes from the last level up, numbers from the first down."""
+    family = [*keys, "parent_id"]
+    one = F.lit(1).cast("bigint")
+    sized = [cut(levels[-1].withColumn("size", one), "sizes")]
+    for level in reversed(levels[:-1]):
+        below = sized[0].groupBy(*family).agg(F.sum("size").alias("below")).withColumnRenamed("parent_id", "node_id")
+        size = one + F.coalesce("below", F.lit(0))
+        sized.insert(0, cut(level.join(below, [*keys, "node_id"], "left").select(*keys, "node_id", "parent_id", size.alias("size")), "sizes"))
+    # What stands before a node among its siblings: the parts before its own, and the nodes before it in its part.
+    part = F.pmod(F.xxhash64("node_id"), F.lit(PARTS)).alias("part")
+    kids = [s.select("*", part, F.lit(d).alias("depth")) for d, s in enumerate(sized) if d]
+    enter = F.lit(0).cast("bigint").alias("enter")
+    numbered = [sized[0].select(*keys, "node_id", enter, "size")]
+    if kids:
+        kids = reduce(DataFrame.unionByName, kids)
+        ahead = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = kids.groupBy(*family, "part").agg(F.sum("size").alias("size"))
+        parts = parts.select(*family, "part", ahead(Window.partitionBy(*family).orderBy("part")).alias("parts"))
+        inside = ahead(Window.partitionBy(*family, "part").orderBy("node_id")).alias("inside")
+        placed = kids.select(*family, "node_id", "size", "part", "depth", inside).join(parts, [*family, "part"])
+        placed = cut(placed.select(*family, "node_id", "size", "depth", (F.col("parts") + F.col("inside") + 1).alias("offset")), "placed", ("depth",))
+    for d in range(1, len(sized)):
+        above = numbered[-1].select(*keys, F.col("node_id").alias("parent_id"), "enter")
+        here = placed.where(F.col("depth") == d).join(above, family)
+        numbered.append(cut(here.select(*keys, "node_id", (F.col("enter") + F.col("offset")).alias("enter"), "size"), "numbers"))
+    return reduce(DataFrame.unionByName, numbered).select(*keys, "node_id", "enter", (F.col("enter") + F.col("size")).alias("leave"))
+
+
+def _by_tour(body: DataFrame, keys: list[str]) -> DataFrame:
+    """Intervals of trees of any depth, by the ranks of their tours."""
+    part = F.pmod(F.xxhash64("node_id"), F.lit(PARTS)).alias("part")
     kids = body.where(F.col("parent_id").isNotNull()).select(*keys, "parent_id", part, "node_id")
     family = [*keys, "parent_id"]
     after = F.lead("node_id").over(Window.partitionBy(*family, "part").orderBy("node_id"))

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from cladeloom.operators import diverse, intervals, rf
@@ -50,6 +51,17 @@ def test_intervals_against_parent_links(spark):
     assert intervals.euler_intervals(df.limit(0), ["dag_id"]).count() == 0
 
 
+def test_shallow_trees_are_numbered_by_level(spark, monkeypatch):
+    rows = [r for r in random_trees(random.Random(4)) if r[0] != "path"]
+    df = spark.createDataFrame(rows, "dag_id string, node_id long, parent_id long")
+    tour = {tuple(r) for r in intervals._by_tour(df, ["dag_id"]).collect()}
+    monkeypatch.setattr(intervals, "list_ranks", None)  # nothing is doubled
+    assert {tuple(r) for r in intervals.euler_intervals(df, ["dag_id"]).collect()} == tour
+    loose = df.where("parent_id is not null or dag_id <> 'star'")
+    with pytest.raises(ValueError):
+        intervals.euler_intervals(loose, ["dag_id"])
+
+
 def test_list_ranks_of_many_lists(spark):
     rows, want = [], {}
     for key in range(5):
