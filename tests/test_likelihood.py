@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladeloom.operators import likelihood, models
+from cladeloom.plans.sequence_queries import closed_form_table
 from cladeloom.sources.models import read_pth, read_yaml
 from tests import graphs as g
 
@@ -156,3 +157,31 @@ def test_edge_nll_skips_unchanged_and_root(spark):
     one = -(math.log(1 / 20) - 1 + math.log(0.25))
     assert [nll[i] for i in range(7)] == pytest.approx([0, one, one, 0, one, 0, one])
     assert likelihood.dag_nll(likelihood.edge_nll(dag, model.loglik)).first()["nll"] == pytest.approx(4 * one)
+
+
+def test_table_model_site_by_site(spark):
+    """Uneven lengths, both cases, unknown letters and a gap in the table, by formula; one row per pair, no row per site."""
+    table = closed_form_table(spark).where("kmer <> 27")
+    known = {r["kmer"]: r for r in table.collect()}
+    pairs = [("ACGTACGTTA", "ACGAACGTTC"), ("acgtac", "ACGTCCGG"), ("ANCGT", "ANCCT"), ("GT", "GTAA"), ("TTTTTTTTT", "CTTTATT")]
+    df = spark.createDataFrame(pairs, "parent_seq string, child_seq string")
+    scored = likelihood.kmer_table_loglik(df, table, 3, 8)
+    assert "Generate" not in scored._jdf.queryExecution().executedPlan().toString()
+    got = {(r["parent_seq"], r["child_seq"]): r["loglik"] for r in scored.collect()}
+    for p, c in pairs:
+        n, total, logs = 0, 0.0, 0.0
+        whole = "N" + p.upper() + "N"
+        for i in range(min(len(p), len(c), 8)):
+            w = whole[i : i + 3]
+            kmer = 64 if set(w) - set("ACGT") else sum("ACGT".index(b) * 4 ** (2 - j) for j, b in enumerate(w))
+            if kmer not in known:
+                continue
+            total += known[kmer]["rate"]
+            if p[i].upper() != c[i].upper():
+                n += 1
+                logs += math.log(known[kmer]["rate"] * known[kmer]["csp"]["ACGT".index(c[i].upper())])
+        if p[:8] != c[:8]:
+            assert got.pop((p, c)) == pytest.approx(n * math.log(n / total) - n + logs if n else 0.0)
+    assert not got
+    with pytest.raises(Exception, match="unknown base"):
+        likelihood.kmer_table_loglik(spark.createDataFrame([("ACG", "ANG")], df.schema), table, 3, 8).collect()
