@@ -15,71 +15,87 @@ from cladeloom.operators.semiring import Semiring
 from cladeloom.schema import HistoryDag
 
 TOKEN = re.compile(r"[(),;]|[^(),;]+")
-LENGTH = re.compile(r"^(.*?):\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)$", re.S)
+LENGTH = re.compile(r"\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)")
 ROWS = "dag_id string, node_id bigint, parent_id bigint, label string, branch_length double, clade_index int, preorder bigint"
 
 
-def newick_rows(text: str):
-    """(id, parent, label, length, clade, preorder) per node; ids in post-order.
+def _add_nodes(text: str, parents: list, labels: list, lengths: list, clades: list, orders: list) -> int:
+    """Appends a tree's nodes by post-order id, returns how many; preorder number -1 off the last node's tree.
 
     Branch lengths may carry a sign or exponent; blanks around labels are dropped.
     """
-    open_kids: list[list[int]] = [[]]
-    found: dict[int, list] = {}
-    label, next_id = "", 0
-
-    def close(kids: list[int]):
-        nonlocal label, next_id
-        name, length = label.strip(), None
-        m = LENGTH.match(name)
-        if m:
-            name, length = m.group(1).strip(), float(m.group(2))
-        for clade, kid in enumerate(kids):
-            found[kid][0:1] = [next_id]
-            found[kid][3] = clade
-        found[next_id] = [None, name, length, 0, kids]
-        label, next_id = "", next_id + 1
-
-    kids: list[int] = []
+    base = node = len(labels)
+    families: list = []
+    open_kids: list = [[]]
+    kids, label = None, ""
     for tok in TOKEN.findall(text):
         if tok == "(":
             open_kids.append([])
-        elif tok in "),":
-            close(kids)
-            open_kids[-1].append(next_id - 1)
-            kids = open_kids.pop() if tok == ")" else []
-        elif tok == ";":
-            close(kids)
-            break
+        elif tok in "),;":
+            name, length = label.strip(), None
+            if ":" in name:
+                start, _, end = name.rpartition(":")
+                if LENGTH.fullmatch(end):
+                    name, length = start.strip(), float(end)
+            if kids:
+                for clade, kid in enumerate(kids):
+                    parents[kid], clades[kid] = node - base, clade
+            parents.append(None)
+            labels.append(name)
+            lengths.append(length)
+            clades.append(0)
+            families.append(kids)
+            label = ""
+            node += 1
+            if tok == ";":
+                break
+            open_kids[-1].append(node - 1)
+            kids = open_kids.pop() if tok == ")" else None
         else:
             label += tok
-    order, stack = 0, [next_id - 1]
+    if node == base:
+        raise ValueError("no tree in a Newick text")
+    orders += [-1] * (node - base)
+    stack, order = [node - 1], 0
     while stack:
-        n = stack.pop()
-        parent, name, length, clade, below = found[n]
-        yield n, parent, name, length, clade, order
+        node = stack.pop()
+        orders[node] = order
         order += 1
-        stack.extend(reversed(below))
+        if families[node - base]:
+            stack += families[node - base][::-1]
+    return len(families)
+
+
+def newick_rows(text: str):
+    """(id, parent, label, length, clade, preorder) per node, in preorder; ids in post-order."""
+    columns: tuple = ([], [], [], [], [])
+    _add_nodes(text, *columns)
+    yield from sorted(((i, *row) for i, row in enumerate(zip(*columns)) if row[-1] >= 0), key=lambda row: row[-1])
 
 
 def parse_newick(trees: DataFrame) -> DataFrame:
     """Node rows of ``trees`` (dag_id, newick), one Newick text per row."""
 
     def run(batches):
-        import pandas as pd
-
-        names = [c.split()[0] for c in ROWS.split(", ")]
-        for pdf in batches:
-            rows = [
-                (d, i, p, name, ln, k, o)
-                for d, text in zip(pdf["dag_id"], pdf["newick"])
-                for i, p, name, ln, k, o in newick_rows(text)
-            ]
-            out = pd.DataFrame(rows, columns=names)
-            out["parent_id"] = out["parent_id"].astype("Int64")
-            yield out
-
-    return trees.select("dag_id", "newick").mapInPandas(run, ROWS)
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            columns: tuple = ([], [], [], [], [])
+            sizes = [_add_nodes(text, *columns) for text in batch.column("newick").to_pylist()]
+            sizes = np.array(sizes, dtype=np.int64)
+            ends = np.cumsum(sizes)
+            ids = np.arange(len(columns[0])) - np.repeat(ends - sizes, sizes)
+            types = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int64())
+            rows = pa.RecordBatch.from_arrays(
+                [batch.column("dag_id").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(ids),
+                 *[pa.array(c, t) for c, t in zip(columns, types)]],
+                names=[c.split()[0] for c in ROWS.split(", ")],
+            )
+            stray = np.array(columns[-1], dtype=np.int64) < 0
+            yield rows.filter(pa.array(~stray)) if stray.any() else rows
+
+    return trees.select("dag_id", "newick").mapInArrow(run, ROWS)
 
 
 def read_newick(spark: SparkSession, paths, pattern: str | None = None) -> DataFrame:

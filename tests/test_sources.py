@@ -125,3 +125,14 @@ def test_vcf_call_of_the_reference_base_resets_a_leaf(spark):
     assert got == {"s2": [(3, "G"), (4, "T")], "s3": [(1, "C"), (3, "T")]}
     muts = {r.child_id: [(m["pos"], m["par"], m["mut"]) for m in r.mutations] for r in out.edges.where("parent_id = 1").collect()}
     assert muts[2] == [(3, "A", "G"), (4, "A", "T")]
+
+
+def test_newick_batches(spark):
+    """Rows of a batch equal those of its texts one by one; what hangs beside the last node is left out; no pandas on the way."""
+    texts = [f"((p{i}:{i}.5,b)x,\n c);" for i in range(40)] + ["(a,b)", "a,b:2;", "((a)b,c:-1e2)d;x", "(,)q:1:2;"]
+    df = spark.createDataFrame([(f"t{i}", t) for i, t in enumerate(texts)], "dag_id string, newick string").coalesce(1)
+    parsed = newick.parse_newick(df)
+    assert "MapInPandas" not in parsed._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tuple(r) for r in parsed.collect())
+    assert got == sorted((f"t{i}", *row) for i, t in enumerate(texts) for row in newick.newick_rows(t))
+    assert [r[1:] for r in got if r[0] == "t41"] == [(1, None, "b", 2.0, 0, 0)]
