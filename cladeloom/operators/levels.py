@@ -39,7 +39,6 @@ class EdgeLevels:
     ranked: DataFrame | None = None
     height: int = 0
     cut_every: int = 0
-
     @property
     def strict(self) -> bool:
         return self.ranked is None
@@ -216,7 +215,8 @@ def lca(dag: HistoryDag, pairs: DataFrame) -> DataFrame:
 
 def rank_edges(dag: HistoryDag, edges: DataFrame | None = None) -> EdgeLevels:
     """Staged layout: every edge with the ranks of both ends."""
-    h = cut(heights(dag), "height")
+    # Childless nodes, mostly by far the most, have rank 0 and need no lookup.
+    h = cut(heights(dag).where(F.col("height") > 0), "height")
     edges = dag.edges if edges is None else edges
     ranked = (
         edges.join(
@@ -224,8 +224,8 @@ def rank_edges(dag: HistoryDag, edges: DataFrame | None = None) -> EdgeLevels:
             ["dag_id", "parent_id"],
         ).join(
             h.withColumnRenamed("node_id", "child_id").withColumnRenamed("height", "child_rank"),
-            ["dag_id", "child_id"],
-        )
+            ["dag_id", "child_id"], "left",
+        ).withColumn("child_rank", F.coalesce("child_rank", F.lit(0)))
     )
     ranked = cut(ranked, "ranked", ("child_rank",))
     top = ranked.agg(F.max("parent_rank")).first()[0] or 0

@@ -18,7 +18,7 @@ from cladeloom.functions.setkeys import key_text, singleton_key
 from cladeloom.operators import leafsets
 from cladeloom.operators.levels import EdgeLevels
 from cladeloom.operators.trim import trim_inconsistent
-from cladeloom.runtime import cut, materialise
+from cladeloom.runtime import cut
 from cladeloom.schema import GENOME, HistoryDag
 
 UA_LABEL = "UA"
@@ -59,10 +59,12 @@ class Labelled:
 
 
 def label(dag: HistoryDag, keys: leafsets.LeafKeys, group: Column) -> Labelled:
-    nodes = node_labels(dag, keys)
-    ends = nodes.select("dag_id", "node_id", "label", "key")
-    child = ends.select("dag_id", F.col("node_id").alias("child_id"), F.col("label").alias("child"), "key")
-    parent = ends.select("dag_id", F.col("node_id").alias("parent_id"), F.col("label").alias("parent"))
+    # Written by kind: parents are inner nodes, mostly few, and their files tell so.
+    nodes = cut(node_labels(dag, keys), "labels", ("kind",))
+    child = nodes.select("dag_id", F.col("node_id").alias("child_id"), F.col("label").alias("child"), "key")
+    parent = nodes.where(F.col("kind") == "inner").select(
+        "dag_id", F.col("node_id").alias("parent_id"), F.col("label").alias("parent")
+    )
     uas = dag.nodes.where(F.col("kind") == "ua").select("dag_id", F.col("node_id").alias("parent_id"))
     edges = dag.edges.select("dag_id", "parent_id", "child_id", "clade_index", "edge_weight").join(
         child, ["dag_id", "child_id"]
@@ -123,10 +125,15 @@ def orphan_edges(nodes: DataFrame, edges: DataFrame, slots: DataFrame, roots: Da
     weighted = loose.join(roots, ["g", "child"], "left").withColumn(
         "edge_weight", F.coalesce("edge_weight", F.lit(0.0))
     )
-    pointed = edges.select("g", F.col("child").alias("parent"))
-    homes = slots.join(pointed, ["g", "parent"], "left_semi")
-    found = weighted.join(homes, ["g", "key"]).where(F.col("parent") != F.col("child"))
-    adopted = found.select("g", "parent", "child", "clade_index", "edge_weight")
+    weighted = cut(weighted, "orphans")
+    found = cut(weighted.join(slots, ["g", "key"]).where(F.col("parent") != F.col("child")), "homes")
+    # orphans are few: only the homes found for them are looked up among the children
+    pointed = edges.select("g", F.col("child").alias("parent")).join(
+        found.select("g", "parent").distinct(), ["g", "parent"], "left_semi"
+    )
+    adopted = cut(found.join(pointed.distinct(), ["g", "parent"], "left_semi"), "adopted").select(
+        "g", "parent", "child", "clade_index", "edge_weight"
+    )
     lost = weighted.join(adopted.select("g", "child"), ["g", "child"], "left_anti").select(
         "g", F.lit(UA_LABEL).alias("parent"), "child",
         F.lit(0).cast(slots.schema["clade_index"].dataType).alias("clade_index"), "edge_weight"
@@ -135,22 +142,23 @@ def orphan_edges(nodes: DataFrame, edges: DataFrame, slots: DataFrame, roots: Da
 
 
 def assemble(rows: Labelled) -> HistoryDag:
-    nodes, edges, slots = dedup_nodes(rows.nodes), dedup_edges(rows.edges), clade_slots(rows.edges)
-    body = indexed_edges(edges, slots).select(
-        "g", "parent", "child", "clade_index", "edge_weight"
-    )
+    nodes = cut(dedup_nodes(rows.nodes), "merged-nodes", ("kind",))
+    edges = cut(indexed_edges(dedup_edges(rows.edges), clade_slots(rows.edges)), "merged-arcs")
+    body = edges.select("g", "parent", "child", "clade_index", "edge_weight")
+    slots = edges.select("g", "parent", "key", "clade_index").distinct()
     arcs = body.unionByName(
         orphan_edges(nodes, edges, slots, dedup_root_edges(rows.root_edges))
     )
-    refs = rows.refs.groupBy("g").agg(
+    refs = cut(rows.refs.groupBy("g").agg(
         F.min_by("reference_id", "dag_id").alias("reference_id"),
         F.min_by("reference_seq", "dag_id").alias("reference_seq"),
-    )
+    ), "refs")
+    heads = nodes.where(F.col("kind") == "inner").select("g", F.col("label").alias("parent"), F.col("cg").alias("parent_cg"))
     genome = nodes.select("g", "label", "cg")
     none = F.array().cast(GENOME)
     full = (
         arcs.join(genome.withColumnsRenamed({"label": "child", "cg": "child_cg"}), ["g", "child"])
-        .join(genome.withColumnsRenamed({"label": "parent", "cg": "parent_cg"}), ["g", "parent"], "left")
+        .join(heads, ["g", "parent"], "left")
         .join(refs, "g")
         .select(
             F.col("g").alias("dag_id"),
@@ -187,8 +195,8 @@ def merge(
     levels = levels or leafsets.levels_with_leaves(dag)
     keys = leafsets.leaf_keys(levels) if consistent else leafsets.leaf_keys_exact(levels)
     rows = label(dag, keys, group)
-    rows = replace(rows, nodes=cut(rows.nodes, "labels"), edges=cut(rows.edges, "arcs"))
-    out = materialise(assemble(rows), "merged")
+    out = assemble(replace(rows, edges=cut(rows.edges, "arcs")))
+    out = out.with_edges(cut(out.edges, "merged-edges"))
     return out if consistent else trim_inconsistent(out)[0]
 
 

@@ -26,9 +26,14 @@ def _merged(spark, sf):
     return merge.merge(dag, tables.region_of().cast("string"), levels)
 
 
-def _shape(keys: leafsets.LeafKeys, edges):
-    leaves = keys.edges.select("dag_id", "parent_id", "child_id", F.col("key.n").alias("leaves"))
-    return edges.join(leaves, ["dag_id", "parent_id", "child_id"]).groupBy(
+def _with_leaves(dag, levels):
+    """The DAG with the leaf count of every edge's child on the edge."""
+    edges = leafsets.leaf_keys(levels).edges
+    return dag.with_edges(edges.select(*dag.edges.columns, F.col("key.n").alias("leaves")))
+
+
+def _shape(edges):
+    return edges.groupBy(
         F.col("dag_id").cast("int").alias("rk"), F.col("clade_index").cast("string").alias("clade_index"), "leaves",
         F.col("edge_weight").cast("int").alias("weight"),
     ).agg(F.count(F.lit(1)).alias("edges"), F.sum(F.size("mutations")).cast("bigint").alias("mutations"))
@@ -42,8 +47,7 @@ select rk, clade_index, leaves, cast(w as int) weight, count(*) edges, cast(0 as
 def merged_dag_edges(spark, sf):
     """The materialised merge of a region's trees, leaf sets found again from its ranked edges."""
     dag = _merged(spark, sf)
-    keys = leafsets.leaf_keys(leafsets.levels_with_leaves(dag))
-    return _shape(keys, dag.edges)
+    return _shape(_with_leaves(dag, leafsets.levels_with_leaves(dag)).edges)
 
 
 @query(
@@ -63,6 +67,6 @@ from (select * from kept union all select * from leaf) group by 1, 2, 3, 4""",
 def trimmed_optimum_edges(spark, sf):
     """All trees of least edge weight in the merge, nodes shared."""
     dag = _merged(spark, sf)
-    keys = leafsets.leaf_keys(leafsets.levels_with_leaves(dag))
+    held = _with_leaves(dag, leafsets.levels_with_leaves(dag))
     best = dp.below(rank_edges(dag), sr.BestWeight(sr.stored_weight(), dtype="double", tolerant=True))
-    return _shape(keys, trim.trim_to_best(dag, best).edges)
+    return _shape(trim.trim_to_best(held, best).edges)

@@ -130,7 +130,7 @@ union all select rk, cast(count(distinct k) as bigint), 0, 1 from g group by rk"
 def orphan_attachment(spark, sf):
     """Trees C and D cut down to group fragments and hung into the merge of A and B."""
     rows = _labelled(spark, sf, fragments="CD")
-    rows = replace(rows, nodes=cut(rows.nodes, "labels"), edges=cut(rows.edges, "arcs"))
+    rows = replace(rows, edges=cut(rows.edges, "arcs"))
     nodes, edges = merge.dedup_nodes(rows.nodes), merge.dedup_edges(rows.edges)
     arcs = merge.orphan_edges(
         nodes, edges, merge.clade_slots(rows.edges), merge.dedup_root_edges(rows.root_edges)
