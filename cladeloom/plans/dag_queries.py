@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from cladeloom.operators import dp, leafsets, merge, trim
 from cladeloom.operators import semiring as sr
-from cladeloom.operators.levels import rank_edges
 from cladeloom.plans import tables
 from cladeloom.plans.registry import GROUPS, query
 
@@ -67,6 +66,6 @@ from (select * from kept union all select * from leaf) group by 1, 2, 3, 4""",
 def trimmed_optimum_edges(spark, sf):
     """All trees of least edge weight in the merge, nodes shared."""
     dag = _merged(spark, sf)
-    held = _with_leaves(dag, leafsets.levels_with_leaves(dag))
-    best = dp.below(rank_edges(dag), sr.BestWeight(sr.stored_weight(), dtype="double", tolerant=True))
-    return _shape(trim.trim_to_best(held, best).edges)
+    levels = leafsets.levels_with_leaves(dag)
+    best = dp.below(levels, sr.BestWeight(sr.stored_weight(), dtype="double", tolerant=True))
+    return _shape(trim.trim_to_best(_with_leaves(dag, levels), best).edges)

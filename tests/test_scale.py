@@ -36,3 +36,8 @@ def test_ranks_are_looked_up_for_inner_nodes_only(spark, monkeypatch):
     assert {r["node_id"] for r in kept["height"].collect()} == {"u", "r", "a"}
     got = {(r["parent_id"], r["child_id"], r["parent_rank"], r["child_rank"]) for r in ranked.collect()}
     assert got == {("u", "r", 3, 2), ("r", "a", 2, 1), ("r", "b", 2, 0), ("a", "c", 1, 0)}
+
+
+def test_trimming_the_merge_ranks_it_once(spark, peeled):
+    catalog.QUERIES["trimmed_optimum_edges"](spark, SF)
+    assert peeled == ["heights"]
