@@ -7,7 +7,7 @@ Both touch every edge once.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -150,15 +150,20 @@ def _below_strict(levels: EdgeLevels, ops: Semiring, keep: bool = False) -> Belo
     keys = list(levels.keys)
     edge_parts, clade_parts, node_parts = [], [], []
     done = None
+    by_node = [*keys, "parent_id"]
     for i, level in enumerate(levels.levels, 1):
+        if levels.tasks and level.children == "inner":
+            level = replace(level, edges=levels.dealt(level.edges, *keys, "child_id"))
         arrived = _arrive(level, done, keys, ops)
         if keep:
-            # read again by the upward pass: edges and clades once each per level
-            arrived = cut(arrived, "arrived")
-            clades = cut(ops.within(arrived, [*keys, "parent_id", "clade_index"]), "clades")
-            done = cut(ops.between(clades, [*keys, "parent_id"]).withColumnRenamed("parent_id", "node_id"), "nodes")
+            # read again by the upward pass: edges and clades once each per level; leaf edges are as they came
+            if level.children != "leaf":
+                arrived = cut(arrived, "arrived")
+            clades = cut(ops.within(levels.dealt(arrived, *by_node), [*by_node, "clade_index"]), "clades")
+            done = ops.between(levels.dealt(clades, *by_node), by_node).withColumnRenamed("parent_id", "node_id")
+            done = levels.dealt(cut(done, "nodes"), *keys, "node_id")
         else:
-            clades, done = _combine(arrived, keys, ops)
+            clades, done = _combine(levels.dealt(arrived, *by_node), keys, ops)
             if levels.cut_every and i % levels.cut_every == 0:
                 done = cut(done, "below")
         edge_parts.append(arrived)
@@ -201,16 +206,17 @@ def _below_staged(levels: EdgeLevels, ops: Semiring) -> Below:
 
 def _slack(result: Below, i: int, above_nodes: DataFrame) -> DataFrame:
     """Per clade: weight of the best tree outside it, through its parent."""
-    keys = result.keys
+    keys, dealt = result.keys, result.levels.dealt
+    by_node = [*keys, "parent_id"]
     totals = result.node_parts[i].select(
         *keys, F.col("node_id").alias("parent_id"), F.col("w").alias("node_w")
     )
     up = above_nodes.select(*keys, F.col("node_id").alias("parent_id"), "above_w")
+    clades = result.clade_parts[i].select(*by_node, "clade_index", F.col("w").alias("clade_w"))
     return (
-        result.clade_parts[i]
-        .select(*keys, "parent_id", "clade_index", F.col("w").alias("clade_w"))
-        .join(totals, [*keys, "parent_id"])
-        .join(up, [*keys, "parent_id"])
+        dealt(clades, *by_node)
+        .join(totals, by_node)
+        .join(dealt(up, *by_node), by_node)
         .withColumn("outside", F.col("above_w") + F.col("node_w") - F.col("clade_w"))
         .select(*keys, "parent_id", "clade_index", "outside", "clade_w")
     )
@@ -252,9 +258,10 @@ def above(result: Below) -> Above:
         if staged:
             up = _entering(result, i + 1, roots, pending, total, "above_w")
             node_parts.append(up)
+        by = [*keys, "parent_id", "clade_index"]
         through = (
-            result.edge_parts[i]
-            .join(_slack(result, i, up), [*keys, "parent_id", "clade_index"])
+            result.levels.dealt(result.edge_parts[i], *by)
+            .join(result.levels.dealt(_slack(result, i, up), *by), by)
             .withColumn("through_w", F.col("outside") + F.col("w"))
             .withColumn("above_child", F.col("outside") + F.col("edge_w"))
         )

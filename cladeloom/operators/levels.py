@@ -39,6 +39,12 @@ class EdgeLevels:
     ranked: DataFrame | None = None
     height: int = 0
     cut_every: int = 0
+    # Strict layouts of small groups: tasks to deal rows into by key; 0 leaves it to the session.
+    tasks: int = 0
+
+    def dealt(self, df: DataFrame, *by: str) -> DataFrame:
+        return df.repartition(self.tasks, *by) if self.tasks else df
+
     @property
     def strict(self) -> bool:
         return self.ranked is None

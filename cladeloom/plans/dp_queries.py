@@ -84,25 +84,21 @@ pe as (select 'order' lvl, ck, ok, cl, w, score, score - tot penalty from ab
 
 
 def _penalties(spark, sf):
-    """Edges with through_w, and the optimum of the customer they belong to."""
-    res = dp.below(tables.orders_forest(spark, sf), sr.BestWeight(weight()), keep=True)
+    """Per level, orders first: edges with the best weight through them and how far it is from their customer's optimum."""
+    levels = tables.dealt_forest(spark, sf)
+    res = dp.below(levels, sr.BestWeight(weight()), keep=True)
     up = dp.above(res)
-    owner = res.levels.levels[1].edges.select(
-        F.col("child_id").alias("order_id"), F.col("parent_id").alias("ck")
-    )
-    lines, orders = up.edge_parts[1], up.edge_parts[0]
     best = res.top.select(F.col("node_id").alias("ck"), F.col("w").alias("best_w"))
-    one = orders.select(
-        F.lit("order").alias("lvl"), F.col("parent_id").alias("ck"), F.col("child_id").alias("ok"),
-        F.col("clade_index").alias("cl"), "w", F.col("through_w").alias("score"),
-    )
-    two = lines.withColumnRenamed("parent_id", "order_id").join(owner, "order_id").select(
-        F.lit("line").alias("lvl"), "ck", F.col("order_id").alias("ok"),
-        F.col("clade_index").alias("cl"), "w", F.col("through_w").alias("score"),
-    )
-    return one.unionByName(two).join(best, "ck").withColumn(
-        "penalty", F.col("score") - F.col("best_w")
-    )
+    owner = levels.levels[1].edges.select(F.col("child_id").alias("ok"), F.col("parent_id").alias("ck")).join(best, "ck")
+    held = [F.col("clade_index").alias("cl"), "w", F.col("through_w").alias("score")]
+    orders = up.edge_parts[0].select(F.col("parent_id").alias("ck"), F.col("child_id").alias("ok"), *held)
+    lines = up.edge_parts[1].select(F.col("parent_id").alias("ok"), *held)
+    # One part per level: orders met by customer, lines by order, where their groups are complete.
+    parts = (("order", orders.join(best, "ck")), ("line", levels.dealt(lines, "ok").join(levels.dealt(owner, "ok"), "ok")))
+    return [
+        df.select(F.lit(lvl).alias("lvl"), "ck", "ok", "cl", "w", "score", (F.col("score") - F.col("best_w")).alias("penalty"))
+        for lvl, df in parts
+    ]
 
 
 @query(
@@ -111,7 +107,8 @@ def _penalties(spark, sf):
 )
 def edge_penalties(spark, sf):
     cols = ["lvl", "ck", "ok", "cl", "w", "score", "penalty"]
-    return _penalties(spark, sf).groupBy(*cols).agg(F.count(F.lit(1)).alias("copies"))
+    orders, lines = [df.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies")) for df in _penalties(spark, sf)]
+    return orders.unionByName(lines)
 
 
 @query(
@@ -119,7 +116,8 @@ def edge_penalties(spark, sf):
     f"with {PENALTIES} select lvl, count(*) edges, count(*) filter (where penalty = 0) zero, count(*) filter (where penalty > 0) positive, cast(max(penalty) as bigint) largest from pe group by lvl",
 )
 def penalty_summary(spark, sf):
-    return dp.penalty_summary(_penalties(spark, sf), ["lvl"])
+    orders, lines = _penalties(spark, sf)
+    return dp.penalty_summary(orders.unionByName(lines), ["lvl"])
 
 
 @query(

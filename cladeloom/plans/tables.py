@@ -12,11 +12,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeloom.operators.levels import EdgeLevels, Level, layered
-from cladeloom.runtime import cut
+from cladeloom.runtime import cut, tasks_for
 from cladeloom.schema import GENOME, HistoryDag
 
 LETTERS = ("0123456789abcdef", "ACGTACGTACGTACGT")
@@ -68,6 +70,15 @@ def orders_forest(spark, sf_dir) -> EdgeLevels:
     )
 
 
+def dealt_forest(spark, sf_dir) -> EdgeLevels:
+    """``orders_forest`` for programs with wide rows: a task holds about as many lines in any table.
+
+    An order has few lines and a customer few orders, so both may be dealt by parent.
+    """
+    lines = table(spark, sf_dir, "lineitem").count()
+    return replace(orders_forest(spark, sf_dir), tasks=tasks_for(spark, lines))
+
+
 def customer_groups(spark, sf_dir, trees: str = "ABCD") -> DataFrame:
     """(rk, nk, t, grp, k): which group each tree puts a customer in."""
     c = table(spark, sf_dir, "customer").select(

@@ -41,3 +41,11 @@ def test_ranks_are_looked_up_for_inner_nodes_only(spark, monkeypatch):
 def test_trimming_the_merge_ranks_it_once(spark, peeled):
     catalog.QUERIES["trimmed_optimum_edges"](spark, SF)
     assert peeled == ["heights"]
+
+
+def test_penalties_meet_their_lines_in_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr("cladeloom.runtime.TASK_ROWS", 300)
+    tasks = tables.dealt_forest(spark, SF).tasks
+    text = plan(catalog.QUERIES["edge_penalties"](spark, SF))
+    assert len(re.findall(rf"hashpartitioning\(ok#\d+L?, {tasks}\), REPARTITION_BY_NUM", text)) == 2
+    assert not re.search(r"hashpartitioning\(lvl", text)
