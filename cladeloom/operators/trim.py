@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeloom.operators import dp, leafsets
 from cladeloom.operators.levels import reachable
-from cladeloom.runtime import cut, materialise
+from cladeloom.runtime import cut
 from cladeloom.schema import HistoryDag
 
 ARC = ["dag_id", "parent_id", "clade_index", "child_id"]
@@ -58,9 +60,10 @@ def trim_inconsistent(dag: HistoryDag) -> tuple[HistoryDag, DataFrame]:
 
     Runs to a fixpoint; every round but the last removes edges.  Also returns (dag_id, edges_removed, unresolvable).
     """
-    removed = None
+    removed, columns = None, dag.edges.columns
+    levels = leafsets.levels_with_bits(dag)
     while True:
-        res = leafsets.leaf_bits(leafsets.levels_with_bits(dag))
+        res = leafsets.leaf_bits(levels)
         cover = cut(clade_coverage(res.edges, res.clades, ["dag_id"]), "coverage")
         # A clade in which nothing is complete is counted once per round it is seen in.
         stuck = cover.where(~F.col("complete")).groupBy("dag_id").agg(
@@ -73,8 +76,10 @@ def trim_inconsistent(dag: HistoryDag) -> tuple[HistoryDag, DataFrame]:
         removed = one if removed is None else removed.unionByName(one)
         if bad.isEmpty():
             break
-        kept = cut(dag.edges.join(bad, ARC, "left_anti"), "trim")
-        dag = materialise(keep_reachable(dag, kept), "trim")
+        # Every clade keeps an alternative, so ranks stay an order of the nodes and leaves keep their bits.
+        kept = keep_reachable(dag, cut(levels.ranked.join(bad, ARC, "left_anti"), "trim"))
+        levels = replace(levels, ranked=cut(kept.edges, "ranked", ("child_rank",)))
+        dag = HistoryDag(cut(kept.nodes, "trim-nodes"), levels.ranked.select(*columns), dag.refs)
     report = removed.groupBy("dag_id").agg(
         F.sum("edges_removed").alias("edges_removed"), F.sum("unresolvable").alias("unresolvable")
     )

@@ -43,6 +43,18 @@ def test_trimming_the_merge_ranks_it_once(spark, peeled):
     assert peeled == ["heights"]
 
 
+def test_trimming_rounds_share_ranks_and_leaf_bits(spark, peeled):
+    got = catalog.QUERIES["trim_rounds"](spark, SF)
+    assert peeled == ["heights"]
+    assert got.selectExpr("sum(edges_removed) n").first()["n"] > 0  # so there was a second round
+
+
+def test_trimmed_edges_keep_their_columns(spark):
+    dag = merge_queries._gappy_dags(spark, SF)
+    out = merge_queries.trim.trim_inconsistent(dag)[0]
+    assert out.edges.columns == dag.edges.columns and out.nodes.columns == dag.nodes.columns
+
+
 def test_penalties_meet_their_lines_in_small_tasks(spark, monkeypatch):
     monkeypatch.setattr("cladeloom.runtime.TASK_ROWS", 300)
     tasks = tables.dealt_forest(spark, SF).tasks
