@@ -55,6 +55,18 @@ def test_trimmed_edges_keep_their_columns(spark):
     assert out.edges.columns == dag.edges.columns and out.nodes.columns == dag.nodes.columns
 
 
+def test_edge_checks_do_not_join_edges_with_nodes(spark):
+    nodes = spark.createDataFrame([("d", "u", "ua"), ("d", "a", "leaf"), ("d", "b", "inner")], "dag_id string, node_id string, kind string")
+    edges = spark.createDataFrame(
+        [("d", "u", "b", 0), ("d", "b", "a", 0), ("d", "a", "u", 0), ("d", "a", "x", 0), ("d", "y", "x", 0), ("d", "b", None, 0)],
+        "dag_id string, parent_id string, child_id string, clade_index int",
+    )
+    report = validate.edge_checks(HistoryDag(nodes, edges, nodes.select("dag_id").distinct()))
+    got = sorted(((r["check"], r["node_id"] or "") for r in report.collect()))
+    assert got == [(2, "u"), (3, ""), (3, "x"), (3, "x"), (3, "y"), (4, "a")]
+    assert len(re.findall(r"Join", plan(report))) <= 2  # of the refs alone
+
+
 def test_penalties_meet_their_lines_in_small_tasks(spark, monkeypatch):
     monkeypatch.setattr("cladeloom.runtime.TASK_ROWS", 300)
     tasks = tables.dealt_forest(spark, SF).tasks
