@@ -167,10 +167,11 @@ class BestCount(Semiring):
         level = df.groupBy(*by, "w").agg(
             F.try_sum("n").cast(COUNT).alias("n"), F.max(F.col("n").isNull()).alias("lost")
         )
-        key = -F.col("w") if self.largest else F.col("w")
-        held = F.struct("w", F.when(~F.col("lost"), F.col("n")).alias("n"))
-        best = F.min_by(held, key)
-        return level.groupBy(*by).agg(best.alias("b")).select(*by, "b.w", "b.n")
+        # plain values, not a struct of them: such aggregates hash, those of structs sort
+        n = F.when(~F.col("lost"), F.col("n"))
+        if self.largest:
+            return level.groupBy(*by).agg(F.max("w").alias("w"), F.max_by(n, F.col("w")).alias("n"))
+        return level.groupBy(*by).agg(F.min("w").alias("w"), F.min_by(n, F.col("w")).alias("n"))
 
     def between(self, df, by):
         return _product(df, by, {"w": F.sum("w")}).drop("factors")

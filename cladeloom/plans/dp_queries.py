@@ -49,7 +49,7 @@ select ct.ck, tot w, bt.n from ct join bt on bt.ck = ct.ck""",
 )
 def optimal_count(spark, sf):
     return _top(
-        dp.below(tables.orders_forest(spark, sf), sr.BestCount(weight())),
+        dp.below(tables.dealt_forest(spark, sf), sr.BestCount(weight())),
         "w", F.col("n").cast("bigint").alias("n"),
     )
 

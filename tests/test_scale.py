@@ -67,6 +67,18 @@ def test_edge_checks_do_not_join_edges_with_nodes(spark):
     assert len(re.findall(r"Join", plan(report))) <= 2  # of the refs alone
 
 
+@pytest.mark.parametrize("name", ["optimal_tree_count_per_customer"])
+def test_counts_of_best_trees_are_hashed_in_small_tasks(spark, monkeypatch, name):
+    monkeypatch.setattr("cladeloom.runtime.TASK_ROWS", 300)
+    forest = tables.dealt_forest(spark, SF)
+    lines = forest.levels[0].edges
+    assert forest.tasks == -(-lines.count() // 300)
+    res = dp.below(forest, sr.BestCount(F.col("edge_weight")))
+    assert res.clade_parts[0].rdd.getNumPartitions() == forest.tasks
+    assert "SortAggregate" not in plan(res.clade_parts[0])
+    assert "REPARTITION_BY_NUM" in plan(catalog.QUERIES[name](spark, SF))
+
+
 def test_penalties_meet_their_lines_in_small_tasks(spark, monkeypatch):
     monkeypatch.setattr("cladeloom.runtime.TASK_ROWS", 300)
     tasks = tables.dealt_forest(spark, SF).tasks
