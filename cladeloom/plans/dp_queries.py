@@ -268,7 +268,7 @@ def sampled_tree(spark, sf):
 
 
 def _picked_orders(spark, sf, ops, best_only):
-    res = dp.below(tables.orders_forest(spark, sf), ops)
+    res = dp.below(tables.dealt_forest(spark, sf), ops)
     edges = res.edge_parts[1]
     if best_only:
         edges = dp.best_of(edges, res.clade_parts[1], [], ops)

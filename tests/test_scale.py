@@ -67,7 +67,7 @@ def test_edge_checks_do_not_join_edges_with_nodes(spark):
     assert len(re.findall(r"Join", plan(report))) <= 2  # of the refs alone
 
 
-@pytest.mark.parametrize("name", ["optimal_tree_count_per_customer"])
+@pytest.mark.parametrize("name", ["optimal_tree_count_per_customer", "optimal_uniform_sample"])
 def test_counts_of_best_trees_are_hashed_in_small_tasks(spark, monkeypatch, name):
     monkeypatch.setattr("cladeloom.runtime.TASK_ROWS", 300)
     forest = tables.dealt_forest(spark, SF)
