@@ -14,7 +14,7 @@ from cladeloom.operators import semiring as sr
 from cladeloom.operators.levels import Level, layered
 from cladeloom.plans import tables
 from cladeloom.plans.registry import GROUPS, query
-from cladeloom.runtime import cut
+from cladeloom.runtime import cut, spread
 from cladeloom.schema import GENOME, HistoryDag
 
 
@@ -179,7 +179,7 @@ def clade_coverage(spark, sf):
 
 def _gappy_dags(spark, sf) -> HistoryDag:
     """A DAG per region: nation -> version A or B -> segment -> variant x or y -> customer, some customers left out."""
-    c = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nk"), F.col("c_mktsegment").alias("seg"))
+    c = spread(tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nk"), F.col("c_mktsegment").alias("seg")))
     n = tables.table(spark, sf, "nation").select(F.col("n_nationkey").alias("nk"), F.col("n_regionkey").cast("string").alias("dag_id"))
     way = lambda t, v: F.struct(F.lit(t).alias("t"), F.lit(v).alias("v"))
     ways = F.array_compact(F.array(

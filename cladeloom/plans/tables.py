@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeloom.operators.levels import EdgeLevels, Level, layered
-from cladeloom.runtime import cut, tasks_for
+from cladeloom.runtime import cut, spread, tasks_for
 from cladeloom.schema import GENOME, HistoryDag
 
 LETTERS = ("0123456789abcdef", "ACGTACGTACGTACGT")
@@ -81,9 +81,9 @@ def dealt_forest(spark, sf_dir) -> EdgeLevels:
 
 def customer_groups(spark, sf_dir, trees: str = "ABCD") -> DataFrame:
     """(rk, nk, t, grp, k): which group each tree puts a customer in."""
-    c = table(spark, sf_dir, "customer").select(
+    c = spread(table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nk"), "c_mktsegment", "c_acctbal"
-    )
+    ))
     n = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("nk"), F.col("n_regionkey").alias("rk")
     )
